@@ -31,7 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is taken more often than this.
 CEILING = 3.0
 #: Documents of a block of the flight phase; open documents per source that land together.
-BLOCK, LANDING = 4000, 12
+BLOCK, LANDING = 4000, 14
 
 _SLIM = "doc_id long, source string, size long, tag long"
 
@@ -83,7 +83,7 @@ def targets(totals: list[tuple[str | None, int]], weights=WEIGHTS, ceiling: floa
 
 
 def flight(p: list[float], x: list[float], seed: int) -> list[float]:
-    """Move probabilities to 0 or 1, keeping sum(p) and sum(p * x), until three or fewer directions are left.
+    """Move probabilities to 0 or 1, keeping sum(p) and sum(p * x), until two or fewer are open.
 
     Any three open documents have a direction that changes neither sum; a step
     along it, in a random sense, brings one of them to 0 or 1.
@@ -127,28 +127,38 @@ def flight(p: list[float], x: list[float], seed: int) -> list[float]:
 def land(p: list[float], x: list[float]) -> list[float]:
     """Round the last open probabilities to the subset nearest to both sums."""
     open_at = [i for i, v in enumerate(p) if 0 < v < 1]
-    want, count = sum(p[i] * x[i] for i in open_at), sum(p[i] for i in open_at)
-    best = None
-    for chosen in range(1 << len(open_at)):
-        got = sum(x[i] for k, i in enumerate(open_at) if chosen >> k & 1)
-        cost = (abs(got - want), abs(chosen.bit_count() - count), chosen)
-        best = cost if best is None or cost < best else best
+    sums, counts = np.zeros(1), np.zeros(1)
+    for i in open_at:
+        sums, counts = np.concatenate([sums, sums + x[i]]), np.concatenate([counts, counts + 1])
+    tokens = np.abs(sums - sum(p[i] * x[i] for i in open_at))
+    documents = np.abs(counts - sum(p[i] for i in open_at))
+    best = int(np.lexsort((documents, tokens))[0])
     out = list(p)
     for k, i in enumerate(open_at):
-        out[i] = float(best[2] >> k & 1)
+        out[i] = float(best >> k & 1)
     return out
 
 
+def _sorted(group: pd.DataFrame) -> pd.DataFrame:
+    return group.sort_values(["doc_id", "tag", "size"], kind="stable", na_position="first").reset_index(drop=True)
+
+
 def _fly(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "tag", "size"], kind="stable", na_position="first").reset_index(drop=True)
+    """Flight in one block; in the last block of a source some documents stay open to land."""
+    group = _sorted(group)
+    p, x = group["p"].to_numpy(dtype=float).copy(), group["size"].to_numpy(dtype=float)
+    flying = np.flatnonzero((p > 0) & (p < 1))
+    if group["blocks"].iloc[0] == 1:
+        flying = flying[np.argsort(group["tag"].to_numpy()[flying], kind="stable")][: max(0, len(flying) - (LANDING - 2))]
     seed = int(group["_block"].iloc[0]) & ((1 << 62) - 1)
-    group["p"] = flight(group["p"].tolist(), group["size"].astype(float).tolist(), seed)
+    p[flying] = flight(p[flying].tolist(), x[flying].tolist(), seed)
+    group["p"] = p
     return group
 
 
 def _land(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "tag", "size"], kind="stable", na_position="first").reset_index(drop=True)
-    group["p"] = land(flight(group["p"].tolist(), group["size"].astype(float).tolist(), 1), group["size"].astype(float).tolist())
+    group = _sorted(group)
+    group["p"] = land(group["p"].tolist(), group["size"].astype(float).tolist())
     return group
 
 

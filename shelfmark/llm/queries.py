@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, sharding
+from . import bpe, exact_dedup, langid, mixing, near_dedup, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(_documents(spark, sf_dir), near_dedup.Settings(k=3, percent=85))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,7 +36,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_sharding, op6_exact_dedup, op8_mixing, op9_langid)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op4_sharding, op6_exact_dedup, op8_mixing, op9_langid)}
 
 ORACLES = {
     "op6_exact_dedup": """

@@ -41,7 +41,8 @@ _BYTE_VALUE[_IS_SPACE] = 0
 _BYTE_VALUE_LOWER = _BYTE_VALUE.copy()
 _BYTE_VALUE_LOWER[65:91] = _BYTE_VALUE[97:123]
 _POWERS = stream(12, 1 << 16) | np.uint64(1)
-_LENGTH_SALT = np.uint64(0xA0761D6478BD642F)
+_SALT = 0xA0761D6478BD642F
+_LENGTH_SALT = np.uint64(_SALT)
 _WINDOW_FACTOR = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -116,7 +117,7 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         acc *= _WINDOW_FACTOR
         acc += hashes[j : j + n]
-    acc += np.uint64(k) * _LENGTH_SALT
+    acc += np.uint64(k * _SALT & _MASK)
     return mix(acc)
 
 
