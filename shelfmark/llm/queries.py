@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, sharding
+from . import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=16)
 
@@ -28,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(_documents(spark, sf_dir))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir))
 
@@ -36,7 +44,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op4_sharding, op6_exact_dedup, op8_mixing, op9_langid)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid)}
 
 ORACLES = {
     "op6_exact_dedup": """
