@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, url_filter
+from . import bpe, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=16)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(_documents(spark, sf_dir), window=13, with_text=False)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(_documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid)}
 
 ORACLES = {
     "op6_exact_dedup": """
