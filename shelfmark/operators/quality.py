@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Provenance sources in the order reports show them.
-SOURCES = ("json_ld", "embedded_state", "derived", "api", "dom", "llm_shadow", "llm_fallback", "not_available")
+SOURCES = ("json_ld", "embedded_state", "api", "dom", "derived", "llm_shadow", "llm_fallback", "not_available")
 
 
 def populated(df: DataFrame, name: str, unknown_counts: bool) -> Column:
