@@ -5,7 +5,7 @@ is hashed once; the hash's top bits name one of BINS bins and the bin keeps its
 least hash.  An empty bin j takes the value of the filled bin b that a hash of
 (j, b) ranks first, the same for all texts: optimal densification, found by a few
 direct probes and, where they all miss, by ranking the filled bins.  The lowest
-BITS bits of each bin are packed into 64-bit words, written as hexadecimal; the
+BITS bits of each bin's value, hashed with the bin, are packed into 64-bit words, written as hexadecimal; the
 agreement of two fingerprints is corrected for matches by chance.
 
 Defined results: a text without words (or null) has the empty fingerprint, alike
@@ -53,7 +53,8 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     def dense(j: Column) -> Column:
         probes = [F.col("_bins")[F.pmod(F.xxhash64(j, F.lit(t)), F.lit(BINS)).cast("int")] for t in range(PROBES)]
         ranked = F.array_min(F.transform(F.col("_filled"), lambda h: F.struct(F.xxhash64(j, _bin(h)).alias("r"), h.alias("h"))))["h"]
-        return F.coalesce(F.col("_bins")[j], *probes, ranked)
+        # Hashed with the bin, so that a value copied to many bins leaves other bits in each.
+        return F.xxhash64(F.coalesce(F.col("_bins")[j], *probes, ranked), j)
 
     df = df.withColumn("_dense", F.when(F.size("_filled") > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), dense)))
     packed = F.transform(
