@@ -66,6 +66,8 @@ def visibility(price: Column, page: Column) -> Column:
 
 
 def retry_delay(attempt: Column, retry_after: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    """Seconds to wait: exponential, or what the server asks for up to ``most``."""
-    asked = F.least(F.lit(most), F.greatest(F.lit(0.0), retry_after.try_cast("double")))
+    """Seconds to wait: exponential, or what the server asks for (seconds or an HTTP date) up to ``most``."""
+    until = F.try_to_timestamp(F.regexp_replace(retry_after, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.coalesce(retry_after.try_cast("double"), (F.unix_timestamp(until) - F.unix_timestamp(F.current_timestamp())).cast("double"))
+    asked = F.least(F.lit(most), F.greatest(F.lit(0.0), seconds))
     return F.greatest(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.coalesce(asked, F.lit(0.0)))

@@ -25,6 +25,14 @@ def fold(events: DataFrame) -> DataFrame:
     )
 
 
+def error_log(events: DataFrame) -> DataFrame:
+    """Failed events with the attempt they belong to: attempts since the url was last completed, 1 at least."""
+    w = Window.partitionBy("url").orderBy("seq")
+    rounds = events.withColumn("_round", F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).over(w))
+    tries = F.sum(F.when(F.col("status") == "in_progress", 1).otherwise(0)).over(Window.partitionBy("url", "_round").orderBy("seq"))
+    return rounds.withColumn("attempt_number", F.greatest(F.lit(1), tries).cast("long")).filter("status = 'failed'").withColumnRenamed("error", "error_message").drop("_round")
+
+
 def eligible(status: Column, attempts: Column, max_retries: int, resume: bool = True) -> Column:
     """Whether a discovered url is to be fetched."""
     if not resume:
