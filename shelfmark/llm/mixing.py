@@ -30,6 +30,8 @@ from . import store, textkit
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is taken more often than this.
 CEILING = 3.0
+#: With more sources than this their table is joined by shuffle.
+BROADCAST_SOURCES = 10_000
 #: Documents of a block of the flight phase; open documents per source that land together.
 BLOCK, LANDING = 4000, 14
 
@@ -165,7 +167,7 @@ def _land(group: pd.DataFrame) -> pd.DataFrame:
 def plan(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
     """doc_id, source, size, tag, source_size, target, times for every row.
 
-    The number of sources is bounded by what the driver may hold: one small row each.
+    The driver holds one small row per source.
     """
     slim = store.table(sizes(docs), "mix-sizes")
     totals = [(r.source, r.words or 0, r.n) for r in slim.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()]
@@ -178,7 +180,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFram
         whole = int(ratio)
         rows.append((s, w, want[s], whole, ratio - whole, max(1, -(-n // BLOCK))))
     each = spark.createDataFrame(rows, schema).withColumnRenamed("source", "_source")
-    known = slim.join(F.broadcast(each), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    each = F.broadcast(each) if len(rows) <= BROADCAST_SOURCES else each
+    known = slim.join(each, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     spread = F.pmod(F.xxhash64("doc_id", "tag"), F.col("blocks"))
     state = known.withColumn("p", F.when(F.col("size") > 0, F.col("share")).otherwise(0.0))
     state = state.withColumn("_block", F.xxhash64("source", spread))
