@@ -30,9 +30,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
-    return row.n, row.x
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link down, to a node that has none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    loose = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down = 1 AND up = 1)")
+    return loose.limit(1).count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,13 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without a link are not returned; an empty table gives no rows.
     """
     now = store.checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _settled(now):
         now = store.checkpoint(_star(_star(now, large=True), large=False))
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)

@@ -9,11 +9,16 @@
    probability that its similarity reaches the threshold, given the agreements so
    far (uniform prior), falls below ``miss``.  Survivors are verified on their
    full sets.
-4. Components of the links so far show which buckets still hold members of other
-   components than their hub's.  Those members are compared with the whole bucket,
-   in blocks of about BLOCK signatures: a block pair is one row and one matrix
-   comparison, so no bucket is cut and none emits its pairs.
-5. Components of all links.
+4. Components of the links so far show which buckets still hold several of them.
+   Each such bucket draws another hub, to which its members of other components are
+   compared; a large group of near copies joins up in a few such rounds, at a row
+   per member.
+5. Where components are still apart, the members outside the most common one are
+   compared with the whole bucket.  A bucket larger than BLOCK is cut into blocks:
+   a pair of blocks is one row, in which signatures are compared, survivors verified
+   by one matrix product over the shingles both blocks have, and only links given;
+   so no bucket is capped and none emits its pairs.  A pair is taken up in the first
+   band it shares.
 
 Defined results: a text without words (or null) has an empty set and is linked
 with nothing; a row without doc_id is linked with nothing, its component is null
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 from . import store, textkit
 from .components import components
 
-BLOCK = 64
+#: Members of a block; rounds of other hubs before the blocks.
+BLOCK, ROUNDS = 64, 2
 
 
 @dataclass(frozen=True)
@@ -147,23 +153,94 @@ def prune(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
 
+def _open_pairs(row: dict, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ids, in ids_2) of a block pair's open pairs that the posterior leaves.
+
+    Open: of different components, not met in an earlier band, and taken once.
+    """
+    ia, ib, la, lb = (np.array(row[x]) for x in ("ids", "ids_2", "labels", "labels_2"))
+    left, right = (np.frombuffer(b"".join(row[x]), np.uint32).reshape(-1, s.length) for x in ("signatures", "signatures_2"))
+    take = (la[:, None] != lb[None, :]) & ((lb[None, :] == row["top"]) | (ia[:, None] < ib[None, :]))
+    for k in range(row["k"]):
+        band = slice(k * s.rows, (k + 1) * s.rows)
+        take &= ~(left[:, None, band] == right[None, :, band]).all(axis=2)
+    a, b = np.nonzero(take)
+    at = _agree(left[a], right[b], s.least_agreements()) if len(a) else a
+    return a[at], b[at]
+
+
+def _links(ia: np.ndarray, ib: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(ia, ib), pa.int64()), pa.array(np.minimum(ia, ib), pa.int64())], names=["a", "b"])
+
+
 def prune_blocks(blocks: DataFrame, s: Settings) -> DataFrame:
-    """Block pairs: the pairs of different labels that survive, as (a, b)."""
-    stops, length = s.least_agreements(), s.length
+    """Small buckets: the open pairs that survive, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ia, ib = np.array(row["ids"]), np.array(row["ids_2"])
-                la, lb = np.array(row["labels"]), np.array(row["labels_2"])
-                a, b = np.nonzero((la[:, None] != lb[None, :]) & (ia[:, None] != ib[None, :]))
+                a, b = _open_pairs(row, s)
+                if len(a):
+                    yield _links(np.array(row["ids"])[a], np.array(row["ids_2"])[b])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets: one matrix product over common shingles."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def marks(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(common)), np.float32)
+        for i, own in enumerate(sets):
+            out[i, np.searchsorted(common, np.intersect1d(own, common, assume_unique=True))] = 1
+        return out
+
+    return (marks(left) @ marks(right).T).astype(np.int64)
+
+
+def verify_blocks(blocks: DataFrame, s: Settings) -> DataFrame:
+    """Large buckets: links among the open pairs of a block pair, verified on full sets here.
+
+    Only links that join something within the block pair are given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[np.ndarray]] = {}
+
+        def sets_of(ids: list[int], texts: list[str | None]) -> list[np.ndarray]:
+            if len(known) > 64:
+                known.clear()
+            key = tuple(ids)
+            if key not in known:
+                known[key] = textkit.distinct_sets(*textkit.shingles(textkit.words(pa.array(texts, pa.string()), lower=True), s.k))
+            return known[key]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = _open_pairs(row, s)
                 if not len(a):
                     continue
-                left = np.frombuffer(b"".join(row["signatures"]), np.uint32).reshape(-1, length)[a]
-                right = np.frombuffer(b"".join(row["signatures_2"]), np.uint32).reshape(-1, length)[b]
-                at = _agree(left, right, stops)
-                ids = ia[a[at]], ib[b[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*ids)), pa.array(np.minimum(*ids))], names=["a", "b"])
+                left, right = sets_of(row["ids"], row["texts"]), sets_of(row["ids_2"], row["texts_2"])
+                shared = shared_counts(left, right)[a, b]
+                na, nb = np.array([len(x) for x in left])[a], np.array([len(x) for x in right])[b]
+                good = (shared > 0) & (100 * shared >= s.percent * (na + nb - shared))
+                ia, ib = np.array(row["ids"])[a[good]], np.array(row["ids_2"])[b[good]]
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                keep = []
+                for i, (x, y) in enumerate(zip(ia.tolist(), ib.tolist(), strict=True)):
+                    x, y = find(x), find(y)
+                    if x != y:
+                        root[x] = y
+                        keep.append(i)
+                if keep:
+                    yield _links(ia[keep], ib[keep])
 
     return blocks.mapInArrow(run, "a long, b long")
 
@@ -204,11 +281,11 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     # One row per class, with its signature.
     stand = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
     stand = store.table(stand.select(F.col("doc_id").alias("rep"), "signature", "bands"), "near-stand")
-    banded = stand.select("rep", F.explode("bands").alias("band"))
+    banded = stand.select("rep", F.posexplode("bands").alias("k", "band"))
     hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
     hubs = store.table(hubs.drop("top"), "near-hubs")
     members = banded.join(hubs.hint("merge"), "band")
-    pairs = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = store.table(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near-pairs")
     signed = stand.select("rep", "signature")
 
     def with_signatures(p: DataFrame) -> DataFrame:
@@ -217,28 +294,61 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     texts = _texts(docs)  # a doc_id with several texts is linked by any of them
     left = store.table(prune(with_signatures(pairs), s), "near-pairs")
-    links = store.table(verify(left, texts, s), "near-links")
-    links = store.table(links.unionByName(_same_document(usable, classes)), "near-links")
+    links = store.table(verify(left, texts, s).unionByName(_same_document(usable, classes)), "near-links")
     found = store.table(components(links), "near-components")
+    tried = pairs
+
+    members = members.filter("n > 2").select("band", "k", "rep", "n")
+    crowded = members.select("rep").distinct()
+    texts = store.table(texts.join(crowded.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "near-texts")
+
+    def labelled() -> DataFrame:
+        at = members.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+        return store.table(at.select("band", "k", "rep", "n", F.coalesce("component", "rep").alias("label")), "near-labels")
+
+    def add(more: DataFrame) -> bool:
+        """Add verified links; whether there are any."""
+        nonlocal found
+        new = store.table(more, "near-links")
+        if not new.limit(1).count():
+            return False
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = store.table(components(known.unionByName(new)), "near-components")
+        return True
+
+    labels = labelled()
+    for turn in range(ROUNDS):
+        # Another hub in every bucket that still holds several components, by lot in each band.
+        lot = F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "band", F.lit(turn))).alias("hub")
+        open_ = labels.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), lot).filter("low < high").select("band", "hub")
+        others = labels.join(store.table(open_, "near-open").hint("merge"), "band").filter("label <> hub.label")
+        pairs = others.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = store.table(pairs, "near-pairs")
+        tried = tried.unionByName(pairs)
+        if not add(verify(store.table(prune(with_signatures(pairs), s), "near-pairs"), texts, s)):
+            break
+        labels = labelled()
 
-    # Buckets that hold members of another component than their hub's.
-    label = F.coalesce("component", "rep")
-    labelled = members.filter("n > 2").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("band", "rep", "hub", "n", label.alias("label"))
-    labelled = store.table(labelled, "near-labels")
-    open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("hub_label")).filter("low < high").drop("low", "high")
-    rest = labelled.join(store.table(open_, "near-open").hint("merge"), "band").join(signed.hint("merge"), "rep")
+    # What is left: every member outside its bucket's most common component against the whole bucket.
+    size = F.count(F.lit(1)).alias("most")
+    common = labels.groupBy("band", "label").agg(size).groupBy("band").agg(F.max(F.struct("most", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("band", F.col("top.label").alias("top"))
+    rest = labels.join(store.table(common, "near-open").hint("merge"), "band").join(signed.hint("merge"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("apart", F.col("label") != F.col("hub_label"))
-    listed = [F.collect_list("rep").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("signature").alias("signatures")]
-    all_blocks = store.table(rest.groupBy("band", "block").agg(*listed), "near-blocks")
-    apart = store.table(rest.filter("apart").groupBy("band", "block").agg(*listed), "near-apart")
-    against = all_blocks.withColumnsRenamed({"ids": "ids_2", "labels": "labels_2", "signatures": "signatures_2", "block": "block_2"})
-    more = prune_blocks(apart.join(against.hint("merge"), "band").drop("band", "block", "block_2"), s).distinct()
-    tried = left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = store.table(more.join(tried, ["a", "b"], "left_anti"), "near-more")
-    if more.limit(1).count():
-        links = store.table(links.unionByName(verify(more, texts, s)), "near-all-links")
-        found = store.table(components(links), "near-components")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("apart", F.col("label") != F.col("top"))
+    rest = store.table(rest, "near-rest")
+
+    def block_pairs(rows: DataFrame, lists: list[str]) -> DataFrame:
+        listed = [F.collect_list(c).alias(f"{c}s" if c != "rep" else "ids") for c in lists]
+        names = ["ids", *[f"{c}s" for c in lists if c != "rep"]]
+        every = store.table(rows.groupBy("band", "block").agg(*listed), "near-blocks").withColumnsRenamed({n: f"{n}_2" for n in [*names, "block"]})
+        apart = store.table(rows.filter("apart").groupBy("band", "k", "block", "top").agg(*listed), "near-apart")
+        return apart.join(every.hint("merge"), "band").select("k", "top", *names, *[f"{n}_2" for n in names])
+
+    few = prune_blocks(block_pairs(rest.filter(F.col("n") <= BLOCK), ["rep", "label", "signature"]), s)
+    few = store.table(few.join(tried, ["a", "b"], "left_anti"), "near-more")
+    crowds = rest.filter(F.col("n") > BLOCK).join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
+    many = verify_blocks(block_pairs(crowds, ["rep", "label", "signature", "text"]), s)
+    add(verify(few, texts, s).unionByName(many))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
     named = store.table(named, "near-named")

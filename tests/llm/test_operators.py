@@ -96,6 +96,29 @@ def test_bucket_whose_members_do_not_match_the_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
+def test_blocks_alone_find_every_link(spark, monkeypatch):
+    """Near copies around the threshold, in buckets of many blocks and with no further hubs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(60):
+        w = list(base)
+        for j in rng.sample(range(150), rng.randint(1, 7)):
+            w[j] = f"n{n}x{j}"
+        rows.append((n, " ".join(w), "en", "a", None))
+    expected = corpus.near_components(rows, 3, 85)
+    found = near_dedup.group(corpus.frame(spark, rows), near_dedup.Settings(k=3, percent=85)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+    assert 1 < len({c for _, c in expected.values()}) < 60
+
+
+def test_shared_counts():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 9], [7])]
+    assert near_dedup.shared_counts(sets, sets).tolist() == [[3, 2, 0], [2, 3, 0], [0, 0, 1]]
+
+
 def test_near_dedup_keeps_columns(docs, none):
     out = near_dedup.deduplicate(clashing(docs))
     assert out.columns == clashing(docs).columns
