@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +34,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/shelfmark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting for removing a query's shuffle files as soon as it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each ends.
+
+    Else they stay until the driver happens to collect its garbage, while the next
+    step fills the disks.  Executors lost while such a query runs are no matter: the
+    files are there until its end, and afterwards its table is read.
+    """
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def table(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    with _cleaned(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shelf_path = path
     return out

@@ -13,7 +13,8 @@ cover positions only (3 of 7) finds every repeat.
    smaller than its document's is a repeat.
 3. Each document drops the words that its repeats cover.
 
-Hot passages cost one packed entry per document and are never paired.
+Hot passages cost one packed entry per document and are never paired.  Answers come
+back packed too, a row for each bucket and part of the documents.
 
 Defined results: a null or empty text has no words; a row without doc_id neither
 loses words nor takes them from others; rows of one doc_id are one document and do
@@ -94,8 +95,8 @@ def _undealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return every[order], owners[order]
 
 
-def _shared(table: pa.Table, both: bool) -> pa.Table:
-    """Per document, the hashes that occur in another one.
+def _shared(table: pa.Table, both: bool, parts: int) -> pa.Table:
+    """The (doc_id, hash) pairs whose hash occurs in another document, packed by the document's part.
 
     both: with a smaller or larger doc_id; otherwise with a smaller one only.
     """
@@ -109,21 +110,33 @@ def _shared(table: pa.Table, both: bool) -> pa.Table:
     if both:
         keep |= ids < np.repeat(np.maximum.reduceat(ids, starts), sizes)
     hashes, ids = hashes[keep], ids[keep]
-    order = np.argsort(ids, kind="stable")
+    part = (textkit.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((ids, part))
+    hashes, ids, part = hashes[order], ids[order], part[order]
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    at = np.flatnonzero(np.diff(edges)).tolist()
+    pack = lambda x: pa.array([x[edges[p] : edges[p + 1]].tobytes() for p in at], pa.binary())
+    return pa.table({"part": pa.array(at, pa.int32()), "ids": pack(ids), "hashes": pack(hashes)})
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row per document of a part with all its hashes, sorted."""
+    ids, hashes = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("ids", np.int64), ("hashes", np.uint64)))
+    order = np.lexsort((hashes, ids))
     hashes, ids = hashes[order], ids[order]
     docs, first = np.unique(ids, return_index=True)
     ends = np.append(first, len(ids))[1:]
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "found": pa.array([hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
-def _per_document(dealt: DataFrame, both: bool) -> DataFrame:
+def _per_document(dealt: DataFrame, both: bool, parts: int) -> DataFrame:
     """(doc_id, found): the packed hashes of each document, from all buckets."""
-    rows = dealt.groupBy("bucket").applyInArrow(lambda table: _shared(table, both), "doc_id long, found binary")
-    return rows.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    rows = dealt.groupBy("bucket").applyInArrow(lambda table: _shared(table, both, parts), "part int, ids binary, hashes binary")
+    return rows.groupBy("part").applyInArrow(_gathered, "doc_id long, found binary")
 
 
-def _in(hashes: np.ndarray, packed: list[bytes]) -> np.ndarray:
-    known = np.sort(np.frombuffer(b"".join(packed), np.uint64))
+def _in(hashes: np.ndarray, packed: bytes) -> np.ndarray:
+    known = np.frombuffer(packed, np.uint64)
     at = np.searchsorted(known, hashes)
     at[at == len(known)] = 0
     return known[at] == hashes
@@ -165,9 +178,11 @@ def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
         yield from _dealt(found(), buckets)
 
-    near = _per_document(rows.mapInArrow(anchors, _DEALT), both=True)
+    near = store.table(_per_document(rows.mapInArrow(anchors, _DEALT), True, buckets), "repeat-anchors")
     joined = rows.join(near.hint("merge"), "doc_id").select("doc_id", "text", "found")
-    return _per_document(joined.mapInArrow(extended, _DEALT), both=False)
+    out = store.table(_per_document(joined.mapInArrow(extended, _DEALT), False, buckets), "repeat-windows")
+    store.drop(near)
+    return out
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -180,7 +195,7 @@ def remove(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFra
     buckets = max(store.partitions(docs.sparkSession), -(-size // PER_BUCKET))
     named = rows.filter("doc_id IS NOT NULL")
     marked = named.join(repeats(named, window, buckets).hint("merge"), "doc_id", "left").select("doc_id", "text", "found")
-    marked = marked.unionByName(rows.filter("doc_id IS NULL").withColumn("found", F.lit(None).cast("array<binary>")))
+    marked = marked.unionByName(rows.filter("doc_id IS NULL").withColumn("found", F.lit(None).cast("binary")))
     out = marked.mapInArrow(_remover(window, with_text), _RESULT)
     return out if with_text else out.drop("kept_text")
 
