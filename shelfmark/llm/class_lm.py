@@ -1,7 +1,7 @@
 """Scores of a Brown class bigram model.
 
-Words are hashed to TYPES word types; exchange clustering assigns the types to
-classes so that the likelihood of the class bigrams rises.  With a word's class c,
+Exchange clustering assigns every word to a class so that the likelihood of the
+class bigrams rises.  With a word's class c,
 the class p before it and u the Good-Turing share of unseen words,
 
     P(word | p) = P(c | p) * (1 - u) * count(word) / count(c)    for a known word
@@ -11,10 +11,15 @@ which add up to 1 over all known words and one unknown word per class.  Class
 transitions are smoothed towards the class frequencies.  A text starts after an
 end; the end is a token of a class of its own.
 
-All counts cover every training text.  The clustering gathers one table of fixed
-size (types by classes) per task; word counts are exact: units of text send their
+All counts cover every training text and every word.  Units of text send their
 distinct words, packed, to buckets by hash, and get each word's count back in
-their own order.  No vocabulary is broadcast or brought to the driver.
+their own order; so they do, in each pass, with the classes before and after each
+word, and get back its new class.  A bucket moves its own words against the class
+bigrams of the whole corpus, which alone are collected.  Half of the words, by hash,
+have their turn in one pass and the other half in the next: words that follow each
+other and all move at once would swap classes for ever.  No vocabulary is broadcast
+or brought to the driver.  A word that no training text has keeps the class that
+its hash gave it.
 
 Defined results: a null or empty text is a single end; a null doc_id is in the
 training part; rows keep their own results whatever their doc_id; with no
@@ -34,16 +39,16 @@ from pyspark.sql import functions as F
 
 from . import store, textkit
 
-#: Hashed word types (a power of two), classes of words, passes of exchange.
+#: Words of a bucket that are moved in small blocks, classes of words, passes of exchange.
 TYPES, CLASSES, PASSES = 8192, 32, 4
+#: Words of a bucket that are moved one by one.
+SINGLY = 256
 #: Pseudo-tokens given to a class's smoothed transitions.
 PRIOR = 20.0
 #: Bytes of text of a unit; bytes of text per bucket of words.
 UNIT, PER_BUCKET = 8 << 20, 64 << 20
-#: Parts in which the tables of the clustering are summed.
-PARTS = 16
 
-_END = CLASSES  # class of the end; its type is TYPES
+_END = CLASSES  # class of the end
 _UNIT = "unit string, doc_ids array<long>, held binary, bounds binary, words binary, counts binary, tokens binary"
 
 
@@ -80,49 +85,117 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Types of a unit's tokens with an end before the first text and after each, the bounds of the texts, and the held-out marks."""
+    """Places of a unit's tokens among its words, with an end (the place after them) before the first text and after each, the bounds of the texts, and the held-out marks."""
     bounds = np.frombuffer(row["bounds"], np.int64)
-    words = np.frombuffer(row["words"], np.uint64)
-    types = (words & np.uint64(TYPES - 1)).astype(np.int64)[np.frombuffer(row["tokens"], np.uint32)]
+    tokens = np.frombuffer(row["tokens"], np.uint32)
     ends = bounds[1:] + np.arange(len(bounds) - 1)  # where each text's end goes
-    out = np.full(len(types) + len(ends) + 1, TYPES, np.int64)
+    out = np.full(len(tokens) + len(ends) + 1, len(row["words"]) // 8, np.int64)
     mine = np.ones(len(out) - 1, bool)
     mine[ends] = False
-    out[1:][mine] = types
+    out[1:][mine] = tokens
     return out, np.concatenate([[0], ends + 1]), np.frombuffer(row["held"], np.uint8).astype(bool)
 
 
-def _tables(rows: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (class before, type) and (type, class after) over the training texts."""
-    width = (TYPES + 1) * (CLASSES + 1)
-    step = -(-width // PARTS)
+def _edges(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted words."""
+    bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _classes(row: dict) -> np.ndarray:
+    """Class of each of a unit's words and of the end; before the first pass, words are dealt out by their hash."""
+    if row.get("kinds") is None:
+        own = (np.frombuffer(row["words"], np.uint64) % np.uint64(CLASSES)).astype(np.int64)
+    else:
+        own = np.frombuffer(b"".join(x["kinds"] for x in row["kinds"]), np.uint8).astype(np.int64)
+    return np.append(own, _END)
+
+
+def _with_classes(rows: DataFrame, kinds: DataFrame | None) -> DataFrame:
+    """rows with the classes of each unit's words, by bucket."""
+    if kinds is None:
+        return rows.withColumn("kinds", F.lit(None).cast("array<struct<bucket:int,kinds:binary>>"))
+    return rows.join(kinds.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "kinds"))).alias("kinds")).hint("merge"), "unit", "left")
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of their counts."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    out, at = np.unique(keys, return_inverse=True)
+    return out, np.bincount(at, weights=counts, minlength=len(out)).astype(np.int64)
+
+
+_PAIRS = ("before", "n_before", "after", "n_after")
+_CONTEXTS = "unit string, bucket int, words binary, kinds binary, before binary, n_before binary, after binary, n_after binary, bigrams array<long>"
+
+
+def _contexts(rows: DataFrame, kinds: DataFrame | None, buckets: int, turn: int | None) -> DataFrame:
+    """A row per unit with its class bigrams (bucket -1) and, with a ``turn``, one per bucket with its words and the contexts of those whose turn it is.
+
+    A context is place * (CLASSES + 1) + class before (or after), kept as the step from the one before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        names = ["unit", "bucket", "words", "kinds", *_PAIRS, "bigrams"]
+        types = [pa.string(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
         for batch in batches:
             for row in batch.to_pylist():
                 seq, bounds, held = _sequences(row)
+                of, words = _classes(row), np.frombuffer(row["words"], np.uint64)
                 learned = np.repeat(~held, np.diff(bounds))
                 left, right = seq[:-1][learned], seq[1:][learned]
-                before += np.bincount(right * (CLASSES + 1) + classes[left], minlength=width)
-                after += np.bincount(left * (CLASSES + 1) + classes[right], minlength=width)
-        cut = range(0, width, step)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), *[pa.array([x[i : i + step].tobytes() for i in cut], pa.binary()) for x in (before, after)]], names=["part", "before", "after"])
-
-    def total(table: pa.Table) -> pa.Table:
-        cells = {x: np.zeros(1, np.int64) for x in ("before", "after")}
-        for x in cells:
-            for value in table.column(x).to_pylist():
-                cells[x] = cells[x] + np.frombuffer(value, np.int64)
-        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), **{x: pa.array([v.tobytes()], pa.binary()) for x, v in cells.items()}})
-
-    kind = "part int, before binary, after binary"
-    found = rows.select("bounds", "words", "tokens", "held").mapInArrow(run, kind).groupBy("part").applyInArrow(total, kind).collect()
-    found.sort(key=lambda r: r.part)
-    shape = (TYPES + 1, CLASSES + 1)
-    if not found:
-        return np.zeros(shape), np.zeros(shape)
-    return tuple(np.frombuffer(b"".join(bytes(r[x]) for r in found), np.int64).astype(float).reshape(shape) for x in ("before", "after"))
+                bigrams = np.bincount(of[left] * (CLASSES + 1) + of[right], minlength=(CLASSES + 1) ** 2)
+                out = [(row["unit"], -1, *[None] * 6, bigrams.tolist())]
+                if turn is not None:
+                    moves = (words >> np.uint64(5) & np.uint64(1)) == turn
+                    edges = _edges(words, buckets)
+                    sides = []
+                    for word, other in ((right, left), (left, right)):
+                        own = np.append(moves, False)[word]
+                        sides.append(_summed(word[own] * (CLASSES + 1) + of[other[own]]))
+                    cuts = [np.searchsorted(codes, edges * (CLASSES + 1)) for codes, _ in sides]
+                    for b in np.flatnonzero(np.diff(edges)).tolist():
+                        packed = []
+                        for (codes, counts), cut in zip(sides, cuts, strict=True):
+                            own = slice(cut[b], cut[b + 1])
+                            packed += [np.diff(codes[own] - edges[b] * (CLASSES + 1), prepend=0).astype(np.uint32).tobytes(), counts[own].astype(np.uint32).tobytes()]
+                        at = slice(edges[b], edges[b + 1])
+                        out.append((row["unit"], b, words[at].tobytes(), of[:-1][at].astype(np.uint8).tobytes(), *packed, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return _with_classes(rows.select("unit", "words", "bounds", "tokens", "held"), kinds).select("unit", "words", "bounds", "tokens", "held", "kinds").mapInArrow(run, _CONTEXTS)
+
+
+def _total_bigrams(contexts: DataFrame) -> np.ndarray:
+    """Class bigrams of all training texts: the only thing that is collected."""
+    found = contexts.filter("bucket = -1").select(F.posexplode("bigrams").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros((CLASSES + 1) ** 2)
+    for r in found:
+        out[r.k] = r.n
+    return out.reshape(CLASSES + 1, CLASSES + 1)
+
+
+def _reassigned(contexts: DataFrame, n: np.ndarray) -> DataFrame:
+    """(unit, bucket, kinds): the classes of each unit's words after the words that have contexts were moved against the class bigrams n."""
+
+    def move(table: pa.Table) -> pa.Table:
+        cell = {c: table.column(c).to_pylist() for c in ("words", "kinds", *_PAIRS)}
+        words = [np.frombuffer(x, np.uint64) for x in cell["words"]]
+        edges = np.cumsum([0, *[len(x) for x in words]]).tolist()
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        classes = np.empty(len(distinct), np.int64)
+        classes[at] = np.frombuffer(b"".join(cell["kinds"]), np.uint8)
+        sides = []
+        for side in ("before", "after"):
+            codes = [np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64) for x in cell[side]]
+            keys = np.concatenate([at[e + c // (CLASSES + 1)] * (CLASSES + 1) + c % (CLASSES + 1) for e, c in zip(edges, codes, strict=False)])
+            sides.append(_summed(keys, np.concatenate([np.frombuffer(x, np.uint32) for x in cell[f"n_{side}"]])))
+        new = reassign(*sides, classes, n).astype(np.uint8)[at]
+        kinds = pa.array([new[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        return pa.table({"unit": table.column("unit"), "bucket": table.column("bucket"), "kinds": kinds})
+
+    return contexts.filter("bucket >= 0").drop("bigrams").groupBy("bucket").applyInArrow(move, "unit string, bucket int, kinds binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -141,16 +214,18 @@ def _likelihood(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(axis=0)).sum() - _xlogx(n.sum(axis=1)).sum())
 
 
-def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, block: int = 64) -> np.ndarray:
-    """Move every type, most frequent first, to the class that raises the likelihood most.
+def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, block: int = 8, n: np.ndarray | None = None) -> np.ndarray:
+    """Move every word, most frequent first, to the class that raises the likelihood most.
 
-    The class bigrams are kept up to date after each block of types.
+    The class bigrams are kept up to date after each of the SINGLY most frequent words
+    and each block of others; those given as ``n``, which may be of more words, are
+    changed in place.
     """
-    classes, n = classes.copy(), _bigrams(before, classes)
-    order = np.argsort(-before[:TYPES].sum(axis=1), kind="stable")
-    order = order[before[order].sum(axis=1) > 0]
-    for i in range(0, len(order), block):
-        own = order[i : i + block]
+    classes, n = classes.copy(), _bigrams(before, classes) if n is None else n
+    order = np.argsort(-before.sum(axis=1), kind="stable")
+    order = order[(classes[order] < _END) & (before[order].sum(axis=1) > 0)]
+    single = min(SINGLY, len(order))
+    for own in [*order[:single, None], *(order[i : i + block] for i in range(single, len(order), block))]:
         a, left, right = classes[own], before[own], after[own]
         count = left.sum(axis=1)
         into, out_of, sizes = _xlogx(n), _xlogx(n), _xlogx(n.sum(axis=0))
@@ -168,39 +243,96 @@ def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, block:
                 n[old] -= r
                 n[new] += r
                 classes[t] = new
-        n = np.maximum(n, 0.0)
+        np.maximum(n, 0.0, out=n)
+    return classes
+
+
+def reassign(before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], classes: np.ndarray, n: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Classes of all words of a bucket after each with a context was moved.
+
+    before, after: sorted keys word * (CLASSES + 1) + class, and their counts.  The TYPES
+    most frequent words move by ``exchange``, the others in blocks: the same gain, summed
+    over the contexts that a word has.
+    """
+    width, size = CLASSES + 1, len(classes)
+    classes, n = classes.copy(), n.copy()
+    sides = [(keys // width, keys % width, counts.astype(float)) for keys, counts in (before, after)]
+    total = np.bincount(sides[0][0], weights=sides[0][2], minlength=size)
+    order = np.argsort(-total, kind="stable")
+    order = order[total[order] > 0]
+    head = order[:TYPES]
+    place = np.full(size, -1)
+    place[head] = np.arange(len(head))
+    dense = []
+    for word, other, count in sides:
+        own = place[word] >= 0
+        dense.append(np.bincount(place[word[own]] * width + other[own], weights=count[own], minlength=len(head) * width).reshape(-1, width))
+    classes[head] = exchange(*dense, classes[head], n=n)
+    starts = [np.searchsorted(word, np.arange(size + 1)) for word, _, _ in sides]
+    for i in range(TYPES, len(order), block):
+        own = order[i : i + block]
+        a, rows = classes[own], np.arange(len(own))
+        gain = np.zeros((len(own), CLASSES))
+        sizes = n.sum(axis=0)
+        gain -= 2 * (_xlogx(sizes[None, :CLASSES] + total[own][:, None]) - _xlogx(sizes[:CLASSES]))
+        gone = -2 * (_xlogx(sizes[a] - total[own]) - _xlogx(sizes[a]))
+        held = []
+        for (_, other, count), start, m in zip(sides, starts, (n, n.T), strict=True):
+            lengths = start[own + 1] - start[own]
+            of = np.repeat(rows, lengths)
+            at = np.arange(len(of)) + np.repeat(start[own] - np.cumsum(lengths) + lengths, lengths)
+            p, c = other[at], count[at]
+            # Few pairs of context and count differ.
+            pairs, which = np.unique(p * (1 << 40) + c.astype(np.int64), return_inverse=True)
+            q, d = pairs >> 40, (pairs & ((1 << 40) - 1)).astype(float)
+            raised = _xlogx(m[q, :CLASSES] + d[:, None]) - _xlogx(m[q, :CLASSES])
+            first = np.cumsum(lengths) - lengths
+            some = lengths > 0
+            gain[some] += np.add.reduceat(raised[which], first[some], axis=0) if some.any() else 0.0
+            gone += np.bincount(of, weights=_xlogx(m[p, a[of]] - c) - _xlogx(m[p, a[of]]), minlength=len(own))
+            held.append((of, p, c))
+        gain += gone[:, None]
+        gain[rows, a] = 0.0
+        new = gain.argmax(axis=1)
+        classes[own] = new
+        for (of, p, c), m in zip(held, (n, n.T), strict=True):
+            np.add.at(m, (p, a[of]), -c)
+            np.add.at(m, (p, new[of]), c)
+        np.maximum(n, 0.0, out=n)
     return classes
 
 
 @dataclass
 class ClassModel:
-    """Class of every type, log10 transitions [before, after], and tokens of every class."""
+    """Classes of every unit's words (unit, bucket, kinds; none before the first pass), log10 transitions [before, after], and tokens of every class."""
 
-    classes: np.ndarray
+    kinds: DataFrame | None
     transitions: np.ndarray
     sizes: np.ndarray
 
 
-def cluster(rows: DataFrame) -> ClassModel:
-    """Exchange clustering over units; the best assignment of all passes is kept."""
-    classes = np.append(np.arange(TYPES) % CLASSES, _END)
-    best, best_score, best_before = classes, -np.inf, None
+def cluster(rows: DataFrame, buckets: int | None = None) -> ClassModel:
+    """Exchange clustering of all words of the units; the best assignment of all passes is kept."""
+    buckets = buckets or store.partitions(rows.sparkSession)
+    kinds, best, best_score, best_n = None, None, -np.inf, None
     for k in range(PASSES + 1):
-        before, after = _tables(rows, classes)
-        if not k:  # start from classes dealt out by frequency
-            rank = np.empty(TYPES, np.int64)
-            rank[np.argsort(-before[:TYPES].sum(axis=1), kind="stable")] = np.arange(TYPES)
-            classes = np.append(np.minimum(rank, rank % CLASSES), _END)
-            before, after = _tables(rows, classes)
-        score = _likelihood(_bigrams(before, classes))
+        contexts = store.table(_contexts(rows, kinds, buckets, k % 2 if k < PASSES else None), "lm-contexts")
+        n = _total_bigrams(contexts)
+        score = _likelihood(n)
         if score > best_score:
-            best, best_score, best_before = classes, score, before
+            if best is not None:
+                store.drop(best)
+            best, best_score, best_n = kinds, score, n
+        elif kinds is not None and k == PASSES:
+            store.drop(kinds)
         if k < PASSES:
-            classes = exchange(before, after, classes)
-    n = _bigrams(best_before, best)
-    sizes = n.sum(axis=0)
+            old, kinds = kinds, store.table(_reassigned(contexts, n), "lm-classes")
+            if old is not None and old is not best:
+                store.drop(old)
+        store.drop(contexts)
+    sizes = best_n.sum(axis=0)
     shares = (sizes + 1) / (sizes.sum() + len(sizes))
-    transitions = np.log10((n + PRIOR * shares[None, :]) / (n.sum(axis=1, keepdims=True) + PRIOR))
+    transitions = np.log10((best_n + PRIOR * shares[None, :]) / (best_n.sum(axis=1, keepdims=True) + PRIOR))
     return ClassModel(best, transitions, sizes)
 
 
@@ -215,8 +347,7 @@ def _bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint32)
-                bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # sorted, as the words are
-                edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+                edges = _edges(words, buckets)
                 at = np.flatnonzero(np.diff(edges)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([row["unit"]] * len(at), pa.string()), pa.array(at, pa.int32()), *[pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in at], pa.binary()) for x in (words, counts)]], names=["unit", "bucket", "words", "counts"])
 
@@ -249,13 +380,13 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows = store.table(units(named), "lm-units")
     counts = store.table(_bucket_counts(rows, buckets), "lm-counts")
     singles, tokens, kinds = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("singles", "tokens", "kinds")]).first()
-    model = cluster(rows)
+    model = cluster(rows, buckets)
 
     n, v = tokens + ends, kinds + (ends > 0)
     floor = float(np.log10(n + v + 1))
     unseen = (singles + 1) / (n + 2)
     known_log, unknown_log = float(np.log10(1 - unseen)), float(np.log10(unseen))
-    sizes = np.log10(np.maximum(model.sizes, 1.0))
+    transitions, sizes = model.transitions, np.log10(np.maximum(model.sizes, 1.0))
     end_base = float(np.log10(ends + 1))
     packed = counts.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("totals"))
 
@@ -268,27 +399,26 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 at, edges = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["bounds"], np.int64)
                 owner = np.repeat(np.arange(texts), np.diff(edges))
                 seen = total > 0
-                kind = model.classes[(words & np.uint64(TYPES - 1)).astype(np.int64)]
-                emitted = np.where(seen, np.log10(np.maximum(total, 1.0)) - sizes[kind] + known_log, unknown_log)
+                of = _classes(row)
+                emitted = np.where(seen, np.log10(np.maximum(total, 1.0)) - sizes[of[:-1]] + known_log, unknown_log)
                 add = lambda per_word, at=at, owner=owner, texts=texts: np.bincount(owner, weights=per_word[at], minlength=texts)
                 lengths = np.diff(edges) + 1
                 base = add(np.log10(total + 1)) + end_base - lengths * floor
-                c = model.classes[seq]
-                moved = np.add.reduceat(model.transitions[c[:-1], c[1:]], bounds[:-1])
+                c = of[seq]
+                moved = np.add.reduceat(transitions[c[:-1], c[1:]], bounds[:-1])
                 value = moved + add(emitted) + (known_log if ends else unknown_log)
                 n_known = add(seen.astype(float)).astype(np.int64) + (1 if ends else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held_out), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(texts, n), pa.int64()), pa.array(base), pa.array(value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = rows.drop("counts").join(packed.hint("merge"), "unit", "left")
-    return joined.select("doc_ids", "held", "bounds", "words", "tokens", "totals").mapInArrow(run, _SCORED)
+    joined = _with_classes(rows.drop("counts").join(packed.hint("merge"), "unit", "left"), model.kinds)
+    return joined.select("doc_ids", "held", "bounds", "words", "tokens", "totals", "kinds").mapInArrow(run, _SCORED)
 
 
 def _totals(parts: list[dict], words: np.ndarray, buckets: int) -> np.ndarray:
     """Counts in the order of a unit's words, from its buckets in order."""
     if not len(words):
         return np.zeros(0)
-    bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    edges = _edges(words, buckets)
     out = np.empty(len(words))
     for part in parts:
         a, b = edges[part["bucket"]], edges[part["bucket"] + 1]

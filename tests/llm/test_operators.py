@@ -445,6 +445,22 @@ def test_exchange_raises_the_likelihood():
     assert max(scores[1:]) > scores[0] + 1000
 
 
+def test_every_word_has_a_class_of_its_own(spark):
+    by_slot: dict[int, list[str]] = {}
+    for i in range(40_000):
+        by_slot.setdefault(int(textkit.words(pa.array([f"w{i}"])).hashes[0]) % 8192, []).append(f"w{i}")
+    pairs = [x[:2] for x in by_slot.values() if len(x) > 1][:40]  # the words of a pair agree in 13 bits of their hashes
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(pairs)[k % 2] for k in range(60)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    held = [r for r in class_lm.score(rows).collect() if r.held_out]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    # First and second words of pairs take turns, so knowing the class before halves the choice.
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.25
+
+
 def test_transitions_add_up(docs):
     rows = store.table(class_lm.units(docs.select("doc_id", "text", F.lit(False).alias("held_out"))), "t")
     model = class_lm.cluster(rows)
