@@ -170,10 +170,28 @@ def classify(docs: DataFrame) -> DataFrame:
     return predict(rows.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def _with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _profiles()
+        for part in textkit.pieces(batches, text, limit=1 << 20):
+            _, lettered = made.of(part.column(part.schema.get_field_index(text)).to_pylist())
+            yield part.filter(pa.array(lettered))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_known(docs: DataFrame, least: float = 0.0, learn_from: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """The documents with a language, with their columns; ``und`` ones go."""
+    """The documents with a language, with their columns; ``und`` ones go.
+
+    Where no language could be learned, those without a letter go.
+    """
     columns = docs.columns
-    scored = predict(docs, train(learn_from(docs)), names=("_lang", "_score"))
+    prototypes = train(learn_from(docs))
+    if not prototypes:
+        return _with_letters(docs)
+    scored = predict(docs, prototypes, names=("_lang", "_score"))
     return scored.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*columns)
 
 

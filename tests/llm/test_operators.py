@@ -402,6 +402,11 @@ def test_languages_without_labels(spark):
     assert out.lang_pred == "und"
 
 
+def test_texts_stay_without_labels(spark):
+    docs = spark.createDataFrame([(1, "words", None, "a", 1), (2, "12 3", None, "a", 1), (3, None, None, "a", 1)], corpus.SCHEMA)
+    assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
+
+
 # language model
 
 
