@@ -6,8 +6,13 @@ place and backtracks to shorter ones; two neighbours may stand together only if
 merging by rank would not have joined bytes across their border, which is worked
 out once per pair and remembered.  The tokens are those that merging gives.
 
+What a worker remembers is bounded by bytes (MEMORY) and forgotten with its task.
+
 Defined results: a null or empty text has no tokens; special tokens are ordinary
-text.  Texts are encoded whole; a piece may have any length.
+text; texts are encoded whole, and a piece may have any length; repeated rows and
+rows without doc_id are encoded like any other; an empty table gives no rows; other
+columns are carried whatever their names, but ``encode`` refuses a table that has a
+column of the name it is to add.
 """
 
 from __future__ import annotations
@@ -22,8 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Remembered pieces and pairs; beyond these the memory starts anew, results are the same.
-PIECES, PAIRS = 400_000, 500_000
+from . import textkit
+
+#: Bytes of remembered pieces, remembered pairs, and characters of the longest piece that is
+#: remembered; beyond these the memory starts anew, results are the same.
+MEMORY, PAIRS, LONGEST = 48 << 20, 150_000, 64
 #: The pre-tokenizing pattern whose pieces never cross a space before a word (fixed value).
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUN = regex.compile(r" \s")
@@ -63,6 +71,7 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}
         #: Cutting before spaces is proven for this pattern alone.
         self.stretches: dict[str, list[int]] | None = {} if pattern == CUT_PATTERN else None
+        self.held = 0
 
     def _shorter(self, token: bytes) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
@@ -172,15 +181,34 @@ class Encoder:
             token = tokens.pop()
             place -= lengths[token]
 
+    def forget(self) -> None:
+        """Start all that is remembered anew."""
+        self.pieces.clear()
+        if self.stretches is not None:
+            self.stretches.clear()
+        self.pairs.clear()
+        self.held = 0
+
+    def _remember(self, table: dict[str, list[int]], key: str, tokens: list[int]) -> None:
+        if len(key) > LONGEST:
+            return
+        # A dictionary slot, the headers of key and list, two bytes a character, a pointer a token.
+        self.held += 220 + 2 * len(key) + 8 * len(tokens)
+        if self.held > MEMORY:
+            self.pieces.clear()
+            if self.stretches is not None:
+                self.stretches.clear()
+            self.held = 220 + 2 * len(key) + 8 * len(tokens)
+        table[key] = tokens
+
     def _stretch(self, part: str) -> list[int]:
         """The tokens of a stretch of text, piece by piece."""
         out, pieces = [], self.pieces
         for piece in self.split(part):
             known = pieces.get(piece)
             if known is None:
-                if len(pieces) >= PIECES:
-                    pieces.clear()
-                known = pieces[piece] = self.encode_piece(piece.encode())
+                known = self.encode_piece(piece.encode())
+                self._remember(pieces, piece, known)
             out += known
         return out
 
@@ -200,9 +228,7 @@ class Encoder:
             if known is None or not i:
                 known = self._stretch(f" {word}" if i else word)
                 if i:
-                    if len(stretches) >= PIECES:
-                        stretches.clear()
-                    stretches[word] = known
+                    self._remember(stretches, word, known)
             out += known
         return out
 
@@ -220,19 +246,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[path, pattern]
 
 
+def _forget() -> None:
+    for made in _LOADED.values():
+        made.forget()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ``ids`` array<int>; other columns are carried."""
+    if ids in docs.columns:
+        raise ValueError(f"the table has a column {ids!r}; name another one for the tokens")
     schema = docs.select("*", F.array(F.lit(0)).alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [made.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.int32()))], names=[*part.schema.names, ids])
+        for part in textkit.pieces(batches, text):
+            rows = [made.encode(x or "") for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.int32()))], names=[*part.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textkit.tidy(run, _forget), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,15 +273,13 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path, pattern)
         names = [str(i) for i in range(len(made.vocabulary))]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                counts, coded, decoded = [], [], []
-                for value in part.column(1):
-                    tokens = made.encode(value.as_py() or "")
-                    counts.append(len(tokens))
-                    coded.append(hashlib.sha256(" ".join(map(names.__getitem__, tokens)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(made.decode(tokens)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for part in textkit.pieces(batches):
+            counts, coded, decoded = [], [], []
+            for value in part.column(1):
+                tokens = made.encode(value.as_py() or "")
+                counts.append(len(tokens))
+                coded.append(hashlib.sha256(" ".join(map(names.__getitem__, tokens)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(made.decode(tokens)).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(textkit.tidy(run, _forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,20 +10,21 @@
    far (uniform prior), falls below ``miss``.  Survivors are verified on their
    full sets.
 4. Components of the links so far show which buckets still hold several of them.
-   Each such bucket draws another hub, to which its members of other components are
-   compared; a large group of near copies joins up in a few such rounds, at a row
-   per member.
-5. Where components are still apart, the members outside the most common one are
-   compared with the whole bucket.  A bucket larger than BLOCK is cut into blocks:
-   a pair of blocks is one row, in which signatures are compared, survivors verified
-   by one matrix product over the shingles both blocks have, and only links given;
-   so no bucket is capped and none emits its pairs.  A pair is taken up in the first
-   band it shares.
+   Each such bucket draws HUBS other hubs, to which its members of other components
+   are compared; a large group of near copies joins up so, at a few rows a member.
+5. Where components are still apart, all members of different components are
+   compared.  A bucket of at most BLOCK members is one row.  A larger one is cut into
+   blocks, and each pair of blocks is a row of its own, dealt out by band and both
+   blocks: signatures are compared, survivors verified by one matrix product over the
+   shingles that both blocks have, and only links given that join something.  No
+   bucket is capped and none emits its pairs.  A pair is taken up in the first band
+   it shares.
 
 Defined results: a text without words (or null) has an empty set and is linked
 with nothing; a row without doc_id is linked with nothing, its component is null
-and it is kept; rows of one doc_id are one document; an empty table gives no
-rows; extra columns are carried by ``deduplicate`` and never read.
+and it is kept; rows of one doc_id are one document; repeated rows change nothing;
+very long texts are read whole; an empty table gives no rows; extra columns, of
+any name, are carried by ``deduplicate`` and never read.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store, textkit
-from .components import components
+from .components import components, roots
 
-#: Members of a block; rounds of other hubs before the blocks.
-BLOCK, ROUNDS = 64, 2
+#: Members of a bucket that are compared in one row; other hubs that a bucket draws.
+BLOCK, HUBS = 64, 2
+#: Members and shingles of a block of a larger bucket, about.
+CROWD, CROWD_SHINGLES = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -125,7 +128,7 @@ def sets(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "text
                 bands.append(acc.astype(np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "signature", "bands"])
 
-    return rows.mapInArrow(run, _SETS)
+    return rows.mapInArrow(textkit.tidy(run), _SETS)
 
 
 def _agree(left: np.ndarray, right: np.ndarray, stops: list[tuple[int, int]]) -> np.ndarray:
@@ -150,40 +153,50 @@ def prune(pairs: DataFrame, s: Settings) -> DataFrame:
             at = pa.array(_agree(left, right, stops))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "signature_a", "signature_b").mapInArrow(textkit.tidy(run), "a long, b long")
 
 
-def _open_pairs(row: dict, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ids, in ids_2) of a block pair's open pairs that the posterior leaves.
+def _open_pairs(ids: np.ndarray, labels: np.ndarray, signed: np.ndarray, ids_2: np.ndarray, labels_2: np.ndarray, signed_2: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the open pairs of two lists of members that the posterior leaves.
 
-    Open: of different components, not met in an earlier band, and taken once.
+    Open: of different components, not met in one of the k earlier bands, and taken once.
     """
-    ia, ib, la, lb = (np.array(row[x]) for x in ("ids", "ids_2", "labels", "labels_2"))
-    left, right = (np.frombuffer(b"".join(row[x]), np.uint32).reshape(-1, s.length) for x in ("signatures", "signatures_2"))
-    take = (la[:, None] != lb[None, :]) & ((lb[None, :] == row["top"]) | (ia[:, None] < ib[None, :]))
-    for k in range(row["k"]):
-        band = slice(k * s.rows, (k + 1) * s.rows)
-        take &= ~(left[:, None, band] == right[None, :, band]).all(axis=2)
+    take = (labels[:, None] != labels_2[None, :]) & ((ids[:, None] < ids_2[None, :]) if ids is ids_2 else True)
+    for i in range(k):
+        if not take.any():
+            break
+        band = slice(i * s.rows, (i + 1) * s.rows)
+        _, at = np.unique(np.concatenate([signed[:, band], signed_2[:, band]]), axis=0, return_inverse=True)
+        take &= at[: len(ids), None] != at[None, len(ids) :]
     a, b = np.nonzero(take)
-    at = _agree(left[a], right[b], s.least_agreements()) if len(a) else a
+    at = [part + low for low in range(0, len(a), 1 << 15) for part in (_agree(signed[a[low : low + (1 << 15)]], signed_2[b[low : low + (1 << 15)]], s.least_agreements()),)]
+    at = np.concatenate(at) if at else np.zeros(0, np.int64)
     return a[at], b[at]
 
 
-def _links(ia: np.ndarray, ib: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(ia, ib), pa.int64()), pa.array(np.minimum(ia, ib), pa.int64())], names=["a", "b"])
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
+def _members(row: dict, s: Settings, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, labels and signatures of a row's list of members."""
+    signed = np.frombuffer(b"".join(row[f"signatures{side}"]), np.uint32).reshape(-1, s.length)
+    return np.array(row[f"reps{side}"], np.int64), np.array(row[f"labels{side}"], np.int64), signed
 
-def prune_blocks(blocks: DataFrame, s: Settings) -> DataFrame:
-    """Small buckets: the open pairs that survive, as (a, b)."""
+
+def prune_buckets(buckets: DataFrame, s: Settings) -> DataFrame:
+    """The open pairs of small buckets (k, reps, labels, signatures) that survive, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = _open_pairs(row, s)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = _members(row, s)
+                a, b = _open_pairs(*own, *own, row["k"], s)
                 if len(a):
-                    yield _links(np.array(row["ids"])[a], np.array(row["ids_2"])[b])
+                    yield _links(own[0][b], own[0][a])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return buckets.mapInArrow(textkit.tidy(run), "a long, b long")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -200,49 +213,43 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def verify_blocks(blocks: DataFrame, s: Settings) -> DataFrame:
-    """Large buckets: links among the open pairs of a block pair, verified on full sets here.
+    """Pairs of blocks of large buckets: links among their open pairs, verified on full sets here.
 
-    Only links that join something within the block pair are given.
+    Only links that join something within the pair of blocks are given.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, list[np.ndarray]] = {}
-
-        def sets_of(ids: list[int], texts: list[str | None]) -> list[np.ndarray]:
-            if len(known) > 64:
-                known.clear()
-            key = tuple(ids)
-            if key not in known:
-                known[key] = textkit.distinct_sets(*textkit.shingles(textkit.words(pa.array(texts, pa.string()), lower=True), s.k))
-            return known[key]
+    def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+        return textkit.distinct_sets(*textkit.shingles(textkit.words(pa.array(texts, pa.large_string()), lower=True), s.k))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[tuple, list[np.ndarray]] | None = None
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = _open_pairs(row, s)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = _members(row, s)
+                other = own if row["block"] == row["block_2"] else _members(row, s, "_2")
+                a, b = _open_pairs(*own, *other, row["k"], s)
                 if not len(a):
                     continue
-                left, right = sets_of(row["ids"], row["texts"]), sets_of(row["ids_2"], row["texts_2"])
-                shared = shared_counts(left, right)[a, b]
+                left = sets_of(row["texts"])
+                key = (row["band"], row["block_2"])
+                if other is own:
+                    right = left
+                elif last is not None and last[0] == key:
+                    right = last[1]
+                else:
+                    right = sets_of(row["texts_2"])
+                    last = key, right
+                use_a, at_a = np.unique(a, return_inverse=True)
+                use_b, at_b = np.unique(b, return_inverse=True)
+                shared = shared_counts([left[x] for x in use_a], [right[x] for x in use_b])[at_a, at_b]
                 na, nb = np.array([len(x) for x in left])[a], np.array([len(x) for x in right])[b]
                 good = (shared > 0) & (100 * shared >= s.percent * (na + nb - shared))
-                ia, ib = np.array(row["ids"])[a[good]], np.array(row["ids_2"])[b[good]]
-                root: dict[int, int] = {}
-
-                def find(x: int, root: dict[int, int] = root) -> int:
-                    while root.setdefault(x, x) != x:
-                        x = root[x]
-                    return x
-
-                keep = []
-                for i, (x, y) in enumerate(zip(ia.tolist(), ib.tolist(), strict=True)):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[x] = y
-                        keep.append(i)
-                if keep:
-                    yield _links(ia[keep], ib[keep])
+                if good.any():
+                    node, root = roots(own[0][a[good]], other[0][b[good]])
+                    yield _links(node[node != root], root[node != root])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(textkit.tidy(run), "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -264,97 +271,82 @@ def verify(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                 good.append(100 * shared >= s.percent * (len(mine) + len(last[1]) - shared) and shared > 0)
             yield part.select(["a", "b"]).filter(pa.array(good))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(textkit.tidy(run), "a long, b long")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id IS NOT NULL")
+def _signed(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b, signature_a, signature_b) of the distinct pairs of a member (a) with hubs (b).
+
+    A member meets one hub a band and draw, so its list is short.
+    """
+    listed = members.groupBy("a").agg(F.collect_set("b").alias("hubs"))
+    out = listed.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("signature_a")).hint("merge"), "a")
+    out = out.select("a", "signature_a", F.explode("hubs").alias("b"))
+    return out.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b")).hint("merge"), "b")
 
 
 def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     s = settings or Settings()
+    work = store.Scratch()
     rows = store.table(sets(docs, s), "near-sets")
     usable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = store.table(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "near-classes")
-
-    # One row per class, with its signature.
-    stand = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
-    stand = store.table(stand.select(F.col("doc_id").alias("rep"), "signature", "bands"), "near-stand")
-    banded = stand.select("rep", F.posexplode("bands").alias("k", "band"))
-    hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
-    hubs = store.table(hubs.drop("top"), "near-hubs")
-    members = banded.join(hubs.hint("merge"), "band")
-    pairs = store.table(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near-pairs")
-    signed = stand.select("rep", "signature")
-
-    def with_signatures(p: DataFrame) -> DataFrame:
-        out = p.join(signed.withColumnsRenamed({"rep": "a", "signature": "signature_a"}).hint("merge"), "a")
-        return out.join(signed.withColumnsRenamed({"rep": "b", "signature": "signature_b"}).hint("merge"), "b")
-
-    texts = _texts(docs)  # a doc_id with several texts is linked by any of them
-    left = store.table(prune(with_signatures(pairs), s), "near-pairs")
-    links = store.table(verify(left, texts, s).unionByName(_same_document(usable, classes)), "near-links")
-    found = store.table(components(links), "near-components")
-    tried = pairs
-
-    members = members.filter("n > 2").select("band", "k", "rep", "n")
-    crowded = members.select("rep").distinct()
-    texts = store.table(texts.join(crowded.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "near-texts")
+    # One row per class; equal sets have equal signatures.
+    classes = work.table(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "signature", "bands")]), "near-classes")
+    signed = classes.select("rep", "signature")
+    banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("k", "band"))
+    hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("n_all"), F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
+    members = work.table(banded.drop("n_shingles").join(work.table(hubs.drop("top"), "near-hubs").hint("merge"), "band"), "near-members")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id IS NOT NULL")
+    texts = work.table(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")  # a doc_id with several texts is linked by any of them
+    left = work.table(prune(_signed(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), signed), s), "near-pairs")
+    links = verify(left, texts, s)
+    if _repeated(usable):
+        links = links.unionByName(_same_document(usable, classes))
+    found = components(work.table(links, "near-links"))
+
+    members = members.filter("n > 2")
 
     def labelled() -> DataFrame:
         at = members.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-        return store.table(at.select("band", "k", "rep", "n", F.coalesce("component", "rep").alias("label")), "near-labels")
+        return work.table(at.select("band", "k", "rep", "n", "n_all", "hub", F.coalesce("component", "rep").alias("label")), "near-labels")
 
-    def add(more: DataFrame) -> bool:
-        """Add verified links; whether there are any."""
+    def add(new: DataFrame) -> bool:
+        """Add links; whether there are any."""
         nonlocal found
-        new = store.table(more, "near-links")
         if not new.limit(1).count():
             return False
-        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = store.table(components(known.unionByName(new)), "near-components")
+        found = components(work.table(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), "near-links"))
         return True
 
+    # Other hubs in every bucket that still holds several components, by lot in each band.
     labels = labelled()
-    for turn in range(ROUNDS):
-        # Another hub in every bucket that still holds several components, by lot in each band.
-        lot = F.min_by(F.struct("rep", "label"), F.xxhash64("rep", "band", F.lit(turn))).alias("hub")
-        open_ = labels.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), lot).filter("low < high").select("band", "hub")
-        others = labels.join(store.table(open_, "near-open").hint("merge"), "band").filter("label <> hub.label")
-        pairs = others.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = store.table(pairs, "near-pairs")
-        tried = tried.unionByName(pairs)
-        if not add(verify(store.table(prune(with_signatures(pairs), s), "near-pairs"), texts, s)):
-            break
+    lots = F.array(*[F.min_by(F.struct("rep", "label"), F.when(F.col("rep") != F.col("hub"), F.xxhash64("rep", "band", F.lit(i)))) for i in range(HUBS)])
+    apart = labels.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), lots.alias("drawn")).filter("low < high").select("band", "drawn")
+    others = labels.join(work.table(apart, "near-open").hint("merge"), "band").select("rep", "label", F.explode("drawn").alias("hub")).filter("label <> hub.label")
+    left = work.table(prune(_signed(others.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), signed), s), "near-pairs")
+    if add(work.table(verify(left, texts, s), "near-links")):
         labels = labelled()
 
-    # What is left: every member outside its bucket's most common component against the whole bucket.
-    size = F.count(F.lit(1)).alias("most")
-    common = labels.groupBy("band", "label").agg(size).groupBy("band").agg(F.max(F.struct("most", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("band", F.col("top.label").alias("top"))
-    rest = labels.join(store.table(common, "near-open").hint("merge"), "band").join(signed.hint("merge"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("apart", F.col("label") != F.col("top"))
-    rest = store.table(rest, "near-rest")
-
-    def block_pairs(rows: DataFrame, lists: list[str]) -> DataFrame:
-        listed = [F.collect_list(c).alias(f"{c}s" if c != "rep" else "ids") for c in lists]
-        names = ["ids", *[f"{c}s" for c in lists if c != "rep"]]
-        every = store.table(rows.groupBy("band", "block").agg(*listed), "near-blocks").withColumnsRenamed({n: f"{n}_2" for n in [*names, "block"]})
-        apart = store.table(rows.filter("apart").groupBy("band", "k", "block", "top").agg(*listed), "near-apart")
-        return apart.join(every.hint("merge"), "band").select("k", "top", *names, *[f"{n}_2" for n in names])
-
-    few = prune_blocks(block_pairs(rest.filter(F.col("n") <= BLOCK), ["rep", "label", "signature"]), s)
-    few = store.table(few.join(tried, ["a", "b"], "left_anti"), "near-more")
-    crowds = rest.filter(F.col("n") > BLOCK).join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
-    many = verify_blocks(block_pairs(crowds, ["rep", "label", "signature", "text"]), s)
-    add(verify(few, texts, s).unionByName(many))
-
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_component"))
+    # What is left: all members of buckets that still hold several components.
+    apart = labels.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+    rest = work.table(labels.drop("hub").join(work.table(apart, "near-open").hint("merge"), "band").join(signed.hint("merge"), "rep"), "near-rest")
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("rep", "label", "signature")]
+    few = rest.filter(F.col("n") <= BLOCK).groupBy("band", "k").agg(*lists)
+    left = work.table(prune_buckets(few, s).distinct(), "near-pairs")
+    more = [work.table(verify(left, texts, s), "near-links")]
+    if rest.filter(F.col("n") > BLOCK).limit(1).count():
+        more.append(work.table(verify_blocks(_block_pairs(rest.filter(F.col("n") > BLOCK), texts, work), s), "near-links"))
+    for new in more:
+        add(new)
+
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     named = store.table(named, "near-named")
+    work.clear()
     # Rows without a set get keys of their own, so that they don't meet in one task.
     keyed = rows.select("doc_id", "n_shingles", F.coalesce("set_key", F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))).alias("set_key"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
         keyed.join(named.hint("merge"), "set_key", "left")
         .withColumn("component_id", component)
@@ -362,6 +354,23 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     )
 
 
+def _block_pairs(rest: DataFrame, texts: DataFrame, work: store.Scratch) -> DataFrame:
+    """Every pair of blocks of each large bucket, with the members of both."""
+    blocks = F.ceil(F.greatest(F.col("n") / CROWD, F.col("n_all") / CROWD_SHINGLES)).cast("int")
+    crowds = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    crowds = crowds.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    names = [f"{c}s" for c in ("rep", "label", "signature", "text")]
+    made = work.table(crowds.groupBy("band", "k", "blocks", "block").agg(*[F.collect_list(c[:-1]).alias(c) for c in names]), "near-blocks")
+    first = made.withColumn("block_2", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    second = made.select("band", F.col("block").alias("block_2"), *[F.col(c).alias(f"{c}_2") for c in names])
+    return first.join(second.hint("merge"), ["band", "block_2"]).select("band", "k", "block", "block_2", *names, *[f"{c}_2" for c in names])
+
+
+def _repeated(usable: DataFrame) -> bool:
+    """Whether a doc_id has rows with different sets."""
+    return usable.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").limit(1).count() > 0
+
+
 def _same_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of a doc_id that has rows with different sets."""
     several = usable.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").select("doc_id")
@@ -372,6 +381,6 @@ def _same_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One document of each component, with all its columns."""
-    columns = docs.columns
-    gone = group(docs, settings).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*columns)
+    (name,) = store.free(docs, "gone")
+    gone = group(docs, settings).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*docs.columns)

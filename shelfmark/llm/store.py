@@ -1,7 +1,7 @@
 """Tables and checkpoints in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``; a temporary one is made only where the
-session names none (local tests).
+The folder is ``spark.checkpoint.dir``; a temporary one is made only where a local
+session names none (tests).  What an application leaves there goes when it ends.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SWEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = context.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
@@ -30,8 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/shelfmark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/shelfmark/{app}"
+    if app not in _SWEPT:
+        _SWEPT.add(app)
+        files, at = _file_system(spark, folder)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it needs to differ from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Spark's setting for removing a query's shuffle files as soon as it ends.
@@ -65,21 +91,28 @@ def table(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table written by ``table`` that nothing reads any more."""
-    path = getattr(df, "shelf_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by ``table`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "shelf_path", None)
+        if path is not None:
+            files, at = _file_system(df.sparkSession, path)
+            files.delete(at, True)
+
+
+class Scratch:
+    """Tables of one operator: all but those that its result reads go when it is planned."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
 
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        self.made.append(table(df, label))
+        return self.made[-1]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; executors may be lost afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def clear(self, *keep: DataFrame) -> None:
+        drop(*[t for t in self.made if not any(t is k for k in keep)])
+        self.made = [t for t in self.made if any(t is k for k in keep)]
 
 
 def partitions(spark: SparkSession) -> int:

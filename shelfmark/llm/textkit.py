@@ -7,7 +7,8 @@ on every machine and run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +161,23 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 def distinct_sets(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct hashes of each text."""
     return [np.unique(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def tidy(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run``, after which a worker gives back the memory of its task.
+
+    Workers are used again by later tasks; what they keep counts for every one of them.
+    """
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return done

@@ -37,7 +37,16 @@ def none(spark):
 
 def clashing(docs):
     """Columns with the names that operators use inside."""
-    return docs.selectExpr("*", "1 AS p", "2 AS size", "3 AS tag", "4 AS range", "5 AS digest", "6 AS band", "7 AS rep", "8 AS found", "9 AS h", "10 AS d", "'x' AS lang_pred")
+    names = "p size tag range digest band rep found h d label hub gone key lang_pred found_lang found_score _gone _digest _keep_id _tag _key _id _times _n _row _take _lang _score component_id kept".split()
+    return docs.selectExpr("*", *[f"'{i}' AS {n}" for i, n in enumerate(names)])
+
+
+def same_columns(out, docs):
+    """All columns of the clashing table are there with their own values."""
+    wide = clashing(docs)
+    assert out.columns == wide.columns
+    first = wide.drop(*docs.columns).first()
+    assert all(r == first for r in out.drop(*docs.columns).distinct().collect())
 
 
 # words
@@ -96,10 +105,10 @@ def test_bucket_whose_members_do_not_match_the_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
-def test_blocks_alone_find_every_link(spark, monkeypatch):
-    """Near copies around the threshold, in buckets of many blocks and with no further hubs."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+def test_blocks_find_every_link(spark, monkeypatch):
+    """Near copies around the threshold, in buckets of many blocks."""
+    for name, value in (("BLOCK", 4), ("CROWD", 4), ("HUBS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -120,8 +129,7 @@ def test_shared_counts():
 
 
 def test_near_dedup_keeps_columns(docs, none):
-    out = near_dedup.deduplicate(clashing(docs))
-    assert out.columns == clashing(docs).columns
+    same_columns(near_dedup.deduplicate(clashing(docs)), docs)
     assert near_dedup.group(none).count() == 0
 
 
@@ -133,9 +141,10 @@ def test_posterior_bounds():
     assert tail < s.miss
 
 
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "a long, b long")
-    found = {r.node: r.component for r in components.components(links).collect()}
+@pytest.mark.parametrize("chunk", [1 << 19, 40])
+def test_components_of_a_long_chain(spark, chunk):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (3, 4)], "a long, b long").repartition(8)
+    found = {r.node: r.component for r in components.components(links, chunk).collect()}
     assert found == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
     assert components.components(links.limit(0)).count() == 0
 
@@ -393,10 +402,51 @@ def test_languages(docs, rows, none):
     assert right >= 0.8 * seen > 20  # some texts are mostly a passage in another language
     assert langid.classify(none).count() == 0
     kept = langid.keep_known(clashing(docs))
-    assert kept.columns == clashing(docs).columns
+    same_columns(kept, docs)
     assert kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
 
 
+def test_languages_equal_brute_force(rows):
+    """Profiles letter by letter, with a long table of trigrams bound in several goes."""
+    texts = [r[1] for r in rows][:40] + ["Ωμέγα 漢字かな " + "".join(chr(0x4E00 + i * 7 % 5000) for i in range(9000))]
+    found, lettered = langid.profiles(texts)
+    for text, profile, has in zip(texts, found, lettered, strict=True):
+        letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+        line = [32]
+        for c in [*letters, 0]:
+            if c or line[-1] != 32:
+                line.append(c or 32)
+        grams = Counter(g for g in zip(line, line[1:], line[2:], strict=False) if g[1] != 32)
+        total = np.zeros(langid.DIMENSIONS)
+        for gram, n in grams.items():
+            a, b, c = langid.vectors(np.array(gram)).astype(int)
+            total += n * np.roll(a, 2) * np.roll(b, 1) * c
+        size = np.sqrt((total**2).sum())
+        assert has == any(letters)
+        assert np.allclose(profile, total / size if size else 0, atol=1e-5)
+
+
+def test_long_junk_is_rejected_and_labels_are_mended(spark, docs):
+    rng = random.Random(5)
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(60))
+    good = next(r for r in docs.collect() if r.lang == "en" and r.doc_id is not None and len(r.text or "") > 300)
+    more = spark.createDataFrame([(9001, junk, "en", "a", 1), (9002, good.text, "fr", "a", 1), (9003, "Zz q.", "de", "a", 1)], corpus.SCHEMA)
+    kept = {r.doc_id: r.lang for r in langid.keep_known(docs.unionByName(more)).collect()}
+    assert 9001 not in kept and kept[9002] == "en" and kept[9003] == "de"
+
+
+def test_memory_of_the_coder_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 40_000)
+    made = bpe.Encoder(bpe.load_ranks(PATH), PATTERN)
+    text = " ".join(f"wörd{i}" for i in range(5000)) + " " + "x" * 70_000
+    tokens = made.encode(text)
+    assert made.decode(tokens).decode() == text
+    assert made.held <= 40_000 and len(made.pieces) + len(made.stretches) < 200
+    assert max(map(len, made.pieces)) <= bpe.LONGEST
+    made.forget()
+    assert not made.pieces and not made.stretches and not made.pairs and not made.held
+
+
 def test_languages_without_labels(spark):
     out = langid.classify(spark.createDataFrame([(1, "words", None, "a", 1)], corpus.SCHEMA)).first()
     assert out.lang_pred == "und"
