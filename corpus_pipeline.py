@@ -5,7 +5,10 @@ All but the last return the columns of ``documents``; the last returns tokens.
 
 Null, empty and repeated rows: a text without a letter is rejected by the first
 stage; a row without doc_id is never a near-duplicate; of repeated rows one is
-kept; an empty table passes through every stage.
+kept; an empty table passes through every stage.  Very long texts are read whole by
+every stage.  Extra columns are carried up to the last stage, whatever their names;
+a null lang, source or n_chars is carried as it is, but for a null lang, which the
+first stage fills in.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from shelfmark.llm import bpe, exact_dedup, langid, mixing, near_dedup, store
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter go."""
+    """Documents in one of the languages, labelled with it; texts without a letter and long texts in none go."""
     return langid.keep_known(docs)
 
 
