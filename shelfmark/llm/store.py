@@ -38,6 +38,18 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where it is absent."""
+    files, at = _file_system(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    files, at = _file_system(spark, path)
+    files.create(at, False).close()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
     folder = f"{shared_dir(spark)}/shelfmark/{app}"

@@ -289,8 +289,9 @@ def test_exact(docs, rows, none):
         kept[r.text_sha256] += r.kept
     assert set(kept.values()) == {1}
     assert exact_dedup.classify(none).count() == 0
-    out = exact_dedup.deduplicate(docs)
-    assert out.columns == docs.columns and out.count() == len(groups)
+    out = exact_dedup.deduplicate(clashing(docs))
+    same_columns(out, docs)
+    assert out.count() == len(groups)
 
 
 def test_index_takes_only_new_digests(spark, docs):
@@ -301,9 +302,39 @@ def test_index_takes_only_new_digests(spark, docs):
     assert index.read().count() == before
     index.ingest(exact_dedup.digests(corpus.frame(spark, [(9999, "a new text", "en", "a", 1)])))
     assert index.read().count() == before + 1
+    assert index.read().filter("keep_id = 9999").count() == 1
     plan = index.read().hint("merge").join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
-    index.drop()
+    index.close()
+
+
+def test_index_outlives_its_session(spark, docs):
+    """A later application finds the files only: nothing is lost, and what was published first stays."""
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    index.ingest(exact_dedup.digests(docs))
+    before = index.read().count()
+    index.close()
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.buckets, again.read().count()) == (3, before)
+    text = next(r.text for r in docs.collect() if r.text and r.doc_id is not None)
+    new = corpus.frame(spark, [(10**6, "another text", "en", "a", 1), (10**6 + 1, text, "en", "a", 1)])
+    assert [r.doc_id for r in exact_dedup.deduplicate(new, again).collect()] == [10**6]
+    assert again.read().count() == before + 1
+    assert [r.doc_id for r in exact_dedup.deduplicate(new, again).collect()] == [10**6]  # a job run again
+    again.close()
+    with pytest.raises(ValueError, match="no digest index"):
+        exact_dedup.DigestIndex(spark, exact_dedup.digests(docs).shelf_path)
+
+
+def test_batches_meet_the_index(spark, docs, monkeypatch):
+    """The query's later batches are anti-joined with what the earlier ones wrote."""
+    seen = []
+    left = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on=None, how=None: (seen.append(how), left(self, other, on, how))[1])
+    before = set(spark.catalog.listTables())
+    exact_dedup.classify(docs)
+    assert seen.count("left_anti") == exact_dedup.BATCHES
+    assert set(spark.catalog.listTables()) == before
 
 
 def test_hot_digest_goes_by_broadcast(spark):
