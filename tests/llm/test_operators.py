@@ -373,12 +373,49 @@ def test_url_model(spark):
 # mixing
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), ("a", 1000), (None, 10), ("c", 5)])
-    assert got[None] == 30 and got["c"] == 15
-    assert sum(got.values()) == pytest.approx(1115)
-    assert got["b"] == 300 and got["a"] == pytest.approx(770)
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+def test_targets(spark):
+    def got(*totals):
+        frame = spark.createDataFrame([(name, words, 1) for name, words in totals], "source string, words long, n long")
+        return {r.source: r.target for r in mixing.targets(frame).collect()}
+
+    found = got(("b", 100), ("a", 1000), (None, 10), ("c", 5))
+    assert found[None] == 30 and found["c"] == 15
+    assert sum(found.values()) == pytest.approx(1115)
+    assert found["b"] == 300 and found["a"] == pytest.approx(770)
+    assert got() == {} and got(("a", 0)) == {"a": 0.0}
+
+
+def test_targets_equal_brute_force(spark):
+    rng = random.Random(11)
+    totals = [(f"s{i:03}" if i else None, rng.choice([0, rng.randint(1, 50), rng.randint(1, 90_000)])) for i in range(300)]
+    order = sorted(totals, key=lambda t: (t[0] is None, t[0] or ""))
+    weight = {name: mixing.WEIGHTS[i % 3] for i, (name, _) in enumerate(order)}
+    want, free = {}, [name for name, _ in order]
+    size, whole = dict(order), sum(w for _, w in order)
+    while free:
+        per = (whole - sum(want.values())) / sum(weight[x] for x in free)
+        over = [x for x in free if per * weight[x] > 3 * size[x]]
+        want |= {x: 3.0 * size[x] for x in over} if over else {x: per * weight[x] for x in free}
+        free = [x for x in free if x not in want] if over else []
+    frame = spark.createDataFrame([(name, words, 1) for name, words in totals], "source string, words long, n long").repartition(7)
+    found = {r.source: r.target for r in mixing.targets(frame).collect()}
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_one_document_of_a_source_takes_the_remainder(spark):
+    docs = corpus.frame(spark, [(1, "w " * 1000, "en", "a", 1), (2, "w " * 1000, "en", "b", 1), (3, "v " * 7, "en", None, 1)])
+    found = mixing.taken(docs).collect()
+    assert all(abs(r.taken - r.target) <= 1 and 0 <= r.taken <= 3 * r["size"] for r in found)
+
+
+def test_many_repeated_rows_are_drawn_together(spark):
+    docs = corpus.frame(spark, [(None, "same text", "en", "a", 1)] * 900 + [(i, "other text here", "en", "b", 1) for i in range(300)])
+    found = mixing.taken(docs).collect()
+    assert len(found) == 1200
+    for target in {r.target for r in found}:
+        own = [r.taken for r in found if r.target == target]
+        assert sum(own) == pytest.approx(target, abs=1) and max(own) - min(own) <= 4
+    assert mixing.mix(docs).filter("doc_id IS NULL").count() in range(*(sum(r.taken for r in found if r.doc_id is None) // 2 + d for d in (-1, 2)))
 
 
 def test_flight_keeps_totals():
@@ -399,11 +436,11 @@ def test_mix(docs, rows, none):
     totals = {(r.source_size, r.target): 0 for r in found}
     for r in found:
         totals[r.source_size, r.target] += r.taken
-    largest = max(r["size"] for r in found)  # documents are taken whole, and one has half of a source's words
-    assert all(abs(got - want) <= 0.02 * want + largest / 2 for (_, want), got in totals.items())
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns
-    assert sum(len(corpus.words(r.text)) for r in mixed.collect()) == sum(r.taken for r in found)
+    assert all(abs(got - want) <= 1 for (_, want), got in totals.items())
+    mixed = mixing.mix(clashing(docs))
+    same_columns(mixed, docs)
+    whole = mixing.plan(docs).selectExpr("sum(size * times)").first()[0]
+    assert sum(len(corpus.words(r.text)) for r in mixed.collect()) == whole
     assert mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
 
 
