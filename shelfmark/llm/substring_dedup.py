@@ -9,8 +9,9 @@ cover positions only (3 of 7) finds every repeat.
    all its hashes.  A bucket tells each document which of its anchors also occur
    in another one.
 2. Around those anchors the match is extended: every full window that contains
-   one is hashed and dealt out in the same way; a window whose least doc_id is
-   smaller than its document's is a repeat.
+   one gets 128 bits from two independent hashes of its words and is dealt out in the
+   same way; a window whose least doc_id is smaller than its document's is a repeat.
+   Two different windows among 1e12 agree in all bits with a chance of about 1e-15.
 3. Each document drops the words that its repeats cover.
 
 Hot passages cost one packed entry per document and are never paired.  Answers come
@@ -18,7 +19,8 @@ back packed too, a row for each bucket and part of the documents.
 
 Defined results: a null or empty text has no words; a row without doc_id neither
 loses words nor takes them from others; rows of one doc_id are one document and do
-not repeat each other; an empty table gives no rows.
+not repeat each other; texts and words of any length are read whole; an empty table
+gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -52,14 +54,28 @@ def _room(w: textkit.Words, k: int) -> np.ndarray:
     return np.arange(len(w.hashes), dtype=np.int64) + k <= np.repeat(w.bounds[1:], w.counts)
 
 
+def _in_order(hashes: np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """Places of the rows (of one or two hashes) in order of ``first``, then of the hashes."""
+    if hashes.shape[1] == 1 and not first:
+        return np.argsort(hashes[:, 0], kind="stable")
+    return np.lexsort((*hashes.T[::-1], *first[::-1]))
+
+
+def _new(hashes: np.ndarray) -> np.ndarray:
+    """Which rows in order differ from the one before."""
+    out = np.ones(len(hashes), bool)
+    out[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
+    return out
+
+
 def _deal(hashes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of packed (hash, doc_id) pairs, one per bucket; equal pairs once."""
-    order = np.argsort(hashes, kind="stable")
+    """Rows of packed (hash, doc_id) pairs, one per bucket; equal pairs of neighbours once."""
+    order = _in_order(hashes)
     hashes, ids = hashes[order], ids[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
+    fresh = _new(hashes)
+    fresh[1:] |= ids[1:] != ids[:-1]
     hashes, ids = hashes[fresh], ids[fresh]
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = ((hashes[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     rows: list[list] = [[], [], [], []]
     for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -83,27 +99,25 @@ def _dealt(found: Iterator[tuple[np.ndarray, np.ndarray, int]], buckets: int) ->
         yield from _deal(np.concatenate(hashes), np.concatenate(ids), buckets)
 
 
-def _undealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _undealt(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a bucket, in order of hash."""
     hashes, ids = [], []
     for h, o, d in zip(*(table.column(x).to_pylist() for x in ("hashes", "owners", "ids")), strict=True):
         known = np.frombuffer(d, np.int64)
-        hashes.append(np.frombuffer(h, np.uint64))
+        hashes.append(np.frombuffer(h, np.uint64).reshape(-1, wide))
         ids.append(known[np.frombuffer(o, np.uint32 if len(known) > 0xFFFF else np.uint16)])
     every, owners = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(every, kind="stable")
+    order = _in_order(every)
     return every[order], owners[order]
 
 
-def _shared(table: pa.Table, both: bool, parts: int) -> pa.Table:
+def _shared(table: pa.Table, both: bool, parts: int, wide: int) -> pa.Table:
     """The (doc_id, hash) pairs whose hash occurs in another document, packed by the document's part.
 
     both: with a smaller or larger doc_id; otherwise with a smaller one only.
     """
-    hashes, ids = _undealt(table)
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    starts = np.flatnonzero(new)
+    hashes, ids = _undealt(table, wide)
+    starts = np.flatnonzero(_new(hashes))
     sizes = np.diff(np.append(starts, len(hashes)))
     least = np.repeat(np.minimum.reduceat(ids, starts), sizes)
     keep = ids > least
@@ -119,27 +133,36 @@ def _shared(table: pa.Table, both: bool, parts: int) -> pa.Table:
     return pa.table({"part": pa.array(at, pa.int32()), "ids": pack(ids), "hashes": pack(hashes)})
 
 
-def _gathered(table: pa.Table) -> pa.Table:
+def _gathered(table: pa.Table, wide: int) -> pa.Table:
     """One row per document of a part with all its hashes, sorted."""
     ids, hashes = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("ids", np.int64), ("hashes", np.uint64)))
-    order = np.lexsort((hashes, ids))
+    hashes = hashes.reshape(-1, wide)
+    order = _in_order(hashes, ids)
     hashes, ids = hashes[order], ids[order]
     docs, first = np.unique(ids, return_index=True)
     ends = np.append(first, len(ids))[1:]
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "found": pa.array([hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
-def _per_document(dealt: DataFrame, both: bool, parts: int) -> DataFrame:
+def _per_document(dealt: DataFrame, both: bool, parts: int, wide: int) -> DataFrame:
     """(doc_id, found): the packed hashes of each document, from all buckets."""
-    rows = dealt.groupBy("bucket").applyInArrow(lambda table: _shared(table, both, parts), "part int, ids binary, hashes binary")
-    return rows.groupBy("part").applyInArrow(_gathered, "doc_id long, found binary")
+    rows = dealt.groupBy("bucket").applyInArrow(lambda table: _shared(table, both, parts, wide), "part int, ids binary, hashes binary")
+    return rows.groupBy("part").applyInArrow(lambda table: _gathered(table, wide), "doc_id long, found binary")
 
 
 def _in(hashes: np.ndarray, packed: bytes) -> np.ndarray:
-    known = np.frombuffer(packed, np.uint64)
-    at = np.searchsorted(known, hashes)
-    at[at == len(known)] = 0
-    return known[at] == hashes
+    """Which rows are among the packed ones, which are in order."""
+    known = np.frombuffer(packed, np.uint64).reshape(-1, hashes.shape[1])
+    at = np.searchsorted(known[:, 0], hashes[:, 0])
+    out = np.zeros(len(hashes), bool)
+    open_ = np.arange(len(hashes))
+    while len(open_):  # a second turn only where the first of two hashes agrees and the other does not
+        open_ = open_[at[open_] < len(known)]
+        open_ = open_[known[at[open_], 0] == hashes[open_, 0]]
+        out[open_] = (known[at[open_]] == hashes[open_]).all(axis=1)
+        open_ = open_[~out[open_]]
+        at[open_] += 1
+    return out
 
 
 def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -156,16 +179,16 @@ def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             for part in textkit.pieces(batches):
                 w = textkit.words(part.column(1))
                 at = np.flatnonzero(_on_cover(w) & _room(w, anchor) & np.repeat(w.counts >= window, w.counts))
-                yield textkit.windows(w.hashes, anchor)[at], part.column(0).to_numpy()[w.owner[at]], part.column(1).nbytes
+                yield textkit.windows(w.hashes, anchor)[at, None], part.column(0).to_numpy()[w.owner[at]], part.column(1).nbytes
 
         yield from _dealt(found(), buckets)
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for part in textkit.pieces(batches):
-                w = textkit.words(part.column(1))
+                w = textkit.words(part.column(1), second=True)
                 hit = np.zeros(len(w.hashes) + 1, np.int32)
-                cover, short, full = _on_cover(w), textkit.windows(w.hashes, anchor), textkit.windows(w.hashes, window)
+                cover, short, full = _on_cover(w), textkit.windows(w.hashes, anchor)[:, None], textkit.long_windows(w, window)
                 cover &= _room(w, anchor)
                 for i, packed in enumerate(part.column(2).to_pylist()):
                     own = np.arange(w.bounds[i], w.bounds[i + 1])
@@ -178,9 +201,9 @@ def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
         yield from _dealt(found(), buckets)
 
-    near = store.table(_per_document(rows.mapInArrow(anchors, _DEALT), True, buckets), "repeat-anchors")
+    near = store.table(_per_document(rows.mapInArrow(textkit.tidy(anchors), _DEALT), True, buckets, 1), "repeat-anchors")
     joined = rows.join(near.hint("merge"), "doc_id").select("doc_id", "text", "found")
-    out = store.table(_per_document(joined.mapInArrow(extended, _DEALT), False, buckets), "repeat-windows")
+    out = store.table(_per_document(joined.mapInArrow(textkit.tidy(extended), _DEALT), False, buckets, 2), "repeat-windows")
     store.drop(near)
     return out
 
@@ -196,15 +219,15 @@ def remove(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFra
     named = rows.filter("doc_id IS NOT NULL")
     marked = named.join(repeats(named, window, buckets).hint("merge"), "doc_id", "left").select("doc_id", "text", "found")
     marked = marked.unionByName(rows.filter("doc_id IS NULL").withColumn("found", F.lit(None).cast("binary")))
-    out = marked.mapInArrow(_remover(window, with_text), _RESULT)
+    out = marked.mapInArrow(textkit.tidy(_remover(window, with_text)), _RESULT)
     return out if with_text else out.drop("kept_text")
 
 
 def _remover(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.pieces(batches):
-            w = textkit.words(part.column(1))
-            full = textkit.windows(w.hashes, window)
+            w = textkit.words(part.column(1), second=True)
+            full = textkit.long_windows(w, window)
             removed, digests, texts = [], [], []
             for i, (text, packed) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 every = text.encode().split()

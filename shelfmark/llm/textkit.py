@@ -41,7 +41,12 @@ _BYTE_VALUE = stream(11, 256)
 _BYTE_VALUE[_IS_SPACE] = 0
 _BYTE_VALUE_LOWER = _BYTE_VALUE.copy()
 _BYTE_VALUE_LOWER[65:91] = _BYTE_VALUE[97:123]
-_POWERS = stream(12, 1 << 16) | np.uint64(1)
+_PLACES = 1 << 16
+_POWERS = stream(12, _PLACES) | np.uint64(1)
+#: A second family of hashes, independent of the first.
+_BYTE_VALUE_2 = stream(14, 256)
+_BYTE_VALUE_2[_IS_SPACE] = 0
+_POWERS_2 = stream(15, _PLACES) | np.uint64(1)
 _SALT = 0xA0761D6478BD642F
 _LENGTH_SALT = np.uint64(_SALT)
 _WINDOW_FACTOR = np.uint64(0xE7037ED1A0B428DB)
@@ -50,10 +55,10 @@ _WINDOW_FACTOR = np.uint64(0xE7037ED1A0B428DB)
 class Words:
     """The words of some texts: their hashes, spans, and each text's range of words."""
 
-    __slots__ = ("bounds", "ends", "hashes", "starts")
+    __slots__ = ("bounds", "ends", "hashes", "second", "starts")
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.hashes, self.bounds, self.starts, self.ends = hashes, bounds, starts, ends
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.ndarray | None = None):
+        self.hashes, self.bounds, self.starts, self.ends, self.second = hashes, bounds, starts, ends, second
 
     @property
     def counts(self) -> np.ndarray:
@@ -76,13 +81,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[offsets[0] : offsets[-1]] if len(offsets) else every[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Split every text of a column; ``lower`` treats A-Z as a-z."""
+def words(column: pa.Array, lower: bool = False, second: bool = False) -> Words:
+    """Split every text of a column; ``lower`` treats A-Z as a-z, ``second`` adds hashes of the other family."""
     data, offsets = raw(column)
     n = len(data)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, np.zeros(0, np.uint64))
     space = _IS_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -94,7 +99,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     ends = np.flatnonzero(finishes) + 1
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return Words(np.zeros(0, np.uint64), bounds, starts, ends)
+        return Words(np.zeros(0, np.uint64), bounds, starts, ends, np.zeros(0, np.uint64))
     value = (_BYTE_VALUE_LOWER if lower else _BYTE_VALUE)[data]
     lengths = ends - starts
     place = np.arange(n, dtype=np.int64)
@@ -102,26 +107,42 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     gap[:-1] = starts[1:] - starts[:-1]
     gap[-1] = n - starts[-1]
     place[starts[0] :] -= np.repeat(starts, gap)
-    place &= 0xFFFF
-    value *= _POWERS[place]
-    hashes = np.add.reduceat(value, starts)
-    hashes ^= lengths.astype(np.uint64) * _LENGTH_SALT
-    return Words(mix(hashes), bounds, starts, ends)
+    far = None
+    if lengths.max() > _PLACES:  # places beyond the table get a factor for their stretch of it, too
+        far = stream(13, int(max(gap.max(), starts[0])) // _PLACES + 1) | np.uint64(1)
+        far[0] = 1
+        far = far[place // _PLACES]
+    place &= _PLACES - 1
 
+    def summed(value: np.ndarray, powers: np.ndarray) -> np.ndarray:
+        value *= powers[place]
+        if far is not None:
+            value *= far
+        out = np.add.reduceat(value, starts)
+        out ^= lengths.astype(np.uint64) * _LENGTH_SALT
+        return mix(out)
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    return Words(summed(value, _POWERS), bounds, starts, ends, summed(_BYTE_VALUE_2[data], _POWERS_2) if second else None)
+
+
+def windows(hashes: np.ndarray, k: int, factor: np.uint64 = _WINDOW_FACTOR) -> np.ndarray:
     """Hashes of all runs of k consecutive words, whatever texts they belong to."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc = hashes[:n].copy()
     for j in range(1, k):
-        acc *= _WINDOW_FACTOR
+        acc *= factor
         acc += hashes[j : j + n]
     acc += np.uint64(k * _SALT & _MASK)
     return mix(acc)
 
 
+def long_windows(w: Words, k: int) -> np.ndarray:
+    """128 bits of each run of k consecutive words: two columns of independent hashes."""
+    return np.stack([windows(w.hashes, k), windows(w.second, k, np.uint64(0x8EBC6AF09C88C6E3))], axis=1)
+
+
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's k-word windows and their bounds.
 

@@ -266,6 +266,24 @@ def test_repeats_at_every_alignment(spark, shift):
     assert found == {1: 0, 2: 13, 3: 0}
 
 
+def test_windows_with_one_equal_hash_are_told_apart():
+    hashes = np.array([[5, 1], [5, 2], [5, 4], [6, 1], [9, 9]], np.uint64)
+    packed = np.array([[5, 1], [5, 2], [5, 3], [6, 2]], np.uint64).tobytes()
+    assert substring_dedup._in(hashes, packed).tolist() == [True, True, False, False, False]
+    ids = np.array([1, 2, 1, 2, 3])
+    rows = next(substring_dedup._deal(np.array([[5, 1], [5, 2], [7, 1], [7, 1], [7, 2]], np.uint64), ids, 1))
+    found = substring_dedup._shared(pa.Table.from_batches([rows]), False, 1, 2).to_pylist()
+    assert [(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["hashes"], np.uint64).tolist()) for r in found] == [([2], [7, 1])]
+
+
+def test_stretches_of_a_very_long_word_count_by_their_place():
+    a, b = "a" * 65536, "b" * 65536
+    w = textkit.words(pa.array([a + b + "c", b + a + "c", a + b + "c"]), second=True)
+    assert w.hashes[0] == w.hashes[2] != w.hashes[1] and w.second[0] == w.second[2] != w.second[1]
+    near = textkit.words(pa.array(["  one two", "b" * 70_000]), second=True), textkit.words(pa.array(["one two"]), second=True)
+    assert near[0].hashes[:2].tolist() == near[1].hashes.tolist() and near[0].second[:2].tolist() == near[1].second.tolist()
+
+
 def test_difference_cover():
     for i in range(7):
         for j in range(7):
