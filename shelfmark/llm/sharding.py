@@ -4,17 +4,22 @@ Rows are ordered by (text hash, doc_id), so equal texts lie side by side.
 Size-weighted samples of that key give quantile boundaries; exact sums per range
 follow, and a range with too many rows or bytes is subdivided at the sample's
 quantiles inside it.  A prefix sum over the ranges and a running sum inside each
-give every row its place in the whole order, from which shard and slot follow:
-shard sizes differ from the mean by at most one document.
+give every row its place in the whole order, from which shard and slot follow.
+A group of equal texts of at most SNAP of a shard goes whole to the shard that its
+middle falls in; a row of a larger group goes by its own middle.  So only groups too
+large to move are split, and shard sizes differ from the mean by at most SNAP or one
+document, whichever is larger.
 
 Defined results: a null text has size 1 and the checksum of the empty text; a
-null doc_id sorts first; repeated rows take neighbouring slots; an empty table
-gives no rows.  One text may hold most rows: its rows are told apart by doc_id.
+null doc_id sorts first; repeated rows take neighbouring slots; texts of any length
+are one row; an empty table gives no rows; other columns are not read.  One text may
+hold most rows: its rows are told apart by doc_id.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,8 @@ from . import store
 FAN, SAMPLE = 64, 16384
 #: A range with more rows, or more than OVERFULL times the mean bytes, is subdivided.
 RANGE_ROWS, OVERFULL = 20_000, 1.25
+#: The share of a shard up to which a group of equal texts is kept together.
+SNAP = 0.02
 
 _LOW = -(1 << 63)
 
@@ -66,6 +73,9 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(4), "d", "h"), 11) / F.lit(float(1 << 53))
     drawn = slim.filter(unit < F.col("size") * F.lit(SAMPLE / max(total, 1))).select("h", "d").collect()
     keys = sorted((r.h, r.d) for r in drawn)
+    # A boundary stands before its group, unless the group is a large one, which may be cut.
+    often = Counter(h for h, _ in keys)
+    keys = [(h, d) if often[h] > SNAP * len(keys) / shards / 2 + 4 else (h, _LOW) for h, d in keys]
     top = _quantiles(keys)
     ranged = slim.withColumn("_top", _rank(_key_array(top), key))
 
@@ -100,7 +110,10 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         ranged.join(F.broadcast(offsets), "_range")
         .withColumn("_at", F.col("_n") + F.expr(f"count(1) OVER ({order})") - 1)
         .withColumn("_upto", F.col("_b") + F.expr(f"sum(size) OVER ({order})"))
-        .withColumn("shard", F.expr(f"cast(least({shards - 1}, ((2 * _upto - size) * {shards}) div {2 * max(total, 1)}) as int)"))
+        .withColumn("_all", F.expr("sum(size) OVER (PARTITION BY _range, h)"))
+        .withColumn("_from", F.expr("min(_upto - size) OVER (PARTITION BY _range, h)"))
+        .withColumn("_middle", F.expr(f"CASE WHEN _all * {shards} <= {SNAP * max(total, 1)} THEN 2 * _from + _all ELSE 2 * _upto - size END"))
+        .withColumn("shard", F.expr(f"cast(least({shards - 1}, (_middle * {shards}) div {2 * max(total, 1)}) as int)"))
         .select("doc_id", "size", "text_crc32", "shard", "_at")
     )
     placed = store.table(placed, "shard-places")
