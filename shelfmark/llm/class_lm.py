@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import store, textkit
 
 #: Words of a bucket that are moved in small blocks, classes of words, passes of exchange.
-TYPES, CLASSES, PASSES = 8192, 32, 4
+TYPES, CLASSES, PASSES = 1024, 32, 4
 #: Words of a bucket that are moved one by one.
 SINGLY = 256
 #: Pseudo-tokens given to a class's smoothed transitions.

@@ -241,6 +241,19 @@ def test_shards_of_one_hot_text(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2
 
 
+def test_small_groups_are_not_split(spark):
+    rows = [(i, f"text number {i % 400} " + "w" * (i % 400 % 37), "en", "a", 9) for i in range(1600)]
+    found = sharding.shard(corpus.frame(spark, rows), 4).collect()
+    groups: dict = {}
+    for r in found:
+        groups.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(groups) == 400 and all(len(x) == 1 for x in groups.values())
+    total = sum(r.size for r in found)
+    for shard in range(4):
+        assert abs(sum(r.size for r in found if r.shard == shard) - total / 4) <= sharding.SNAP * total / 4
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+
+
 # substring dedup
 
 
@@ -388,6 +401,24 @@ def test_url_model(spark):
         url_filter.train(spark.range(url_filter.TRAIN_ROWS + 1).selectExpr("concat('http://a/', id) AS url", "1 AS label"))
 
 
+def test_url_accuracy_on_held_out_hosts(spark):
+    assert url_filter.accuracy(url_filter.labelled(spark)) > 0.93
+
+
+def test_url_scores_equal_brute_force(spark):
+    """Trigrams, weights and verdicts in plain Python."""
+    urls = ["https://Casino-4u.test/Win?x#y", "http://a/", "ftp://x.org", "nothing", None, "https://www.library.co.uk/en/guide.html"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    weights, bias = url_filter.train(url_filter.labelled(spark))
+    grams = spark.createDataFrame([(m, t) for r in url_filter.judge(pages).collect() for m, x in (("h", r.host), ("p", r.path)) for s in [f"{m}^{x}$"] for t in [s[i : i + 3] for i in range(len(s) - 2)]], "mark string, gram string").distinct()
+    number = {(r.mark, r.gram): r.n for r in grams.selectExpr("mark", "gram", f"pmod(xxhash64(mark, gram), {url_filter.BUCKETS}) AS n").collect()}
+    for r in url_filter.judge(pages).collect():
+        found = {number[m, s[i : i + 3]] for m, x in (("h", r.host), ("p", r.path)) for s in [f"{m}^{x}$"] for i in range(len(s) - 2)}
+        expected = 1 / (1 + math.exp(-(bias + sum(weights[i] for i in found) / math.sqrt(len(found)))))
+        assert r.allow_probability == pytest.approx(expected)
+        assert r.rule is not None or r.verdict == ("allow" if expected >= 0.5 else "block")
+
+
 # mixing
 
 
@@ -602,6 +633,45 @@ def test_every_word_has_a_class_of_its_own(spark):
     assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.25
 
 
+def test_scores_equal_brute_force(docs, rows, monkeypatch):
+    """The model's formula in plain Python, with the classes that clustering gave."""
+    made, cluster = [], class_lm.cluster
+    monkeypatch.setattr(class_lm, "cluster", lambda table, buckets: made.append((table, cluster(table, buckets))) or made[0][1])
+    found = class_lm.score(docs).collect()
+    table, model = made[0]
+    of: dict[int, int] = {}
+    for row in class_lm._with_classes(table, model.kinds).collect():
+        words = np.frombuffer(row.words, np.uint64).tolist()
+        kinds = class_lm._classes({"kinds": [{"kinds": x.kinds} for x in row.kinds] if row.kinds is not None else None, "words": row.words})
+        of |= dict(zip(words, kinds.tolist(), strict=False))
+    number = lambda word: int(textkit.words(pa.array([word]), lower=True).hashes[0])
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    learned = [[number(w) for w in corpus.words(text)] for doc_id, text, *_ in rows if not held(doc_id)]
+    counts = Counter(w for text in learned for w in text)
+    end, width = class_lm._END, class_lm.CLASSES + 1
+    pairs: Counter = Counter()
+    for text in learned:
+        line = [end, *[of[w] for w in text], end]
+        pairs.update(zip(line, line[1:], strict=False))
+    sizes, before = Counter(), Counter()
+    for (p, c), n in pairs.items():
+        sizes[c] += n
+        before[p] += n
+    total, tokens = sum(sizes.values()), sum(counts.values()) + len(learned)
+    unseen = (sum(n == 1 for n in counts.values()) + 1) / (tokens + 2)
+    share = lambda c: (sizes[c] + 1) / (total + width)
+    move = lambda p, c: (pairs[p, c] + class_lm.PRIOR * share(c)) / (before[p] + class_lm.PRIOR)
+    by_id = {r[0]: r[1] for r in rows if r[0] is not None and r[0] != 189}
+    for r in found:
+        if r.doc_id not in by_id:
+            continue
+        expected, p = 0.0, end
+        for w in [number(x) for x in corpus.words(by_id[r.doc_id])]:
+            expected += math.log10(move(p, of[w])) + (math.log10((1 - unseen) * counts[w] / sizes[of[w]]) if counts[w] else math.log10(unseen))
+            p = of[w]
+        assert r.score == pytest.approx(expected + math.log10(move(p, end)) + math.log10(1 - unseen), rel=1e-6)
+
+
 def test_transitions_add_up(docs):
     rows = store.table(class_lm.units(docs.select("doc_id", "text", F.lit(False).alias("held_out"))), "t")
     model = class_lm.cluster(rows)
