@@ -7,8 +7,9 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze
+from .text import normalize_text, squeeze
 
+# Fixed value: the form of an amount.
 PRICE = r"(?<!\w)[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 
 # Spellings of pack units.
@@ -24,37 +25,62 @@ PACK_UNITS = {
 }
 
 
-def parse_price(col: Column) -> Column:
-    """The first amount of a price text as DECIMAL(18,6), negative if marked so."""
-    text = squeeze(F.translate(col, "−", "-"))
+# The forms of a pack text, with the groups of its quantity and unit.
+PACK_FORMS = ((r"(?i)^([a-z]+)\s+of\s+([\d,]+)$", 2, 1), (r"(?i)^([\d,]+)\s*(?:/|per)\s*([a-z]+)$", 1, 2), (r"(?i)^([\d,]+)\s+([a-z]+)$", 1, 2))
+
+# The units that a pack inside a longer text may have; each may end in s.
+PACK_INSIDE_UNITS = ("box", "bx", "case", "cs", "pack", "pk", "each", "ea", "count", "ct", "bag", "bottle", "pair", "kit", "set", "roll", "pouch", "tube", "tray", "vial")
+
+
+def amount_text(text: Column) -> Column:
+    """The first amount of a text without entities, as text with its scale; negative if marked so."""
+    text = squeeze(F.translate(text, "−", "-"))
     token = F.regexp_extract(text, f"({PRICE})", 1)
-    amount = F.replace(token, F.lit(","), F.lit("")).try_cast("decimal(18,6)")
+    digits = F.replace(F.ltrim(token, F.lit("+-")), F.lit(","), F.lit(""))
     before = F.regexp_extract(text, rf"^(.*?){PRICE}", 1)
-    negative = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.rlike(before, F.lit(r"-\s*[$€£¥]?\s*$"))
-    return F.when(token != "", F.when((amount > 0) & negative, -amount).otherwise(amount))
+    marked = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.rlike(before, F.lit(r"-\s*[$€£¥]?\s*$"))
+    minus = F.startswith(token, F.lit("-")) | (marked & F.rlike(digits, F.lit("[1-9]")))
+    return F.when(token != "", F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), digits))
 
 
-def pack_size(col: Column) -> Column:
-    """quantity/unit of the usual pack texts; other texts stay as they are."""
-    text = squeeze(col)
+def parse_price(col: Column) -> Column:
+    """The first amount of a price text as DECIMAL(38,6), after its entities are decoded."""
+    return amount_text(normalize_text(col)).try_cast("decimal(38,6)")
+
+
+def pack_form(text: Column) -> Column:
+    """quantity/unit of the usual pack texts without entities; other texts stay as they are."""
+    text = squeeze(text)
     units = F.create_map(*[F.lit(x) for x in chain.from_iterable(PACK_UNITS.items())])
 
     def form(pattern: str, quantity: int, unit: int) -> Column:
         known = F.try_element_at(units, F.lower(F.regexp_extract(text, pattern, unit)))
         return F.concat(F.replace(F.regexp_extract(text, pattern, quantity), F.lit(","), F.lit("")), F.lit("/"), known)
 
-    return F.coalesce(form(r"(?i)^([a-z]+)\s+of\s+([\d,]+)$", 2, 1), form(r"(?i)^([\d,]+)\s*(?:/|per)\s*([a-z]+)$", 1, 2), form(r"(?i)^([\d,]+)\s+([a-z]+)$", 1, 2), text)
+    return F.coalesce(*[form(*x) for x in PACK_FORMS], text)
 
 
-def currency(col: Column) -> Column:
-    """Three upper-case letters, null otherwise."""
+def pack_size(col: Column) -> Column:
+    """quantity/unit of the usual pack texts, after their entities are decoded."""
+    return pack_form(normalize_text(col))
+
+
+def pack_inside(text: Column) -> Column:
+    """The first pack text inside a longer one, null where there is none."""
+    inside = rf"(?i)\b((?:[a-z]+\s+of\s+\d[\d,]*|\d[\d,]*\s*(?:/|per\s+)(?:{'|'.join(PACK_INSIDE_UNITS)})s?)\b)"
+    return F.nullif(F.regexp_extract(text, inside, 1), F.lit(""))
+
+
+def currency(col: Column, strict: bool = False) -> Column:
+    """Three upper-case letters; other texts are null, or with ``strict`` an error."""
     code = F.upper(squeeze(col))
-    return F.when(F.rlike(code, F.lit("^[A-Z]{3}$")), code)
+    wrong = F.raise_error(F.concat(F.lit("not a currency code: "), code)) if strict else F.lit(None)
+    return F.when(code.isNull() | F.rlike(code, F.lit("^[A-Z]{3}$")), code).otherwise(wrong.cast("string"))
 
 
 def price_agreement(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """1 where both prices are missing or within the tolerance, else 0."""
-    near = F.abs(a - b) <= F.lit(tolerance).cast("decimal(18,6)")
+    near = F.abs(a - b) <= F.lit(tolerance).cast("decimal(38,6)")
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).when(near, 1.0).otherwise(0.0)
 
 
@@ -65,9 +91,15 @@ def visibility(price: Column, page: Column) -> Column:
     return F.when(price.isNotNull(), "public").when(asks, "login_required").otherwise("not_present")
 
 
-def retry_delay(attempt: Column, retry_after: Column, base: float = 1.0, most: float = 60.0) -> Column:
-    """Seconds to wait: exponential, or what the server asks for (seconds or an HTTP date) up to ``most``."""
+def jitter(key: Column, most: float) -> Column:
+    """A share of ``most`` seconds that the key decides, so that many callers don't wait alike."""
+    return F.lit(most) * (F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000)
+
+
+def retry_delay(attempt: Column, retry_after: Column, base: float = 1.0, most: float = 60.0, extra: Column | None = None) -> Column:
+    """Seconds to wait: exponential with ``extra`` (jitter) added, or what the server asks for (seconds or an HTTP date) up to ``most``."""
     until = F.try_to_timestamp(F.regexp_replace(retry_after, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(retry_after.try_cast("double"), (F.unix_timestamp(until) - F.unix_timestamp(F.current_timestamp())).cast("double"))
     asked = F.least(F.lit(most), F.greatest(F.lit(0.0), seconds))
-    return F.greatest(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.coalesce(asked, F.lit(0.0)))
+    own = F.lit(base) * F.pow(F.lit(2.0), attempt - 1) + (extra if extra is not None else F.lit(0.0))
+    return F.greatest(own, F.coalesce(asked, F.lit(0.0)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import html
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,8 +27,8 @@ def squeeze(col: Column) -> Column:
 
 
 def normalize_text(col: Column, entities: bool = True) -> Column:
-    """Decode entities, then squeeze.  Python runs only where entities are asked for."""
-    return squeeze(F.when(F.contains(col, F.lit("&")), _unescape(col)).otherwise(col) if entities else col)
+    """Decode entities, then squeeze.  Only texts with an ampersand are sent to Python."""
+    return squeeze(F.coalesce(_unescape(F.when(F.contains(col, F.lit("&")), col)), col) if entities else col)
 
 
 class _TextOnly(HTMLParser):
@@ -66,23 +68,37 @@ def has_markup(col: Column) -> Column:
     return F.coalesce(F.rlike(col, F.lit(_TAG)), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
+@lru_cache(1)
+def _folds() -> dict[str, str]:
+    """Lower-case characters that case folding changes further, by Python's own rule."""
+    return {c: f for c in map(chr, range(0x110000)) if c.lower() == c and (f := c.casefold()) != c}
+
+
+def casefold(col: Column) -> Column:
+    """Full case folding in the JVM; most texts are done once they are lower-case."""
+    low = F.lower(col)
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(_folds().items())])
+    folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.rlike(low, F.lit("[" + "".join(_folds()) + "]")), folded).otherwise(low)
 
 
-def comparison_text(col: Column, ascii_only: bool = False) -> Column:
-    """Normalized and case-folded; ``ascii_only`` stays in the JVM for such data."""
-    return F.lower(squeeze(col)) if ascii_only else casefold(normalize_text(col))
+def comparison_text(col: Column, entities: bool = True) -> Column:
+    """Normalized and case-folded; without ``entities`` all of it stays in the JVM."""
+    return casefold(normalize_text(col, entities))
 
 
-def comparison_label(col: Column, ascii_only: bool = False) -> Column:
-    return F.nullif(F.regexp_replace(comparison_text(col, ascii_only), r"[^\p{L}\p{N}]", ""), F.lit(""))
+def comparison_label(col: Column, entities: bool = True) -> Column:
+    return F.nullif(F.regexp_replace(comparison_text(col, entities), r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
 def availability_label(col: Column) -> Column:
     """The last path segment of an availability value, in words."""
-    last = F.regexp_replace(F.regexp_extract(squeeze(col), r"([^/]*)$", 1), "[_-]", " ")
+    return availability_words(normalize_text(col))
+
+
+def availability_words(text: Column) -> Column:
+    """As availability_label, of a text without entities."""
+    last = F.regexp_replace(F.regexp_extract(squeeze(text), r"([^/]*)$", 1), "[_-]", " ")
     return squeeze(F.regexp_replace(last, "(?<=[a-z])(?=[A-Z])", " "))
 
 

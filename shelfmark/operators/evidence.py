@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches, text
 from ..functions import html as markup
-from ..functions import text
 
 TEXT_LIMIT, CONTEXT_LIMIT, MARKER = 25_000, 50_000, "\n[truncated]"
 REPAIR_LIMIT, ASSIGNMENTS, ASSIGNMENT_CHARS, ELEMENTS = 24_000, 20, 320, 400
@@ -44,7 +44,7 @@ def with_context(pages: DataFrame, kind: str = "shadow") -> DataFrame:
     make = shadow_context if kind == "shadow" else repair_context
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches.by_size(frames):
             yield pd.DataFrame({"url": frame["url"], "context": frame["html"].map(lambda h: make(h or ""))})
 
     return pages.select("url", "html").mapInPandas(run, "url string, context string")

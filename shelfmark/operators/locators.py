@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html
+from ..functions import batches, html
 
 CANDIDATES = "candidate string, kind string, expression string, attribute string, path string"
 
@@ -21,7 +21,7 @@ def evaluate(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     pairs = samples.crossJoin(F.broadcast(candidates.select("candidate", "kind", "expression", "attribute", "path")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches.by_size(frames):
             rows = []
             for r in frame.itertuples():
                 try:
@@ -67,7 +67,7 @@ def diagnose(fields: DataFrame, candidates: DataFrame, samples: DataFrame) -> Da
 
 def _outcomes(tried: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches.by_size(frames):
             rows = []
             for r in frame.itertuples():
                 try:

@@ -57,7 +57,6 @@ def validate(extracted: DataFrame) -> DataFrame:
     rows = rows.withColumn("warnings", F.array_distinct(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), notes)))
     rows = rows.withColumn("duplicate_variants_removed", F.size("_ids") - F.size("_first"))
     rows = rows.withColumn("variants", F.transform("_first", lambda i: F.get("variants", i)))
-    plain = F.transform("variants", lambda v: F.struct(v["sku"].alias("sku"), v["item_number"].alias("item_number"), v["product_code"].alias("product_code"), v["price"].alias("price"), v["availability"].alias("availability"), v["unit_pack_size"].alias("unit_pack_size"), F.to_json(records.sorted_map(v["options"])).alias("options")))
-    fields = {c: F.col(c) for c in ("product_url", "name", "brand", "category_path", "description", "image_urls", "price_visibility")}
-    rows = rows.withColumn("content_hash", records.content_hash(fields, plain))
+    stamped = rows.select("product_url", "name", "brand", "category_path", "description", "image_urls", "price_visibility", "provenance", "variants")
+    rows = rows.withColumn("content_hash", F.when(F.col("error").isNull(), records.content_hash(stamped)))
     return rows.withColumn("valid", F.size("errors") == 0).drop("_ids", "_first")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import url as urls
 from ..operators import ordering
 
@@ -33,7 +34,7 @@ def from_listings(pages: DataFrame, site: str) -> DataFrame:
     from ..operators import extraction
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in batches.by_size(frames):
             rows = []
             for r in frame.itertuples():
                 nodes = [n for v in extraction._documents(r.html or "")[0] for n in extraction._nodes(v) if "ItemList" in extraction._types(n)]

@@ -15,13 +15,13 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     ("raw", "price"),
-    [("$1,234.50", "1234.5"), ("(12.00)", "-12"), ("-$5", "-5"), ("− 3.5", "-3.5"), ("USD19.99", "99"), ("€ 9,99", "9"), ("$1,234,56", "1234"), ("call us", None), ("", None), (None, None), ("10 each", "10")],
+    [("$1,234.50", "1234.5"), ("(12.00)", "-12"), ("-$5", "-5"), ("− 3.5", "-3.5"), ("USD19.99", "99"), ("€ 9,99", "9"), ("$1,234,56", "1234"), ("call us", None), ("", None), (None, None), ("10 each", "10"), ("&#36;12.50", "12.5"), ("1234567890123.50", "1234567890123.5"), ("&pound;&nbsp;3", "3"), ("+4", "4"), ("-0", "0"), ("(0.00)", "0")],
 )
 def test_price(spark, raw, price):
     assert one(spark, raw, commerce.parse_price) == (None if price is None else Decimal(price))
 
 
-@pytest.mark.parametrize(("raw", "size"), [("Box of 100", "100/box"), ("100 / BX", "100/box"), ("1,000 per case", "1000/case"), ("12 pcs", "12/piece"), ("2 crates", "2 crates"), ("  ", None), (None, None)])
+@pytest.mark.parametrize(("raw", "size"), [("Box of 100", "100/box"), ("100 / BX", "100/box"), ("1,000 per case", "1000/case"), ("12 pcs", "12/piece"), ("2 crates", "2 crates"), ("10&nbsp;/ BX", "10/box"), ("  ", None), (None, None)])
 def test_pack_size(spark, raw, size):
     assert one(spark, raw, commerce.pack_size) == size
 
@@ -35,6 +35,11 @@ def test_pack_size(spark, raw, size):
         ("https://shop.test/x?gclid=1&q=", "https://shop.test/x?q="),
         ("https://shop.test:8443/x", "https://shop.test:8443/x"),
         ("http://[::1]/x", "http://[::1]/x"),
+        ("https://Shop.test//a///?B=2&a=1&fbclid=z&a=0#x", "https://shop.test/a?B=2&a=0&a=1"),
+        ("http://shop.test:443/", "http://shop.test:443/"),
+        ("https://bücher.test/ü?q=a b&amp;r=%41", "https://xn--bcher-kva.test/%C3%BC?q=a+b&r=A"),
+        ("https://user:pw@shop.test/x", "https://shop.test/x"),
+        ("shop.test/x", None),
         ("ftp://shop.test/x", None),
         ("https://shop.test:99999/x", None),
         ("", None),
@@ -58,6 +63,55 @@ def test_markup_and_labels(spark):
     assert one(spark, "<a href='x'>", text.escape_html) == "&lt;a href=&#x27;x&#x27;&gt;"
 
 
+@pytest.mark.parametrize("raw", ["Straße", "ΣΊΣΥΦΟΣ", "ﬁn", "İx", "ŉ", "abc", "ſ", ""])
+def test_casefold_is_python_s(spark, raw):
+    # The JVM writes a capital sigma at a word's end as a final one; both fold to the same.
+    assert one(spark, raw, text.casefold) == raw.casefold()
+
+
+def test_ordinary_urls_stay_in_the_jvm(spark):
+    """Both ways give the same."""
+    plain = ["http://a.test/x?b=1&a=2&utm_x=3#top", "HTTPS://A.test:443//x//", "http://a.test:80", "http://a-b.test/p;q=1/?x=", "https://a.test/?z=1&z=0"]
+    rows = spark.createDataFrame([(x,) for x in plain], "x string")
+    assert all(r.p for r in rows.select(F.rlike("x", F.lit(url._PLAIN)).alias("p")).collect())
+    assert [r.y for r in rows.select(url.normalize_url("x").alias("y")).collect()] == [url.canonical_url(x) for x in plain]
+
+
+def test_strict_forms_raise(spark):
+    with pytest.raises(Exception, match="not an http"):
+        one(spark, "ftp://x.test/", url.require_url)
+    with pytest.raises(Exception, match="not a currency"):
+        one(spark, "dollars", lambda c: commerce.currency(c, strict=True))
+    assert one(spark, " usd ", lambda c: commerce.currency(c, strict=True)) == "USD"
+
+
+def test_canonical_json_is_sorted_at_every_depth(spark):
+    kind = "m map<string,map<string,int>>, a string"
+    x, y = ({"b": {"z": 1, "y": 2}, "a": {}}, None), ({"a": {}, "b": {"y": 2, "z": 1}}, None)
+    rows = spark.createDataFrame([x, y], kind)
+    found = [r.j for r in rows.select(records.canonical_json(rows, "m", "a").alias("j")).collect()]
+    assert found == ['{"a":null,"m":{"a":{},"b":{"y":2,"z":1}}}'] * 2
+
+
+def test_content_hash_covers_the_whole_record(spark):
+    def hashed(**change):
+        row = {"name": "n", "specifications": {"a": "1", "b": "2"}, "scraped_at": "t", "variants": [("s1", 1.0, {"k": "v"}), ("s2", 2.0, {})]} | change
+        df = spark.createDataFrame([tuple(row.values())], "name string, specifications map<string,string>, scraped_at string, variants array<struct<sku:string,price:double,options:map<string,string>>>")
+        return df.select(records.content_hash(df).alias("h")).first().h
+
+    same = hashed()
+    assert hashed(scraped_at="later") == same
+    assert hashed(variants=[("s2", 2.0, {}), ("s1", 1.0, {"k": "v"})]) == same
+    assert hashed(specifications={"b": "2", "a": "1"}) == same
+    others = [hashed(name="m"), hashed(specifications={"a": "1"}), hashed(variants=[("s1", 1.5, {"k": "v"}), ("s2", 2.0, {})]), hashed(variants=[("s1", 1.0, {"k": "w"}), ("s2", 2.0, {})])]
+    assert len({same, *others}) == 5
+
+
+def test_utc_text(spark):
+    rows = spark.sql("SELECT timestamp'2024-03-01 10:00:00+02:00' AS a, timestamp'2024-03-01 10:00:00.25' AS b")
+    assert tuple(rows.select(records.utc_text(F.col("a")), records.utc_text(F.col("b"))).first()) == ("2024-03-01T08:00:00+00:00", "2024-03-01T10:00:00.250000+00:00")
+
+
 def test_similarity_follows_sequence_matcher(spark):
     rows = spark.createDataFrame([("ab" * 150, "ba" * 150), (None, ""), ("Glove", "glove")], "a string, b string")
     assert [r.s for r in rows.select(text.text_similarity("a", "b").alias("s")).collect()] == [0.0, 1.0, 1.0]
