@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The fields whose agreement counts towards the threshold, and the others.
@@ -14,28 +14,40 @@ def tier(field: Column) -> Column:
     return F.when(field.isin(*CORE), "core").otherwise("advisory")
 
 
-def long_scores(df: DataFrame, key: str, scores: dict[str, tuple[str, Column]], thresholds: dict[str, float] | None = None) -> DataFrame:
-    """(key, field, method, tier, score, agreed): one row per compared field.
+def long_scores(df: DataFrame, key: str, scores: list[tuple[str, str, Column]], thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(key, position, field, method, tier, score, agreed): one row per comparison, in order.
 
-    scores: field -> (method, score).  agreed needs 1, or 0.90 for text similarity.
+    scores: (field, method, score); a field may be compared twice.  agreed needs 1, or
+    0.90 for text similarity.
     """
     need = {"text_similarity": 0.90} | (thresholds or {})
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(m).alias("method"), s.cast("double").alias("score")) for f, (m, s) in scores.items()])
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"), F.lit(m).alias("method"), s.cast("double").alias("score")) for i, (f, m, s) in enumerate(scores, 1)])
     rows = df.select(key, F.inline(cells))
     least = F.lit(1.0)
     for method, value in need.items():
         least = F.when(F.col("method") == method, value).otherwise(least)
-    return rows.select(key, "field", "method", tier(F.col("field")).alias("tier"), "score", (F.col("score") >= least).alias("agreed"))
+    return rows.select(key, "position", "field", "method", tier(F.col("field")).alias("tier"), "score", (F.col("score") >= least).alias("agreed"))
+
+
+def _by_field(scores: DataFrame, key: str) -> DataFrame:
+    """One score per product and field: of several comparisons the last one counts."""
+    return scores.groupBy(key, "field").agg(F.max_by("score", "position").alias("score"))
 
 
 def per_product(scores: DataFrame, key: str) -> DataFrame:
     """Mean per tier, 1 where a tier has no field."""
-    mean = lambda t: F.coalesce(F.avg(F.when(F.col("tier") == t, F.col("score"))), F.lit(1.0))
-    return scores.groupBy(key).agg(mean("core").alias("overall_agreement"), mean("advisory").alias("advisory_agreement"))
+    mean = lambda t: F.coalesce(F.avg(F.when(tier(F.col("field")) == t, F.col("score"))), F.lit(1.0))
+    return _by_field(scores, key).groupBy(key).agg(mean("core").alias("overall_agreement"), mean("advisory").alias("advisory_agreement"))
+
+
+def per_field(scores: DataFrame, key: str = "product_url") -> DataFrame:
+    return _by_field(scores, key).groupBy("field").agg(F.avg("score").alias("agreement"), F.count(F.lit(1)).alias("n"))
 
 
-def per_field(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("field").agg(F.avg("score").alias("agreement"), F.count(F.lit(1)).alias("n"))
+def report_order(fields: DataFrame) -> DataFrame:
+    """Adds tier and position: within a tier the best field first, ties by name.  One row per field."""
+    w = Window.partitionBy("tier").orderBy(F.desc("agreement"), "field")
+    return fields.withColumn("tier", tier(F.col("field"))).withColumn("position", F.row_number().over(w))
 
 
 def batch(products: DataFrame) -> DataFrame:

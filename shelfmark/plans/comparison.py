@@ -1,102 +1,159 @@
-"""Queries that compare two extractions of the same products."""
+"""Queries that compare two extractions of the same products, field by field."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import commerce, text
+from ..functions import commerce, records, text
 from ..operators import agreement
 from . import derive
 from .registry import query
 
-_FIELDS = {"name": "normalized_exact", "brand": "normalized_exact", "product_url": "normalized_exact", "price_visibility": "normalized_exact", "category_path": "normalized_exact", "image_urls": "set"}
+_PRODUCT = ["name", "brand", "product_url", "price_visibility", "category_path", "description", "specifications", "image_urls", "alternative_product_urls"]
+_VARIANT = ["sku", "item_number", "product_code", "currency", "unit_pack_size", "availability", "price_visibility", "status_option", "price", "image_urls"]
 
 
-def _product_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = derive.products(spark, sf_dir).select("product_url", F.struct("name", "brand", "price_visibility", "category_path", "image_urls", "product_url").alias("a"))
-    b = derive.shadow_products(spark, sf_dir).select("product_url", F.struct("name", "brand", "price_visibility", "category_path", "image_urls", "product_url").alias("b"))
-    pairs = a.join(b, "product_url")
+def _texts(col: Column) -> Column:
+    """Comparison texts of an array; the tables have no entities."""
+    return F.transform(col, lambda x: text.comparison_text(x, entities=False))
 
-    def equal(f: str) -> Column:
-        low = lambda c: text.comparison_text(F.col(c), ascii_only=True)
-        return F.when(low(f"a.{f}").eqNullSafe(low(f"b.{f}")), 1.0).otherwise(0.0)
 
-    path = F.when(F.transform("a.category_path", F.lower) == F.transform("b.category_path", F.lower), 1.0).otherwise(0.0)
-    scores = {f: (m, text.jaccard(F.col(f"a.{f}"), F.col(f"b.{f}")) if m == "set" else path if f == "category_path" else equal(f)) for f, m in _FIELDS.items()}
-    return agreement.long_scores(pairs, "product_url", scores)
+def _variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides' variants of products that the second extraction has."""
+    mine = derive.last_variants(spark, sf_dir)
+    seen = derive.shadow_products(spark, sf_dir).select("product_url")
+    sides = [side.select("product_url", "variant_key", *_VARIANT).join(seen, "product_url", "left_semi") for side in (mine, derive.shadow_of(mine))]
+    return agreement.variant_pairs(*sides, ["product_url", "variant_key"])
 
 
-def _sql_scores() -> str:
-    def score(f: str) -> str:
-        if f == "image_urls":
-            return "CASE WHEN len(list_distinct(list_concat(p.image_urls, s.image_urls))) = 0 THEN 1.0 ELSE len(list_intersect(p.image_urls, s.image_urls)) / len(list_distinct(list_concat(p.image_urls, s.image_urls))) END"
-        if f == "category_path":
-            return "CASE WHEN p.category_path = s.category_path THEN 1.0 ELSE 0.0 END"
-        return f"CASE WHEN lower(p.{f}) IS NOT DISTINCT FROM lower(s.{f}) THEN 1.0 ELSE 0.0 END"
-
-    rows = " UNION ALL ".join(f"SELECT p.product_url, '{f}' AS field, '{m}' AS method, '{'core' if f in agreement.CORE else 'advisory'}' AS tier, CAST({score(f)} AS DOUBLE) AS score FROM products p JOIN shadow s USING (product_url)" for f, m in _FIELDS.items())
-    return f"(SELECT *, score >= 1.0 AS agreed FROM ({rows}))"
+def _variant_scores(pairs: DataFrame) -> DataFrame:
+    """One row per product: the mean of every variant field over the union of both sides' keys, and the sets of identifiers."""
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    plain = lambda c: text.comparison_text(F.col(c), entities=False)
+    label = lambda c: text.comparison_label(F.col(c), entities=False)
+    option = lambda side: F.create_map(F.lit("Status"), F.col(f"{side}.status_option"))
+    money = lambda c: F.col(c).cast("decimal(38,6)")
+    equal = lambda f, make=plain: F.avg(agreement.exact_match(make(f"a.{f}"), make(f"b.{f}"), both))
+    where = lambda score: F.avg(F.when(both, score).otherwise(0.0))
+    sets = [F.collect_set(plain(f"{side}.{f}")).alias(f"{f}_{side}") for f in ("sku", "item_number", "product_code") for side in "ab"]
+    return pairs.groupBy("product_url").agg(
+        F.count(F.lit(1)).alias("variants"), *sets,
+        equal("currency").alias("currency"), equal("unit_pack_size").alias("unit_pack_size"), equal("availability", label).alias("availability"), equal("price_visibility").alias("price_visibility"),
+        where(records.option_agreement(option("a"), option("b"))).alias("option_values"),
+        where(commerce.price_agreement(money("a.price"), money("b.price"))).alias("price"),
+        where(text.jaccard(_texts(F.col("a.image_urls")), _texts(F.col("b.image_urls")))).alias("variant_image_urls"),
+    )
 
 
-@query(derive.sql(f"SELECT * FROM {_sql_scores()}", "shadow"))
-def field_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _product_scores(spark, sf_dir)
+def _product_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nineteen comparisons of every product that both extractions have."""
+    pack = lambda df, side: df.select("product_url", F.struct(*_PRODUCT).alias(side))
+    pairs = pack(derive.products(spark, sf_dir), "a").join(pack(derive.shadow_products(spark, sf_dir), "b"), "product_url")
+    rows = pairs.join(_variant_scores(_variant_pairs(spark, sf_dir)).withColumnRenamed("price_visibility", "variant_visibility"), "product_url", "left")
+    plain = lambda c: text.comparison_text(F.col(c), entities=False)
+    equal = lambda f: ("normalized_exact", F.when(plain(f"a.{f}").eqNullSafe(plain(f"b.{f}")), 1.0).otherwise(0.0))
+    sets = lambda f: ("set", text.jaccard(_texts(F.col(f"a.{f}")), _texts(F.col(f"b.{f}"))))
+    none = F.array().cast("array<string>")
+    ids = lambda f: ("set", text.jaccard(F.coalesce(f"{f}_a", none), F.coalesce(f"{f}_b", none)))
+    mean = lambda f, method="normalized_exact": (method, F.coalesce(F.col(f), F.lit(1.0)))
+    scores = [
+        ("name", *equal("name")), ("brand", *equal("brand")), ("product_url", *equal("product_url")), ("price_visibility", *equal("price_visibility")),
+        ("category_path", "normalized_exact", F.when(_texts(F.col("a.category_path")) == _texts(F.col("b.category_path")), 1.0).otherwise(0.0)),
+        ("description", "text_similarity", text.text_similarity(F.col("a.description"), F.col("b.description"))),
+        ("specifications", "structured", records.option_agreement(F.col("a.specifications"), F.col("b.specifications"))),
+        ("image_urls", *sets("image_urls")), ("alternative_product_urls", *sets("alternative_product_urls")),
+        ("sku", *ids("sku")), ("item_number", *ids("item_number")), ("product_code", *ids("product_code")),
+        ("currency", *mean("currency")), ("unit_pack_size", *mean("unit_pack_size")), ("availability", *mean("availability")), ("price_visibility", *mean("variant_visibility")),
+        ("option_values", *mean("option_values", "structured")), ("price", *mean("price", "numeric_tolerance")), ("variant_image_urls", *mean("variant_image_urls", "set")),
+    ]
+    return agreement.long_scores(rows, "product_url", scores)
+
+
+_FIELD_PAIRS = ", ".join(f"a.{f} AS {f}_a, b.{f} AS {f}_b" for f in _VARIANT)
+_SEEN = "WHERE product_url IN (SELECT product_url FROM shadow)"
+_PAIRS = f"""(SELECT coalesce(a.product_url, b.product_url) AS product_url, coalesce(a.variant_key, b.variant_key) AS variant_key, a.product_url IS NOT NULL AS in_a, b.product_url IS NOT NULL AS in_b, {_FIELD_PAIRS}
+    FROM (SELECT * FROM last_variants {_SEEN}) a FULL JOIN (SELECT * FROM shadow_last {_SEEN}) b ON a.product_url = b.product_url AND a.variant_key = b.variant_key)"""
+
+
+def _sql_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+def _sql_variant_scores() -> str:
+    equal = lambda f, make="lower({})": f"avg(CASE WHEN in_a AND in_b AND {make.format(f + '_a')} IS NOT DISTINCT FROM {make.format(f + '_b')} THEN 1.0 ELSE 0.0 END) AS {f}"
+    label = "nullif(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), '')"
+    ids = ", ".join(f"coalesce(list(DISTINCT lower({f}_{s})) FILTER (WHERE {f}_{s} IS NOT NULL), []) AS {f}_{s}" for f in ("sku", "item_number", "product_code") for s in "ab")
+    price = "CASE WHEN price_a IS NULL AND price_b IS NULL THEN 1.0 WHEN price_a IS NULL OR price_b IS NULL THEN 0.0 WHEN abs(CAST(price_a AS DECIMAL(38,6)) - CAST(price_b AS DECIMAL(38,6))) <= 0.01 THEN 1.0 ELSE 0.0 END"
+    return f"""(SELECT product_url, count(*) AS variants, {ids}, {equal('currency')}, {equal('unit_pack_size')}, {equal('availability', label)}, {equal('price_visibility')},
+        {equal('status_option').replace('AS status_option', 'AS option_values')},
+        avg(CASE WHEN in_a AND in_b THEN {price} ELSE 0.0 END) AS price, avg(CASE WHEN in_a AND in_b THEN {_sql_jaccard('image_urls_a', 'image_urls_b')} ELSE 0.0 END) AS variant_image_urls
+        FROM {_PAIRS} GROUP BY 1)"""
 
 
-_PER_PRODUCT = f"(SELECT product_url, avg(score) FILTER (WHERE tier = 'core') AS o, avg(score) FILTER (WHERE tier = 'advisory') AS a FROM {_sql_scores()} GROUP BY 1)"
+def _sql_scores() -> str:
+    same = lambda f: f"CASE WHEN lower(p.{f}) IS NOT DISTINCT FROM lower(s.{f}) THEN 1.0 ELSE 0.0 END"
+    mean = lambda f: f"coalesce(v.{f}, 1.0)"
+    ids = lambda f: _sql_jaccard(f"coalesce(v.{f}_a, [])", f"coalesce(v.{f}_b, [])")
+    # The second description is the first, none, or the first with something after it.
+    a, b = "coalesce(lower(p.description), '')", "coalesce(lower(s.description), '')"
+    description = f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 2.0 * length({a}) / (length({a}) + length({b})) END"
+    specifications = "CASE WHEN p.spec_size IS NULL OR NOT s.spec_renamed THEN 1.0 ELSE 1.0 / 3 END"  # Size and size differ, Type agrees
+    rows = [
+        ("name", "normalized_exact", same("name")), ("brand", "normalized_exact", same("brand")), ("product_url", "normalized_exact", "1.0"), ("price_visibility", "normalized_exact", same("price_visibility")),
+        ("category_path", "normalized_exact", "CASE WHEN p.category_path = s.category_path THEN 1.0 ELSE 0.0 END"), ("description", "text_similarity", description), ("specifications", "structured", specifications),
+        ("image_urls", "set", _sql_jaccard("p.image_urls", "s.image_urls")), ("alternative_product_urls", "set", _sql_jaccard("p.alternative_product_urls", "s.alternative_product_urls")),
+        ("sku", "set", ids("sku")), ("item_number", "set", ids("item_number")), ("product_code", "set", ids("product_code")),
+        ("currency", "normalized_exact", mean("currency")), ("unit_pack_size", "normalized_exact", mean("unit_pack_size")), ("availability", "normalized_exact", mean("availability")), ("price_visibility", "normalized_exact", mean("price_visibility")),
+        ("option_values", "structured", mean("option_values")), ("price", "numeric_tolerance", mean("price")), ("variant_image_urls", "set", mean("variant_image_urls")),
+    ]
+    cells = ", ".join(f"{{'position': {i}, 'field': '{f}', 'method': '{m}', 'tier': '{'core' if f in agreement.CORE else 'advisory'}', 'score': CAST({s} AS DOUBLE)}}" for i, (f, m, s) in enumerate(rows, 1))
+    return f"""(SELECT product_url, c.position AS position, c.field AS field, c.method AS method, c.tier AS tier, c.score AS score, c.score >= CASE WHEN c.method = 'text_similarity' THEN 0.90 ELSE 1.0 END AS agreed
+        FROM (SELECT p.product_url, unnest([{cells}]) AS c FROM products p JOIN shadow s USING (product_url) LEFT JOIN {_sql_variant_scores()} v USING (product_url)))"""
+
+
+#: Of the two comparisons named price_visibility, the later one counts in all means.
+_MEANT = f"(SELECT * FROM {_sql_scores()} WHERE position <> 4)"
+_PER_PRODUCT = f"(SELECT product_url, avg(score) FILTER (WHERE tier = 'core') AS o, avg(score) FILTER (WHERE tier = 'advisory') AS a FROM {_MEANT} GROUP BY 1)"
+
+
+@query(derive.sql(f"SELECT product_url, position, field, method, tier, round(score, 9) AS score, agreed FROM {_sql_scores()}", "shadow", "shadow_last"))
+def field_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _product_scores(spark, sf_dir).withColumn("score", F.round("score", 9))
 
 
-@query(derive.sql(f"SELECT count(*) AS sample_size, round(avg(o), 9) AS overall_agreement, round(avg(a), 9) AS advisory_agreement FROM {_PER_PRODUCT}", "shadow"))
+@query(derive.sql(f"SELECT count(*) AS sample_size, round(avg(o), 9) AS overall_agreement, round(avg(a), 9) AS advisory_agreement FROM {_PER_PRODUCT}", "shadow", "shadow_last"))
 def agreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = agreement.batch(agreement.per_product(_product_scores(spark, sf_dir), "product_url"))
     return found.select("sample_size", F.round("overall_agreement", 9).alias("overall_agreement"), F.round("advisory_agreement", 9).alias("advisory_agreement"))
 
 
-@query(derive.sql(f"SELECT field, round(avg(score), 9) AS agreement, count(*) AS n FROM {_sql_scores()} GROUP BY 1", "shadow"))
+@query(derive.sql(f"SELECT field, round(avg(score), 9) AS agreement, count(*) AS n, tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY round(avg(score), 9) DESC, field) AS INTEGER) AS position FROM {_MEANT} GROUP BY field, tier", "shadow", "shadow_last"))
 def field_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.per_field(_product_scores(spark, sf_dir)).withColumn("agreement", F.round("agreement", 9))
+    """Mean score of every field, with its place in the report: best first, then by name."""
+    found = agreement.per_field(_product_scores(spark, sf_dir)).withColumn("agreement", F.round("agreement", 9))
+    return agreement.report_order(found)
 
 
-def _variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ["product_url", "variant_key", "price", "currency", "availability"]
-    a = derive.keyed_variants(spark, sf_dir).select(*fields).join(derive.shadow_variants(spark, sf_dir).select("product_url").distinct(), "product_url", "left_semi")
-    return agreement.variant_pairs(a, derive.shadow_variants(spark, sf_dir).select(*fields), ["product_url", "variant_key"])
+@query(derive.sql(f"SELECT product_url, variant_key, in_a AS in_deterministic, in_b AS in_shadow FROM {_PAIRS}", "shadow", "shadow_last"))
+def variant_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant_pairs(spark, sf_dir).select("product_url", "variant_key", F.col("a").isNotNull().alias("in_deterministic"), F.col("b").isNotNull().alias("in_shadow"))
 
 
-_PAIRS = """(SELECT coalesce(a.product_url, b.product_url) AS product_url, coalesce(a.variant_key, b.variant_key) AS variant_key, a.product_url IS NOT NULL AS in_a, b.product_url IS NOT NULL AS in_b,
-    a.price AS pa, b.price AS pb, a.currency AS ca, b.currency AS cb, a.availability AS va, b.availability AS vb
-    FROM (SELECT * FROM keyed k WHERE EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url)) a FULL JOIN shadow_variants b ON a.product_url = b.product_url AND a.variant_key = b.variant_key)"""
+_MEANS = ["currency", "unit_pack_size", "availability", "price_visibility", "option_values", "price", "variant_image_urls"]
 
 
-@query(derive.sql(f"SELECT product_url, variant_key, in_a AS in_deterministic, in_b AS in_shadow FROM {_PAIRS}", "shadow_variants"))
-def variant_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _variant_pairs(spark, sf_dir).select("product_url", "variant_key", F.col("a").isNotNull().alias("in_deterministic"), F.col("b").isNotNull().alias("in_shadow"))
+@query(derive.sql(f"SELECT product_url, variants, {', '.join(f'round({f}, 9) AS {f}' for f in _MEANS)} FROM {_sql_variant_scores()}", "shadow", "shadow_last"))
+def variant_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant_scores(_variant_pairs(spark, sf_dir)).select("product_url", "variants", *[F.round(f, 9).alias(f) for f in _MEANS])
 
 
 @query(
     derive.sql(
-        f"""SELECT product_url, count(*) AS variants,
-                   round(avg(CASE WHEN in_a AND in_b AND ca IS NOT DISTINCT FROM cb THEN 1.0 ELSE 0.0 END), 9) AS currency,
-                   round(avg(CASE WHEN in_a AND in_b AND lower(va) IS NOT DISTINCT FROM lower(vb) THEN 1.0 ELSE 0.0 END), 9) AS availability,
-                   round(avg(CASE WHEN pa IS NULL AND pb IS NULL THEN 1.0 WHEN pa IS NULL OR pb IS NULL THEN 0.0 WHEN abs(CAST(pa AS DECIMAL(18,6)) - CAST(pb AS DECIMAL(18,6))) <= 0.01 THEN 1.0 ELSE 0.0 END), 9) AS price
-            FROM {_PAIRS} GROUP BY 1""",
-        "shadow_variants",
+        f"SELECT p.product_url, CAST((p.brand IS NULL)::INT + (p.description IS NULL)::INT + (x.o < 0.8)::INT AS BIGINT) AS triggers, CASE WHEN p.brand IS NULL OR p.description IS NULL OR x.o < 0.8 THEN 'recorded_for_review' ELSE 'no_action' END AS disposition, false AS selectors_modified FROM products p JOIN {_PER_PRODUCT} x USING (product_url)",
+        "shadow", "shadow_last",
     )
-)
-def variant_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    money = lambda c: F.col(c).cast("decimal(18,6)")
-    label = lambda c: text.comparison_label(F.col(c), ascii_only=True)
-    return _variant_pairs(spark, sf_dir).groupBy("product_url").agg(
-        F.count(F.lit(1)).alias("variants"),
-        F.round(F.avg(agreement.exact_match(F.col("a.currency"), F.col("b.currency"), both)), 9).alias("currency"),
-        F.round(F.avg(agreement.exact_match(label("a.availability"), label("b.availability"), both)), 9).alias("availability"),
-        F.round(F.avg(commerce.price_agreement(money("a.price"), money("b.price"))), 9).alias("price"),
-    )
-
-
-@query(derive.sql(f"SELECT p.product_url, CAST((p.brand IS NULL)::INT + (p.description IS NULL)::INT + (x.o < 0.8)::INT AS BIGINT) AS triggers, CASE WHEN p.brand IS NULL OR p.description IS NULL OR x.o < 0.8 THEN 'recorded_for_review' ELSE 'no_action' END AS disposition, false AS selectors_modified FROM products p JOIN {_PER_PRODUCT} x USING (product_url)", "shadow"))
+)
 def recovery_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = agreement.per_product(_product_scores(spark, sf_dir), "product_url")
     rows = derive.products(spark, sf_dir).join(means, "product_url")

@@ -5,7 +5,10 @@ The CTES strings are the DuckDB forms that the reference statements start from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import records
 
 SITE = "https://shop.test/product/"
 
@@ -24,7 +27,10 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN p_partkey % 7 <> 0 THEN concat(p_name, ' by ', p_brand) END AS description",
         f"CASE WHEN p_partkey % 5 = 0 THEN array() ELSE array(concat('{SITE}', p_partkey, '/a.jpg')) END AS image_urls",
         "CASE WHEN p_partkey % 10 = 0 THEN 'login_required' WHEN p_partkey % 19 = 0 THEN 'unknown' ELSE 'public' END AS price_visibility",
+        "CASE WHEN p_partkey % 8 = 0 THEN map() ELSE map('Size', CAST(p_size AS STRING), 'Type', p_type) END AS specifications",
+        f"CASE WHEN p_partkey % 4 = 0 THEN array(concat('{SITE}', p_partkey + 1)) ELSE array() END AS alternative_product_urls",
         "p_type AS category",
+        "p_size AS size",
     )
 
 
@@ -36,39 +42,58 @@ _PRODUCTS = f"""products AS (
            CASE WHEN p_partkey % 7 <> 0 THEN p_name || ' by ' || p_brand END AS description,
            CASE WHEN p_partkey % 5 = 0 THEN []::VARCHAR[] ELSE ['{SITE}' || p_partkey || '/a.jpg'] END AS image_urls,
            CASE WHEN p_partkey % 10 = 0 THEN 'login_required' WHEN p_partkey % 19 = 0 THEN 'unknown' ELSE 'public' END AS price_visibility,
-           p_type AS category
+           CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS spec_size, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_type END AS spec_type,
+           CASE WHEN p_partkey % 4 = 0 THEN ['{SITE}' || (p_partkey + 1)] ELSE []::VARCHAR[] END AS alternative_product_urls,
+           p_type AS category, p_size AS size
     FROM part)"""
 
 
+#: The part of a variant: what is ordered of every fiftieth part counts for the one before it,
+#: which leaves those without variants.
+_PARENT = "CASE WHEN l_partkey % 50 = 0 THEN l_partkey - 1 ELSE l_partkey END"
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of lineitem with a large returned quantity; a part and supplier may repeat."""
-    return read(spark, sf_dir, "lineitem").filter("l_quantity > 45 AND l_returnflag = 'R'").selectExpr(
-        "l_partkey AS seq",
-        f"concat('{SITE}', l_partkey) AS product_url",
+    """Every row of lineitem; a part and supplier may repeat."""
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        f"{_PARENT} AS seq",
+        f"concat('{SITE}', {_PARENT}) AS product_url",
         "l_orderkey * 10 + l_linenumber AS pos",
-        "CASE WHEN l_orderkey % 17 <> 0 THEN concat(l_partkey, '-', l_suppkey) END AS sku",
+        "CASE WHEN l_orderkey % 17 <> 0 THEN concat('P', l_partkey, '-', l_suppkey) END AS sku",
         "CASE WHEN l_orderkey % 13 <> 0 THEN concat('IT-', l_suppkey) END AS item_number",
-        "CAST(NULL AS STRING) AS product_code",
+        "CASE WHEN l_orderkey % 29 = 0 THEN concat('PC', l_suppkey) END AS product_code",
         "l_linestatus AS status_option",
         "CASE WHEN l_orderkey % 23 <> 0 THEN l_extendedprice END AS price",
         "CASE WHEN l_orderkey % 23 <> 0 THEN 'USD' END AS currency",
         "CASE l_linenumber % 3 WHEN 0 THEN '100/box' WHEN 1 THEN '1/each' END AS unit_pack_size",
         "CASE l_linenumber % 4 WHEN 0 THEN 'InStock' WHEN 1 THEN 'OutOfStock' WHEN 2 THEN 'PreOrder' END AS availability",
         "CASE WHEN l_orderkey % 23 <> 0 THEN 'public' ELSE 'unknown' END AS price_visibility",
+        f"CASE WHEN l_linenumber % 2 = 0 THEN array() ELSE array(concat('{SITE}', l_partkey, '/', l_suppkey, '.jpg')) END AS image_urls",
+        "l_quantity AS quantity",
     )
 
 
 _VARIANTS = f"""variants AS (
-    SELECT l_partkey AS seq, '{SITE}' || l_partkey AS product_url, l_orderkey * 10 + l_linenumber AS pos,
-           CASE WHEN l_orderkey % 17 <> 0 THEN l_partkey || '-' || l_suppkey END AS sku,
+    SELECT {_PARENT} AS seq, '{SITE}' || ({_PARENT}) AS product_url, l_orderkey * 10 + l_linenumber AS pos,
+           CASE WHEN l_orderkey % 17 <> 0 THEN 'P' || l_partkey || '-' || l_suppkey END AS sku,
            CASE WHEN l_orderkey % 13 <> 0 THEN 'IT-' || l_suppkey END AS item_number,
-           CAST(NULL AS VARCHAR) AS product_code, l_linestatus AS status_option,
+           CASE WHEN l_orderkey % 29 = 0 THEN 'PC' || l_suppkey END AS product_code, l_linestatus AS status_option,
            CASE WHEN l_orderkey % 23 <> 0 THEN l_extendedprice END AS price,
            CASE WHEN l_orderkey % 23 <> 0 THEN 'USD' END AS currency,
            CASE l_linenumber % 3 WHEN 0 THEN '100/box' WHEN 1 THEN '1/each' END AS unit_pack_size,
            CASE l_linenumber % 4 WHEN 0 THEN 'InStock' WHEN 1 THEN 'OutOfStock' WHEN 2 THEN 'PreOrder' END AS availability,
-           CASE WHEN l_orderkey % 23 <> 0 THEN 'public' ELSE 'unknown' END AS price_visibility
-    FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R')"""
+           CASE WHEN l_orderkey % 23 <> 0 THEN 'public' ELSE 'unknown' END AS price_visibility,
+           CASE WHEN l_linenumber % 2 = 0 THEN []::VARCHAR[] ELSE ['{SITE}' || l_partkey || '/' || l_suppkey || '.jpg'] END AS image_urls,
+           l_quantity AS quantity
+    FROM lineitem)"""
+
+#: The identity of a variant whose one option is its status.
+IDENTITY_SQL = """CASE WHEN sku IS NOT NULL THEN 'sku:' || lower(sku)
+    ELSE 'fallback:' || sha256('{"item_number":' || coalesce('"' || lower(item_number) || '"', 'null') || ',"option_values":{"status":"' || lower(status_option) || '"},"product_code":' || coalesce('"' || lower(product_code) || '"', 'null') || '}') END"""
+
+
+def identity() -> Column:
+    return records.variant_identity(F.col("sku"), F.col("item_number"), F.col("product_code"), F.create_map(F.lit("Status"), F.col("status_option")))
 
 
 def with_provenance(products_: DataFrame, fields: list[str]) -> DataFrame:
@@ -89,8 +114,8 @@ _PROVENANCE = f"provenance AS ({_provenance_sql('products', PRODUCT_PROVENANCE)}
 
 
 def stored_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An earlier snapshot: two thirds of the products, some with other values."""
-    return products(spark, sf_dir).filter("seq % 3 <> 0").selectExpr(
+    """An earlier snapshot: the products up to size 35, some with other values."""
+    return products(spark, sf_dir).filter("size <= 35").selectExpr(
         "seq", "product_url", "CASE WHEN seq % 4 = 0 THEN concat(name, ' old') ELSE name END AS name",
         "coalesce(brand, 'Formerly branded') AS brand", "array('Catalog', 'Old') AS category_path", "description",
         "CASE WHEN seq % 2 = 0 THEN image_urls ELSE array('https://shop.test/old.jpg') END AS image_urls", "price_visibility", "category",
@@ -101,53 +126,86 @@ _STORED = """stored AS (
     SELECT seq, product_url, CASE WHEN seq % 4 = 0 THEN name || ' old' ELSE name END AS name,
            coalesce(brand, 'Formerly branded') AS brand, ['Catalog', 'Old'] AS category_path, description,
            CASE WHEN seq % 2 = 0 THEN image_urls ELSE ['https://shop.test/old.jpg'] END AS image_urls, price_visibility, category
-    FROM products WHERE seq % 3 <> 0)"""
+    FROM products WHERE size <= 35)"""
 
 
 def shadow_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second extraction of most products, wrong by rule in some fields."""
-    return products(spark, sf_dir).filter("seq % 9 <> 0").selectExpr(
+    """A second extraction of the products up to size 44, wrong by rule in some fields."""
+    return products(spark, sf_dir).filter("size <= 44").selectExpr(
         "seq", "product_url", "CASE WHEN seq % 8 = 0 THEN concat(name, ' x') ELSE upper(name) END AS name",
         "CASE WHEN seq % 6 = 0 THEN NULL ELSE brand END AS brand", "CASE WHEN seq % 5 = 0 THEN slice(category_path, 1, 1) ELSE category_path END AS category_path",
-        "description", "CASE WHEN seq % 4 = 0 THEN array() ELSE image_urls END AS image_urls", "price_visibility",
+        "CASE WHEN seq % 12 = 0 THEN NULL WHEN seq % 3 = 0 THEN concat(description, '!') WHEN seq % 5 = 0 THEN concat(description, ', as seen by the other extraction') ELSE description END AS description",
+        "CASE WHEN seq % 4 = 0 THEN array() ELSE image_urls END AS image_urls", "CASE WHEN seq % 9 = 0 THEN 'public' ELSE price_visibility END AS price_visibility",
+        "CASE WHEN seq % 3 = 0 AND size(specifications) > 0 THEN map('size', specifications['Size'], 'Type', upper(specifications['Type'])) ELSE specifications END AS specifications",
+        f"CASE WHEN seq % 12 = 0 THEN array(concat('{SITE}', seq + 1), concat('{SITE}', seq + 2)) ELSE alternative_product_urls END AS alternative_product_urls",
     )
 
 
-_SHADOW = """shadow AS (
+_SHADOW = f"""shadow AS (
     SELECT seq, product_url, CASE WHEN seq % 8 = 0 THEN name || ' x' ELSE upper(name) END AS name,
            CASE WHEN seq % 6 = 0 THEN NULL ELSE brand END AS brand, CASE WHEN seq % 5 = 0 THEN category_path[1:1] ELSE category_path END AS category_path,
-           description, CASE WHEN seq % 4 = 0 THEN []::VARCHAR[] ELSE image_urls END AS image_urls, price_visibility
-    FROM products WHERE seq % 9 <> 0)"""
+           CASE WHEN seq % 12 = 0 THEN NULL WHEN seq % 3 = 0 THEN description || '!' WHEN seq % 5 = 0 THEN description || ', as seen by the other extraction' ELSE description END AS description,
+           CASE WHEN seq % 4 = 0 THEN []::VARCHAR[] ELSE image_urls END AS image_urls, CASE WHEN seq % 9 = 0 THEN 'public' ELSE price_visibility END AS price_visibility,
+           seq % 3 = 0 AND spec_size IS NOT NULL AS spec_renamed, spec_size, spec_type,
+           CASE WHEN seq % 12 = 0 THEN ['{SITE}' || (seq + 1), '{SITE}' || (seq + 2)] ELSE alternative_product_urls END AS alternative_product_urls
+    FROM products WHERE size <= 44)"""
 
 
 def keyed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with a key, the first of each: sku:<sku> or default."""
+    """Variants with their identity, the first of each."""
     from ..operators import ordering
 
-    rows = variants(spark, sf_dir).selectExpr("*", "coalesce('sku:' || lower(sku), 'default') AS variant_key")
-    from pyspark.sql import functions as F
-
-    return ordering.first_seen(rows, ["product_url", "variant_key"], [F.col("pos")])
+    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.col("pos")])
 
 
-_KEYED = """keyed AS (
+_KEYED = f"""keyed AS (
     SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY pos) AS r
-        FROM (SELECT *, coalesce('sku:' || lower(sku), 'default') AS variant_key FROM variants)) WHERE r = 1)"""
+        FROM (SELECT *, {IDENTITY_SQL} AS variant_key FROM variants)) WHERE r = 1)"""
 
 
-def shadow_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed_variants(spark, sf_dir).filter("pos % 7 <> 0").selectExpr(
-        "product_url", "CASE WHEN pos % 11 = 0 THEN concat(variant_key, '-b') ELSE variant_key END AS variant_key",
+def last_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with their identity, the last of each: what a comparison looks at."""
+    from ..operators import ordering
+
+    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.desc("pos")])
+
+
+_LAST = f"""last_variants AS (
+    SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY pos DESC) AS r
+        FROM (SELECT *, {IDENTITY_SQL} AS variant_key FROM variants)) WHERE r = 1)"""
+
+
+def shadow_of(keyed: DataFrame) -> DataFrame:
+    """A second extraction of the variants ordered in numbers up to 43, wrong by rule in some fields."""
+    return keyed.filter("quantity <= 43").selectExpr(
+        "product_url", "pos", "CASE WHEN pos % 11 = 0 THEN concat(variant_key, '-b') ELSE variant_key END AS variant_key",
+        "CASE WHEN pos % 11 = 0 THEN concat(sku, '-b') ELSE lower(sku) END AS sku", "CASE WHEN pos % 6 = 0 THEN NULL ELSE item_number END AS item_number", "product_code",
+        "CASE WHEN pos % 10 = 0 THEN 'X' ELSE lower(status_option) END AS status_option",
         "CASE WHEN pos % 5 = 0 THEN price + 1 WHEN pos % 3 = 0 THEN price + 0.005 ELSE price END AS price",
-        "currency", "CASE WHEN pos % 4 = 0 THEN NULL ELSE availability END AS availability",
+        "currency", "CASE WHEN pos % 7 = 0 THEN '1/pack' ELSE unit_pack_size END AS unit_pack_size",
+        "CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 3 = 0 THEN concat(substr(availability, 1, 2), '-', substr(availability, 3)) ELSE availability END AS availability",
+        "price_visibility", "CASE WHEN pos % 8 = 0 THEN array() ELSE image_urls END AS image_urls", "quantity",
     )
 
 
-_SHADOW_VARIANTS = """shadow_variants AS (
-    SELECT product_url, CASE WHEN pos % 11 = 0 THEN variant_key || '-b' ELSE variant_key END AS variant_key,
+def shadow_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadow_of(keyed_variants(spark, sf_dir))
+
+
+def _shadow_sql(name: str, table: str) -> str:
+    return f"""{name} AS (
+    SELECT product_url, pos, CASE WHEN pos % 11 = 0 THEN variant_key || '-b' ELSE variant_key END AS variant_key,
+           CASE WHEN pos % 11 = 0 THEN sku || '-b' ELSE lower(sku) END AS sku, CASE WHEN pos % 6 = 0 THEN NULL ELSE item_number END AS item_number, product_code,
+           CASE WHEN pos % 10 = 0 THEN 'X' ELSE lower(status_option) END AS status_option,
            CASE WHEN pos % 5 = 0 THEN price + 1 WHEN pos % 3 = 0 THEN price + 0.005 ELSE price END AS price,
-           currency, CASE WHEN pos % 4 = 0 THEN NULL ELSE availability END AS availability
-    FROM keyed WHERE pos % 7 <> 0)"""
+           currency, CASE WHEN pos % 7 = 0 THEN '1/pack' ELSE unit_pack_size END AS unit_pack_size,
+           CASE WHEN pos % 4 = 0 THEN NULL WHEN pos % 3 = 0 THEN substr(availability, 1, 2) || '-' || substr(availability, 3) ELSE availability END AS availability,
+           price_visibility, CASE WHEN pos % 8 = 0 THEN []::VARCHAR[] ELSE image_urls END AS image_urls, quantity
+    FROM {table} WHERE quantity <= 43)"""
+
+
+_SHADOW_VARIANTS = _shadow_sql("shadow_variants", "keyed")
+_SHADOW_LAST = _shadow_sql("shadow_last", "last_variants")
 
 
 def crawl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +235,9 @@ crawl_state AS (
 
 CTES = {
     "products": _PRODUCTS, "variants": _VARIANTS, "provenance": _PROVENANCE, "stored": _STORED, "shadow": _SHADOW,
-    "keyed": _KEYED, "shadow_variants": _SHADOW_VARIANTS, "crawl_events": _EVENTS, "crawl_state": _STATE,
+    "keyed": _KEYED, "last_variants": _LAST, "shadow_variants": _SHADOW_VARIANTS, "shadow_last": _SHADOW_LAST, "crawl_events": _EVENTS, "crawl_state": _STATE,
 }
-_NEEDS = {"provenance": ["products", "variants"], "stored": ["products"], "shadow": ["products"], "keyed": ["variants"], "shadow_variants": ["keyed"], "crawl_state": ["crawl_events"]}
+_NEEDS = {"provenance": ["products", "variants"], "stored": ["products"], "shadow": ["products"], "keyed": ["variants"], "last_variants": ["variants"], "shadow_variants": ["keyed"], "shadow_last": ["last_variants"], "crawl_state": ["crawl_events"]}
 
 
 def sql(body: str, *tables: str) -> str:
