@@ -299,7 +299,7 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     members = work.table(banded.drop("n_shingles").join(work.table(hubs.drop("top"), "near-hubs").hint("merge"), "band"), "near-members")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id IS NOT NULL")
-    texts = work.table(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")  # a doc_id with several texts is linked by any of them
+    texts = work.table(texts.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "near-texts")  # a doc_id with several texts is linked by any of them
     left = work.table(prune(_signed(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), signed), s), "near-pairs")
     links = verify(left, texts, s)
     if _repeated(usable):
