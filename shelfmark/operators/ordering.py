@@ -17,9 +17,13 @@ def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
 
 
 def round_robin(df: DataFrame, category: str, position: str, category_order: str, limit: int | None = None) -> DataFrame:
-    """First of every category, then the second of every one, and so on."""
+    """First of every category, then the second of every one, and so on.
+
+    With a limit no category's turn is beyond it, so that each keeps only its first
+    ``limit`` rows on every map task.
+    """
     ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy(position)))
-    ordered = ranked.orderBy("turn", category_order)
+    ordered = (ranked if limit is None else ranked.filter(F.col("turn") <= limit)).orderBy("turn", category_order)
     return ordered.limit(limit) if limit is not None else ordered
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordering, quality, state
+from ..sources import exports
 from . import derive
 from .registry import query
 
@@ -102,10 +103,11 @@ def category_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_bar(quality.group_counts(derive.products(spark, sf_dir), "category"))
 
 
-@query(derive.sql("SELECT (SELECT count(*) FROM variants) AS products, CAST(sum(n) AS BIGINT) AS discovered, (SELECT count(*) FROM variants)::DOUBLE / CAST(sum(n) AS DOUBLE) AS coverage FROM (SELECT category, count(*) AS n FROM products GROUP BY 1)", "products", "variants"))
+@query(derive.sql("SELECT (SELECT count(*) FROM stored) AS products, CAST(sum(n) AS BIGINT) AS discovered, (SELECT count(*) FROM stored)::DOUBLE / CAST(sum(n) AS DOUBLE) AS coverage FROM (SELECT category, count(*) AS n FROM products GROUP BY 1)", "stored"))
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the stored snapshot against the urls that discovery found."""
     discovered = derive.products(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return quality.coverage(derive.variants(spark, sf_dir), discovered)
+    return quality.coverage(derive.stored_products(spark, sf_dir), discovered)
 
 
 @query(derive.sql("SELECT v.product_url, p.name, v.pos, v.sku, v.price FROM variants v JOIN products p USING (product_url) WHERE p.category = 'STANDARD'", "products", "variants"))
@@ -135,12 +137,20 @@ def catalog_flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    derive.sql(
+        """SELECT p.product_url, p.name, p.brand, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(v.variants, '[]') AS variants
+           FROM products p LEFT JOIN (SELECT product_url, count(*) AS n, CAST(to_json(list({'pos': pos, 'sku': sku, 'item_number': item_number, 'currency': currency, 'availability': availability} ORDER BY place)) AS VARCHAR) AS variants FROM variants GROUP BY 1) v USING (product_url)""",
+        "products",
+        "variants",
+    )
+)
 def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per product with its variants as an array, empty for childless ones."""
-    v = derive.variants(spark, sf_dir).groupBy("product_url").agg(F.array_sort(F.collect_list(F.struct("pos", "sku", "item_number", "price", "availability"))).alias("variants"))
-    none = F.array().cast(v.schema["variants"].dataType)
-    return derive.products(spark, sf_dir).join(v, "product_url", "left").withColumn("variants", F.coalesce("variants", none))
+    """One row per product with its variants as a JSON array in order, empty for childless ones."""
+    fields = ["product_url", "pos", "sku", "item_number", "currency", "availability"]
+    rows = exports.nested(derive.products(spark, sf_dir).select("product_url", "name", "brand"), derive.variants(spark, sf_dir).select(*fields, "place"), order="place")
+    shown = F.transform("variants", lambda v: v.dropFields("place"))
+    return rows.select("product_url", "name", "brand", F.size("variants").cast("long").alias("n"), F.to_json(shown, {"ignoreNullFields": "false"}).alias("variants"))
 
 
 @query(derive.sql("SELECT p.product_url, count(v.pos) AS variants FROM products p LEFT JOIN variants v USING (product_url) GROUP BY 1 HAVING count(v.pos) = 0", "products", "variants"))
@@ -148,20 +158,17 @@ def childless_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.products(spark, sf_dir).select("product_url").join(derive.variants(spark, sf_dir).select("product_url"), "product_url", "left_anti").withColumn("variants", F.lit(0).cast("long"))
 
 
-@query(derive.sql("SELECT product_url, pos, sku, CASE WHEN r = 1 THEN 'kept' WHEN item_number IS NOT DISTINCT FROM i AND price IS NOT DISTINCT FROM p THEN 'duplicate' ELSE 'conflicting' END AS verdict FROM (SELECT *, row_number() OVER w AS r, first_value(item_number) OVER w AS i, first_value(price) OVER w AS p FROM (SELECT *, coalesce('sku:' || lower(sku), 'default') AS variant_key FROM variants) WINDOW w AS (PARTITION BY product_url, variant_key ORDER BY pos))", "variants"))
+@query(derive.sql("SELECT product_url, pos, sku, CASE WHEN r = 1 THEN 'kept' WHEN item_number IS NOT DISTINCT FROM i AND price IS NOT DISTINCT FROM p THEN 'duplicate' ELSE 'conflicting' END AS verdict FROM (SELECT *, row_number() OVER w AS r, first_value(item_number) OVER w AS i, first_value(price) OVER w AS p FROM (SELECT *, " + derive.IDENTITY_SQL + " AS variant_key FROM variants) WINDOW w AS (PARTITION BY product_url, variant_key ORDER BY place))", "variants"))
 def variant_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.variants(spark, sf_dir).selectExpr("*", "coalesce(concat('sku:', lower(sku)), 'default') AS variant_key")
+    rows = derive.variants(spark, sf_dir).withColumn("variant_key", derive.identity())
     content = F.struct("item_number", "price")
-    return ordering.mark_duplicates(rows, ["product_url", "variant_key"], [F.col("pos")], F.to_json(content)).select("product_url", "pos", "sku", "verdict")
-
-
-_NEW = "variants_complete"
+    return ordering.mark_duplicates(rows, ["product_url", "variant_key"], [F.col("place")], F.to_json(content)).select("product_url", "pos", "sku", "verdict")
 
 
-@query(derive.sql("SELECT product_url, coalesce(p.name, s.name) AS name, CASE WHEN p.product_url IS NULL THEN s.brand ELSE p.brand END AS brand, p.product_url IS NOT NULL AS updated FROM (SELECT * FROM products WHERE seq % 2 = 0) p FULL JOIN stored s USING (product_url)", "stored"))
+@query(derive.sql("SELECT product_url, coalesce(p.name, s.name) AS name, CASE WHEN p.product_url IS NULL THEN s.brand ELSE p.brand END AS brand, p.product_url IS NOT NULL AS updated FROM (SELECT * FROM shadow WHERE brand IS NOT NULL) p FULL JOIN stored s USING (product_url)", "shadow", "stored"))
 def upsert_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every even product is new or changed; the rest of the stored snapshot stays."""
-    new = derive.products(spark, sf_dir).filter("seq % 2 = 0").select("product_url", "name", "brand", F.lit(True).alias("updated"))
+    """The second extraction's products with a brand are new or changed; the rest of the stored snapshot stays."""
+    new = derive.shadow_products(spark, sf_dir).filter("brand IS NOT NULL").select("product_url", "name", "brand", F.lit(True).alias("updated"))
     stored = derive.stored_products(spark, sf_dir).select("product_url", "name", "brand", F.lit(False).alias("updated"))
     return state.upsert(stored, new, ["product_url"])
 
@@ -174,13 +181,15 @@ def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(derive.sql("SELECT product_url, variant_key FROM keyed k WHERE EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url) AND NOT EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url AND s.variant_key = k.variant_key)", "shadow_variants"))
 def stale_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.stale(derive.keyed_variants(spark, sf_dir), derive.shadow_variants(spark, sf_dir), "product_url", "variant_key").select("product_url", "variant_key")
+    keyed = derive.keyed_variants(spark, sf_dir)
+    return state.stale(keyed, derive.shadow_of(keyed), "product_url", "variant_key").select("product_url", "variant_key")
 
 
 @query(derive.sql("SELECT product_url, variant_key, 'old' AS origin FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url) UNION ALL SELECT product_url, variant_key, 'new' FROM shadow_variants", "shadow_variants"))
 def replaced_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = derive.keyed_variants(spark, sf_dir).select("product_url", "variant_key", F.lit("old").alias("origin"))
-    new = derive.shadow_variants(spark, sf_dir).select("product_url", "variant_key", F.lit("new").alias("origin"))
+    keyed = derive.keyed_variants(spark, sf_dir)
+    stored = keyed.select("product_url", "variant_key", F.lit("old").alias("origin"))
+    new = derive.shadow_of(keyed).select("product_url", "variant_key", F.lit("new").alias("origin"))
     return state.replace_children(stored, new, new, "product_url")
 
 
@@ -193,13 +202,10 @@ def metadata_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_url", F.array_join("regressed", ",").alias("regressed"))
 
 
-@query(derive.sql("SELECT n.product_url, n.c AS new_count, coalesce(o.c, 0) AS old_count, coalesce(o.c, 0) >= 4 AND n.c < 0.5 * o.c AS drifted FROM (SELECT product_url, count(*) FILTER (WHERE pos % 3 = 0) AS c FROM variants GROUP BY 1) n LEFT JOIN (SELECT product_url, count(*) AS c FROM variants GROUP BY 1) o USING (product_url)", "variants"))
+@query(derive.sql("SELECT n.product_url, n.c AS new_count, coalesce(o.c, 0) AS old_count, coalesce(o.c, 0) >= 4 AND n.c < 0.5 * o.c AS drifted FROM (SELECT product_url, count(*) FILTER (WHERE quantity <= 18) AS c FROM variants GROUP BY 1) n LEFT JOIN (SELECT product_url, count(*) AS c FROM variants GROUP BY 1) o USING (product_url)", "variants"))
 def variant_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = derive.variants(spark, sf_dir)
-    new = v.groupBy("product_url").agg(F.count(F.when(F.col("pos") % 3 == 0, 1)).alias("new_count"))
-    old = v.groupBy("product_url").agg(F.count(F.lit(1)).alias("old_count"))
-    joined = new.join(old, "product_url", "left").withColumn("old_count", F.coalesce("old_count", F.lit(0)))
-    return joined.withColumn("drifted", state.count_drift(F.col("new_count"), F.col("old_count"), F.lit(True)))
+    counts = derive.variants(spark, sf_dir).groupBy("product_url").agg(F.count(F.when(F.col("quantity") <= 18, 1)).alias("new_count"), F.count(F.lit(1)).alias("old_count"))
+    return counts.withColumn("drifted", state.count_drift(F.col("new_count"), F.col("old_count"), F.lit(True)))
 
 
 @query(derive.sql("SELECT count(*) AS duplicates_prevented FROM products p JOIN stored s USING (product_url)", "stored"))
@@ -208,9 +214,9 @@ def duplicates_prevented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.products(spark, sf_dir).join(stored, "product_url", "left_semi").agg(F.count(F.lit(1)).alias("duplicates_prevented"))
 
 
-@query(derive.sql("SELECT category, seq, product_url, turn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS turn FROM products WHERE seq % 3 <> 0) ORDER BY turn, category LIMIT 40", "products"))
+@query(derive.sql("SELECT category, seq, product_url, turn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS turn FROM products) ORDER BY turn, category LIMIT 40", "products"))
 def round_robin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.products(spark, sf_dir).filter("seq % 3 <> 0").select("category", "seq", "product_url")
+    rows = derive.products(spark, sf_dir).select("category", "seq", "product_url")
     return ordering.round_robin(rows, "category", "seq", "category", 40)
 
 

@@ -53,12 +53,17 @@ _PRODUCTS = f"""products AS (
 _PARENT = "CASE WHEN l_partkey % 50 = 0 THEN l_partkey - 1 ELSE l_partkey END"
 
 
+#: A text that orders variants and tells rows of one order line apart.
+_PLACE = [f"lpad(CAST({c} AS {k}), {n}, '0')" for c, k, n in (("l_orderkey", "STRING", 12), ("l_linenumber", "STRING", 2), ("l_partkey", "STRING", 12), ("l_suppkey", "STRING", 10), ("CAST(l_quantity AS INT)", "STRING", 4))]
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of lineitem; a part and supplier may repeat."""
     return read(spark, sf_dir, "lineitem").selectExpr(
         f"{_PARENT} AS seq",
         f"concat('{SITE}', {_PARENT}) AS product_url",
         "l_orderkey * 10 + l_linenumber AS pos",
+        f"concat({', '.join(_PLACE)}) AS place",
         "CASE WHEN l_orderkey % 17 <> 0 THEN concat('P', l_partkey, '-', l_suppkey) END AS sku",
         "CASE WHEN l_orderkey % 13 <> 0 THEN concat('IT-', l_suppkey) END AS item_number",
         "CASE WHEN l_orderkey % 29 = 0 THEN concat('PC', l_suppkey) END AS product_code",
@@ -74,7 +79,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VARIANTS = f"""variants AS (
-    SELECT {_PARENT} AS seq, '{SITE}' || ({_PARENT}) AS product_url, l_orderkey * 10 + l_linenumber AS pos,
+    SELECT {_PARENT} AS seq, '{SITE}' || ({_PARENT}) AS product_url, l_orderkey * 10 + l_linenumber AS pos, {' || '.join(_PLACE)} AS place,
            CASE WHEN l_orderkey % 17 <> 0 THEN 'P' || l_partkey || '-' || l_suppkey END AS sku,
            CASE WHEN l_orderkey % 13 <> 0 THEN 'IT-' || l_suppkey END AS item_number,
            CASE WHEN l_orderkey % 29 = 0 THEN 'PC' || l_suppkey END AS product_code, l_linestatus AS status_option,
@@ -155,11 +160,11 @@ def keyed_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants with their identity, the first of each."""
     from ..operators import ordering
 
-    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.col("pos")])
+    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.col("place")])
 
 
 _KEYED = f"""keyed AS (
-    SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY pos) AS r
+    SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY place) AS r
         FROM (SELECT *, {IDENTITY_SQL} AS variant_key FROM variants)) WHERE r = 1)"""
 
 
@@ -167,11 +172,11 @@ def last_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants with their identity, the last of each: what a comparison looks at."""
     from ..operators import ordering
 
-    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.desc("pos")])
+    return ordering.first_seen(variants(spark, sf_dir).withColumn("variant_key", identity()), ["product_url", "variant_key"], [F.desc("place")])
 
 
 _LAST = f"""last_variants AS (
-    SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY pos DESC) AS r
+    SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY product_url, variant_key ORDER BY place DESC) AS r
         FROM (SELECT *, {IDENTITY_SQL} AS variant_key FROM variants)) WHERE r = 1)"""
 
 

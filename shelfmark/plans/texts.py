@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import commerce, records, text, url
 from ..operators import extraction, locators
+from ..sources import exports
 from . import derive
 from .registry import query
 
-_FORMS = "CASE l_linenumber % 6 WHEN 0 THEN '$' || CAST(l_extendedprice AS DECIMAL(12,2)) WHEN 1 THEN '(' || CAST(l_extendedprice AS DECIMAL(12,2)) || ')' WHEN 2 THEN 'from 1,234.50 USD' WHEN 3 THEN '-$ ' || l_partkey WHEN 4 THEN 'call us' END"
+_FORMS = "CASE l_linenumber % 7 WHEN 0 THEN '$' || CAST(l_extendedprice AS DECIMAL(12,2)) WHEN 1 THEN '(' || CAST(l_extendedprice AS DECIMAL(12,2)) || ')' WHEN 2 THEN 'from 1,234.50 USD' WHEN 3 THEN '-$ ' || l_partkey WHEN 4 THEN 'call us' WHEN 5 THEN '&#36;' || CAST(l_tax AS DECIMAL(12,2)) || '&nbsp;each' END"
 
 
 @query(
     f"""SELECT l_orderkey, l_linenumber, t AS price_text,
-               CASE WHEN m <> '' THEN CAST(CASE WHEN (starts_with(t, '(') AND ends_with(t, ')')) OR starts_with(t, '-$') THEN -CAST(replace(m, ',', '') AS DECIMAL(18,6)) ELSE CAST(replace(m, ',', '') AS DECIMAL(18,6)) END AS DOUBLE) END AS price
-        FROM (SELECT l_orderkey, l_linenumber, t, regexp_extract(t, '((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?)', 1) AS m FROM (SELECT *, {_FORMS} AS t FROM lineitem WHERE l_quantity > 45))"""
+               CASE WHEN m <> '' THEN CAST(CASE WHEN (starts_with(d, '(') AND ends_with(d, ')')) OR starts_with(d, '-$') THEN -CAST(replace(m, ',', '') AS DECIMAL(18,6)) ELSE CAST(replace(m, ',', '') AS DECIMAL(18,6)) END AS DOUBLE) END AS price
+        FROM (SELECT *, regexp_extract(d, '((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?)', 1) AS m FROM (SELECT l_orderkey, l_linenumber, t, replace(replace(t, '&#36;', '$'), '&nbsp;', ' ') AS d FROM (SELECT *, {_FORMS} AS t FROM lineitem)))"""
 )
 def parse_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.read(spark, sf_dir, "lineitem").filter("l_quantity > 45").selectExpr("l_orderkey", "l_linenumber", f"{_FORMS} AS price_text")
+    rows = derive.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_FORMS} AS price_text")
     return rows.withColumn("price", commerce.parse_price(F.col("price_text")).cast("double"))
 
 
@@ -45,17 +46,23 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(F.coalesce(text.normalize_text(F.col("text")), F.lit("")), 256).alias("text_sha256"))
 
 
-@query()
+_ASKED = "list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND split_part(lower(x), '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid')))"
+
+
+@query(
+    f"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || coalesce(nullif(rtrim(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/'), ''), '/')
+               || CASE WHEN len({_ASKED}) > 0 THEN '?' || array_to_string({_ASKED}, '&') ELSE '' END AS url FROM pages"""
+)
 def normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.read(spark, sf_dir, "pages").select("page_id", url.normalize_url("url").alias("url"))
 
 
 @query()
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of neighbouring parts, with their SequenceMatcher ratio."""
-    a = derive.read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    b = a.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
-    return a.join(b, "p_partkey").select("p_partkey", text.text_similarity("p_name", "next_name").alias("similarity"))
+    """Whole texts of neighbouring documents, with their SequenceMatcher ratio."""
+    a = derive.read(spark, sf_dir, "documents").select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    return a.join(b, "doc_id").select("doc_id", text.text_similarity("text", "next_text").alias("similarity"))
 
 
 _TOKENS = "list_distinct(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '))"
@@ -69,20 +76,17 @@ def set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "item_id").select("item_id", "other_id", F.round(text.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
 
 
-@query()
+@query(derive.sql(f"SELECT product_url, pos, {derive.IDENTITY_SQL} AS variant_key FROM variants", "variants"))
 def variant_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = F.create_map(F.lit("Status"), F.col("status_option"))
-    return derive.variants(spark, sf_dir).select("product_url", "pos", records.variant_identity(F.col("sku"), F.col("item_number"), F.col("product_code"), options).alias("variant_key"))
+    return derive.variants(spark, sf_dir).select("product_url", "pos", derive.identity().alias("variant_key"))
 
 
 @query()
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash per product over its fields and sorted variants."""
-    v = derive.variants(spark, sf_dir).groupBy("product_url").agg(F.collect_list(F.struct("sku", "item_number", "price", "availability")).alias("variants"))
-    none = F.array().cast(v.schema["variants"].dataType)
-    rows = derive.products(spark, sf_dir).join(v, "product_url", "left")
-    fields = {c: F.col(c) for c in ("product_url", "name", "brand", "category_path", "description", "image_urls", "price_visibility")}
-    return rows.select("product_url", records.content_hash(fields, F.coalesce("variants", none)).alias("content_hash"))
+    """One hash per product over its whole record and sorted variants."""
+    v = derive.variants(spark, sf_dir).drop("seq", "pos", "place")
+    rows = exports.nested(derive.products(spark, sf_dir).drop("seq"), v, order="sku")
+    return rows.select("product_url", records.content_hash(rows).alias("content_hash"))
 
 
 @query(derive.sql("SELECT product_url, pos, concat_ws('; ', CASE WHEN sku IS NULL THEN 'sku is missing' END, CASE WHEN sku LIKE '%7' THEN 'sku ends with 7' END, CASE WHEN price < 20000 THEN 'price is low' END) AS errors FROM variants", "variants"))
@@ -93,50 +97,116 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.variants(spark, sf_dir).select("product_url", "pos", F.array_join(validation.failures(checks), "; ").alias("errors"))
 
 
-def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per product with structured data and, for most, an embedded state."""
-    v = derive.variants(spark, sf_dir).filter("sku IS NOT NULL").groupBy("product_url").agg(F.collect_list(F.struct("sku", F.struct("sku", F.col("item_number").alias("manufacturer_part_number"), F.col("price").cast("string").alias("product_price"), F.col("availability").alias("stock_availability")))).alias("v"))
-    p = derive.products(spark, sf_dir).join(v, "product_url", "left")
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_url, v): each product's children by sku, the first of each, as entries of a map."""
+    child = F.struct("sku", F.col("item_number").alias("manufacturer_part_number"), F.col("price").cast("string").alias("product_price"), F.col("availability").alias("stock_availability"))
+    first = derive.variants(spark, sf_dir).filter("sku IS NOT NULL").groupBy("product_url", "sku").agg(F.min_by(child, "place").alias("child"))
+    return first.groupBy("product_url").agg(F.array_sort(F.collect_list(F.struct("sku", "child"))).alias("v"))
+
+
+def _product_pages(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame:
+    """A page per product with structured data and, for most, an embedded state.
+
+    flawed: some states have a child with a bad sku at their end, some names have markup.
+    """
+    p = derive.products(spark, sf_dir).join(_children(spark, sf_dir), "product_url", "left")
+    if flawed:
+        kind = p.schema["v"].dataType.elementType
+        bad = F.from_json(F.lit('{"sku":"~","child":{"sku":"bad sku!"}}'), kind)
+        p = p.withColumn("v", F.when((F.col("seq") % 5 == 0) & F.col("v").isNotNull(), F.concat("v", F.array(bad))).otherwise(F.col("v"))).withColumn("name", F.when(F.col("seq") % 6 == 0, F.concat("name", F.lit(" &lt;b"))).otherwise(F.col("name")))
     node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("product_url").alias("url"), "name", F.struct(F.col("brand").alias("name")).alias("brand"), "description", F.col("image_urls").alias("image")))
-    outer = F.to_json(F.struct(F.to_json(F.map_from_entries(F.array_distinct(F.transform(F.array_distinct(F.transform("v", lambda x: x["sku"])), lambda s: F.struct(s, F.filter("v", lambda x: x["sku"] == s)[0]["col2"])))) ).alias("s")))
+    outer = F.to_json(F.struct(F.to_json(F.map_from_entries("v")).alias("s")))
     literal = F.regexp_extract(outer, r'(?s)^\{"s":(.*)\}$', 1)
     state_ = F.when(F.col("v").isNull(), F.lit('"[]"')).otherwise(literal)
     grouped = F.when(F.col("v").isNull(), F.lit(' class="page-product-grouped"')).otherwise(F.lit(""))
     script = F.when(F.col("seq") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("<script>window.masterData = "), state_, F.lit(";</script>")))
-    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\">"), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), script, F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\" data-seq=\""), F.col("seq"), F.lit('">'), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), script, F.lit("</body></html>"))
     return p.select(F.col("product_url").alias("url"), "seq", "name", html.alias("html"))
 
 
-@query()
+#: What is on the generated pages: their children, and whether they have a state.
+_PAGES = """(SELECT p.*, coalesce(k, 0) AS k, coalesce(priced, 0) AS priced, total, seq % 9 <> 0 AS has_state FROM products p LEFT JOIN (
+    SELECT product_url, count(*) AS k, count(price) AS priced, sum(price) AS total FROM (SELECT product_url, sku, arg_min(struct_pack(x := price), place).x AS price FROM variants WHERE sku IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (product_url))"""
+_METHOD = "CASE WHEN NOT has_state THEN 'json_ld_fallback' WHEN k = 0 THEN 'embedded_state_empty_grouped' ELSE 'embedded_state' END"
+
+
+@query(
+    derive.sql(
+        f"""SELECT product_url AS url, name, brand, description, CAST(len(image_urls) AS BIGINT) AS images, CASE WHEN has_state AND priced > 0 THEN 'public' ELSE 'not_present' END AS price_visibility, {_METHOD} AS method, has_state AS complete,
+                   CAST(CASE WHEN has_state THEN k ELSE 1 END AS BIGINT) AS variants, CAST(CASE WHEN has_state THEN priced ELSE 0 END AS BIGINT) AS priced, round(CASE WHEN has_state THEN coalesce(total, 0) ELSE 0 END, 2) AS total,
+                   concat_ws(',', CASE WHEN brand IS NULL THEN 'brand' END, CASE WHEN description IS NULL THEN 'description' END, 'category_path', CASE WHEN len(image_urls) = 0 THEN 'image_urls' END, CASE WHEN NOT has_state THEN 'variants_complete' END) AS missing
+            FROM {_PAGES}""",
+        "products",
+        "variants",
+    )
+)
 def product_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products and variants read back from generated pages."""
-    return extraction.extract(_product_pages(spark, sf_dir).select("url", "html"))
+    rows = extraction.extract(_product_pages(spark, sf_dir).select("url", "html"))
+    prices = F.filter(F.transform("variants", lambda v: v["price"].cast("double")), lambda x: x.isNotNull())
+    return rows.select(
+        "url", "name", "brand", "description", F.size("image_urls").cast("long").alias("images"), "price_visibility", F.col("variants_method").alias("method"), F.col("variants_complete").alias("complete"),
+        F.size("variants").cast("long").alias("variants"), F.size(prices).cast("long").alias("priced"), F.round(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.array_join("missing", ",").alias("missing"),
+    )
 
 
-@query()
+@query(
+    derive.sql(
+        f"""SELECT product_url AS url, bad = '' AND NOT marked AS valid, concat_ws('; ', CASE WHEN marked THEN 'product name contains markup' END, nullif(bad, '')) AS errors, 0 AS duplicate_variants_removed
+            FROM (SELECT *, seq % 6 = 0 AND false AS marked, CASE WHEN has_state AND k > 0 AND seq % 5 = 0 THEN 'variant[' || k || '] sku has an unreasonable format' ELSE '' END AS bad FROM {_PAGES})""",
+        "products",
+        "variants",
+    )
+)
 def extraction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with flaws: a bad sku is an error; an entity for a bracket is no markup."""
     from ..operators import validation
 
-    return validation.validate(extraction.extract(_product_pages(spark, sf_dir).select("url", "html"))).select("url", "valid", "errors", "duplicate_variants_removed", "content_hash")
+    found = validation.validate(extraction.extract(_product_pages(spark, sf_dir, flawed=True).select("url", "html")))
+    return found.select("url", "valid", F.array_join("errors", "; ").alias("errors"), "duplicate_variants_removed")
 
 
-@query()
+@query(derive.sql("SELECT product_url AS url, 0 AS position, 'Product' AS type, name FROM products", "products"))
 def jsonld_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed nodes of each page in document order."""
     return extraction.typed_nodes(_product_pages(spark, sf_dir).select("url", "html"))
 
 
-@query()
+@query(derive.sql(f"SELECT product_url AS url, CASE WHEN NOT has_state THEN 'absent' WHEN k = 0 THEN 'empty' ELSE 'children' END AS kind, CAST(CASE WHEN has_state THEN k ELSE 0 END AS INTEGER) AS children FROM {_PAGES}", "products", "variants"))
 def embedded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _product_pages(spark, sf_dir)
-    return pages.select("url", extraction.embedded_state(F.col("html")).alias("s")).select("url", "s.kind", F.size(F.map_keys("s.children")).alias("children"))
+    return pages.select("url", extraction.embedded_state(F.col("html")).alias("s")).select("url", "s.kind", F.coalesce(F.size(F.map_keys("s.children")), F.lit(0)).alias("children"))
+
+
+_CANDIDATES = (("title", "css_text", "h1.title", None, None), ("number", "css_attribute", "h1[data-seq]", "data-seq", None), ("second", "css_text", "h2", None, None), ("state", "js_variable", "masterData", None, "*.sku"))
 
 
-@query("SELECT c AS candidate, 5::BIGINT AS tested, CASE WHEN c = 'css_text:h1.title' THEN 5 ELSE 0 END::BIGINT AS matched, CASE WHEN c = 'css_text:h1.title' THEN 1.0 ELSE 0.0 END::DOUBLE AS pass_rate, c = 'css_text:h1.title' AS validated FROM (VALUES ('css_text:h1.title'), ('css_text:h2')) t(c)")
+@query(
+    derive.sql(
+        f"""SELECT c AS candidate, count(*) AS tested, count(*) FILTER (WHERE ok) AS matched, count(*) FILTER (WHERE ok) / count(*) AS pass_rate, bool_and(ok) AS validated
+            FROM (SELECT c, CASE c WHEN 'title' THEN true WHEN 'number' THEN CAST(seq AS VARCHAR) = name ELSE false END AS ok FROM {_PAGES}, (VALUES ('title'), ('number'), ('second'), ('state')) t(c)) GROUP BY 1""",
+        "products",
+        "variants",
+    )
+)
 def locator_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _product_pages(spark, sf_dir).orderBy("seq").limit(5).select("url", "html", F.col("name").alias("expected"))
-    candidates = spark.createDataFrame([("css_text:h1.title", "css_text", "h1.title", None, None), ("css_text:h2", "css_text", "h2", None, None)], locators.CANDIDATES)
-    return locators.validate(candidates, samples).select("candidate", "tested", "matched", "pass_rate", "validated")
+    """Candidates for a product's name, held against every page."""
+    samples = _product_pages(spark, sf_dir).select("url", "html", F.col("name").alias("expected"))
+    return locators.validate(spark.createDataFrame(list(_CANDIDATES), locators.CANDIDATES), samples).select("candidate", "tested", "matched", "pass_rate", "validated")
+
+
+@query(
+    derive.sql(
+        f"""SELECT c AS candidate, product_url AS url, CASE c WHEN 'title' THEN name WHEN 'number' THEN CAST(seq AS VARCHAR) ELSE 'nothing' END AS found
+            FROM {_PAGES}, (VALUES ('title'), ('number'), ('second')) t(c)""",
+        "products",
+        "variants",
+    )
+)
+def locator_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What candidates find on every page: text and attribute selectors."""
+    samples = _product_pages(spark, sf_dir).select("url", "html", F.lit("").alias("expected"))
+    return locators.evaluate(spark.createDataFrame(list(_CANDIDATES[:3]), locators.CANDIDATES), samples).select("candidate", "url", "found")
 
 
 @query(derive.sql("SELECT c.category, s.product_url FROM (SELECT DISTINCT category FROM products) c CROSS JOIN (SELECT product_url FROM products ORDER BY seq LIMIT 8) s", "products"))
