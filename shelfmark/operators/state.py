@@ -10,18 +10,28 @@ def fold(events: DataFrame) -> DataFrame:
     """State of every url from its events (url, seq, status, error).
 
     enqueue only creates; in_progress adds an attempt and clears the error;
-    completed resets the attempts; failed and skipped keep them.
+    completed resets the attempts; failed and skipped keep them.  Events may also
+    carry page_type (an in_progress event of unknown type keeps the one known, an
+    enqueue event gives it to a new url only), fetched_at and content_hash (a null
+    keeps the value known).  Two aggregates with partial sums: no window, so a url
+    with very many events costs rows, not memory.
     """
-    w = Window.partitionBy("url").orderBy("seq")
-    done = events.withColumn("_round", F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).over(w))
-    last = done.groupBy("url").agg(F.max("_round").alias("_last"))
-    rows = done.join(last, "url")
+    done = events.filter("status = 'completed'").groupBy("url").agg(F.max("seq").alias("_done"))
+    rows = events.join(done, "url", "left")
     moves = F.col("status") != "pending"
+    last = lambda value, there: F.max_by(value, F.when(there, F.col("seq")))
+    more = []
+    if "page_type" in events.columns:
+        kind = F.when(moves & ~((F.col("status") == "in_progress") & (F.coalesce("page_type", F.lit("unknown")) == "unknown")), F.col("page_type"))
+        more.append(F.coalesce(last(kind, kind.isNotNull()), F.min_by("page_type", "seq"), F.lit("unknown")).alias("page_type"))
+    settled = moves & (F.col("status") != "in_progress")
+    more += [last(F.col(c), settled & F.col(c).isNotNull()).alias(c) for c in ("fetched_at", "content_hash") if c in events.columns]
     return rows.groupBy("url").agg(
-        F.coalesce(F.max_by("status", F.when(moves, F.col("seq"))), F.lit("pending")).alias("status"),
-        F.count(F.when((F.col("_round") == F.col("_last")) & (F.col("status") == "in_progress"), 1)).alias("attempt_count"),
-        F.max_by(F.when(F.col("status").isin("failed", "skipped"), F.col("error")), F.when(moves, F.col("seq"))).alias("last_error"),
+        F.coalesce(last(F.col("status"), moves), F.lit("pending")).alias("status"),
+        F.count(F.when((F.col("status") == "in_progress") & (F.col("_done").isNull() | (F.col("seq") > F.col("_done"))), 1)).alias("attempt_count"),
+        last(F.when(F.col("status").isin("failed", "skipped"), F.col("error")), moves).alias("last_error"),
         F.max("seq").alias("updated_seq"),
+        *more,
     )
 
 
@@ -46,11 +56,16 @@ def resumable(state: DataFrame, max_retries: int) -> DataFrame:
 
 def enqueue(state: DataFrame, urls: DataFrame) -> DataFrame:
     """State with the urls it lacks, as pending."""
-    new = urls.select("url").distinct().join(state.select("url"), "url", "left_anti")
+    new = inserted(state, urls)
     blank = {"status": F.lit("pending"), "attempt_count": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "updated_seq": F.lit(None).cast("long")}
     return state.unionByName(new.select("url", *[v.alias(k) for k, v in blank.items()]))
 
 
+def inserted(state: DataFrame, urls: DataFrame) -> DataFrame:
+    """The urls that enqueueing adds: those that the state lacks, once each."""
+    return urls.select("url").distinct().join(state.select("url"), "url", "left_anti")
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace stored ones of the same key."""
     kept = stored.join(new.select(*keys), keys, "left_anti")
@@ -65,7 +80,10 @@ def accepted(new: DataFrame, stored: DataFrame, key: str, complete: str = "varia
 
 
 def replace_children(stored: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
-    """Children of the replaced parents are exactly the new ones; others stay."""
+    """Children of the replaced parents are exactly the new ones; others stay.
+
+    A new child whose parent is not among the replaced ones is not stored.
+    """
     kept = stored.join(parents.select(parent).distinct(), parent, "left_anti")
     return kept.unionByName(new.join(parents.select(parent).distinct(), parent, "left_semi").select(*stored.columns))
 

@@ -1,12 +1,14 @@
 """The crawl state machine over Structured Streaming.
 
 ``states`` keeps one small state per url with applyInPandasWithState and emits
-every change; ``store_snapshots`` applies guarded product snapshots batch by
-batch.  Results equal ``operators.state.fold`` over the same events.
+every change: the last move, the last completion and the attempts after it.  So events
+may come late, in any order, or twice; results equal ``operators.state.fold`` over the
+same events.  ``store_snapshots`` applies guarded product snapshots batch by batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,28 +19,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import state as machine
 
 OUTPUT = "url string, status string, attempt_count long, last_error string, updated_seq long"
-_STATE = "status string, attempts long, error string, seq long"
+_STATE = "status string, error string, moved long, seq long, done long, tries string"
+_NEW = ("pending", None, -1, -1, -1, "")
 
 
 def _step(current: tuple, status: str, error: str | None, seq: int) -> tuple:
-    known, attempts, last, _ = current
+    """State after one more event, whenever it comes."""
+    known, last, moved, newest, done, tries = current
+    newest = max(newest, seq)
     if status == "pending":
-        return (known, attempts, last, seq)
-    if status == "in_progress":
-        return (status, attempts + 1, None, seq)
+        return (known, last, moved, newest, done, tries)
     if status == "completed":
-        return (status, 0, None, seq)
-    return (status, attempts, error, seq)
+        done = max(done, seq)
+    starts = {int(x) for x in tries.split(",") if x} | ({seq} if status == "in_progress" else set())
+    tries = ",".join(str(x) for x in sorted(starts) if x > done)
+    if seq >= moved:
+        known, last, moved = status, error if status in ("failed", "skipped") else None, seq
+    return (known, last, moved, newest, done, tries)
+
+
+def _shown(now: tuple) -> tuple:
+    """status, attempts, last error, last seq."""
+    return now[0], len([x for x in now[5].split(",") if x]), now[1], now[3]
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else ("pending", 0, None, -1)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    for r in rows.itertuples():
-        if r.seq > now[3]:  # a replayed event changes nothing
+    now = state.get if state.exists else _NEW
+    for frame in frames:
+        for r in frame.itertuples():
             now = _step(now, r.status, r.error, int(r.seq))
     state.update(now)
-    yield pd.DataFrame([(key[0], now[0], now[1], now[2], now[3])], columns=["url", "status", "attempt_count", "last_error", "updated_seq"])
+    yield pd.DataFrame([(key[0], *_shown(now))], columns=["url", "status", "attempt_count", "last_error", "updated_seq"])
 
 
 def states(events: DataFrame) -> DataFrame:
@@ -47,8 +58,8 @@ def states(events: DataFrame) -> DataFrame:
 
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change of every url."""
-    return changes.groupBy("url").agg(F.max_by(F.struct("status", "attempt_count", "last_error", "updated_seq"), "updated_seq").alias("s")).select("url", "s.*")
+    """The last change of every url: of several at one seq, which late events make, the one with most attempts."""
+    return changes.groupBy("url").agg(F.max_by(F.struct("status", "attempt_count", "last_error", "updated_seq"), F.struct("updated_seq", "attempt_count")).alias("s")).select("url", "s.*")
 
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -59,27 +70,44 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1
 class SnapshotStore:
     """Products in versioned Parquet directories; a batch writes the next version.
 
-    No version is ever overwritten, so a reader of the last one is not disturbed
-    and a repeated batch writes the same version again.
+    The folder alone says which versions there are: those whose write was finished.  So
+    a store opened again goes on from the last one, and no finished version is ever
+    overwritten; a reader of the last one is not disturbed.  A version's name holds the
+    source and number of its batch; a batch that is there already is not applied again.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.version = 0
+        self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Names of the finished versions, oldest first."""
+        if not self._files.exists(self._at):
+            return []
+        found = [x.getPath() for x in self._files.listStatus(self._at) if x.isDirectory() and x.getPath().getName().startswith("v")]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(p.getName() for p in found if self._files.exists(path(p, "_SUCCESS")))
 
     def read(self) -> DataFrame:
-        if not self.version:
+        done = self.versions()
+        if not done:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
-
-    def apply(self, batch: DataFrame, key: str) -> None:
-        """Store complete snapshots, and incomplete ones of new products."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{done[-1]}")
+
+    def apply(self, batch: DataFrame, key: str, source: str = "manual", number: int | None = None) -> bool:
+        """Store complete snapshots, and incomplete ones of new products; False if this batch was stored before."""
+        done = self.versions()
+        mark = f"{source}-{len(done) if number is None else number}"
+        if number is not None and any(x.split("-", 1)[1] == mark for x in done):
+            return False
         stored = self.read()
         new = machine.accepted(batch, stored, key).select(*stored.columns)
-        machine.upsert(stored, new, [key]).write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        machine.upsert(stored, new, [key]).write.mode("overwrite").parquet(f"{self.path}/v{len(done) + 1:09}-{mark}")
+        return True
 
 
 def store_snapshots(stream: DataFrame, store: SnapshotStore, key: str, checkpoint: str):
-    """A streaming query that applies each micro-batch to the store."""
-    return stream.writeStream.foreachBatch(lambda df, _: store.apply(df, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A streaming query that applies each micro-batch to the store, once even if it is replayed."""
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return stream.writeStream.foreachBatch(lambda df, number: store.apply(df, key, source, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,17 +89,48 @@ def test_validation(spark):
     assert one(GLOVE) == one(dict(reversed(GLOVE.items())))
 
 
-def test_state_machine_matches_a_loop(spark):
+def _loop(current, status, error, seq):
+    known, attempts, last, _ = current
+    if status == "pending":
+        return (known, attempts, last, seq)
+    if status == "in_progress":
+        return (status, attempts + 1, None, seq)
+    return (status, 0, None, seq) if status == "completed" else (status, attempts, error, seq)
+
+
+def _random_events():
     import random
 
     random.seed(3)
     kinds = ["pending", "in_progress", "completed", "failed", "skipped"]
-    events = [(f"u{random.randrange(6)}", i, random.choice(kinds), f"e{i}") for i in range(120)]
-    expected: dict = {}
+    return [(f"u{random.randrange(6)}", i, random.choice(kinds), f"e{i}") for i in range(120)]
+
+
+def test_state_machine_matches_a_loop(spark):
+    import random
+
+    events, expected = _random_events(), {}
     for u, i, s, e in events:
-        expected[u] = crawl._step(expected.get(u, ("pending", 0, None, -1)), s, e, i)
+        expected[u] = _loop(expected.get(u, ("pending", 0, None, -1)), s, e, i)
     found = state.fold(spark.createDataFrame(events, "url string, seq long, status string, error string"))
     assert {r.url: (r.status, r.attempt_count, r.last_error, r.updated_seq) for r in found.collect()} == expected
+    # Late and repeated events change nothing in the stream's state.
+    late = events + events[:50]
+    random.Random(8).shuffle(late)
+    kept: dict = {}
+    for u, i, s, e in late:
+        kept[u] = crawl._step(kept.get(u, crawl._NEW), s, e, i)
+    assert {u: crawl._shown(x) for u, x in kept.items()} == expected
+
+
+def test_states_keep_what_is_known(spark):
+    rows = [
+        ("a", 1, "pending", None, "product", None, None), ("a", 2, "in_progress", None, "unknown", None, None), ("a", 3, "completed", None, None, "t1", "h1"), ("a", 4, "failed", "x", None, None, None),
+        ("b", 1, "in_progress", None, "category", None, None), ("b", 2, "pending", None, "product", None, None), ("b", 3, "completed", None, "unknown", "t2", None), ("c", 1, "in_progress", None, None, "t9", None),
+    ]
+    found = state.fold(spark.createDataFrame(rows, "url string, seq long, status string, error string, page_type string, fetched_at string, content_hash string"))
+    got = {r.url: (r.status, r.page_type, r.fetched_at, r.content_hash) for r in found.collect()}
+    assert got == {"a": ("failed", "product", "t1", "h1"), "b": ("completed", "unknown", "t2", None), "c": ("in_progress", "unknown", None, None)}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -122,6 +153,24 @@ def test_snapshot_store(spark, tmp_path):
     store.apply(spark.createDataFrame([("a", "1", True), ("b", "1", False)], schema), "product_url")
     store.apply(spark.createDataFrame([("a", "2", False), ("b", "2", True), ("c", "1", True)], schema), "product_url")
     assert {tuple(r)[:2] for r in store.read().collect()} == {("a", "1"), ("b", "2"), ("c", "1")}
+    again = crawl.SnapshotStore(spark, str(tmp_path), schema)  # a restart
+    assert again.read().count() == 3
+    again.apply(spark.createDataFrame([("d", "1", True)], schema), "product_url")
+    assert store.read().count() == 4 and len(store.versions()) == 3
+
+
+def test_replayed_batches_are_stored_once(spark, tmp_path):
+    schema = "product_url string, name string, variants_complete boolean"
+    store = crawl.SnapshotStore(spark, str(tmp_path / "s"), schema)
+    spark.createDataFrame([("a", "1", True), ("b", "1", True)], schema).repartition(2).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        crawl.store_snapshots(stream, store, "product_url", str(tmp_path / "c")).awaitTermination(120)
+    assert store.read().count() == 2
+    done = len(store.versions())
+    tag = store.versions()[-1].split("-")[1]
+    assert not store.apply(store.read(), "product_url", tag, 0) and len(store.versions()) == done
+    assert store.apply(store.read(), "product_url", "another", 0) and len(store.versions()) == done + 1
 
 
 def test_enqueue_keeps_known(spark):
@@ -145,7 +194,9 @@ def test_run_status(spark):
 
 
 def test_agreement_tiers_and_recovery(spark):
-    scores = spark.createDataFrame([("u", "name", "normalized_exact", "core", 0.0, False), ("u", "sku", "set", "core", 1.0, True), ("u", "category_path", "normalized_exact", "advisory", 0.0, False)], "k string, field string, method string, tier string, score double, agreed boolean")
+    scores = spark.createDataFrame([("u", 1, "name", 0.0), ("u", 2, "price_visibility", 0.0), ("u", 3, "sku", 1.0), ("u", 4, "category_path", 0.0), ("u", 5, "price_visibility", 0.5)], "k string, position int, field string, score double")
+    order = agreement.report_order(agreement.per_field(scores, "k")).orderBy("tier", "position").collect()
+    assert [(r.field, r.position) for r in order] == [("category_path", 1), ("sku", 1), ("price_visibility", 2), ("name", 3)]
     r = agreement.per_product(scores, "k").first()
     assert (r.overall_agreement, r.advisory_agreement) == (0.5, 0.0)
     assert agreement.batch(agreement.per_product(scores.limit(0), "k")).first().overall_agreement == 1.0
