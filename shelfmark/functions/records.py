@@ -83,7 +83,8 @@ def option_agreement(a: Column, b: Column) -> Column:
 
 
 def utc_text(col: Column) -> Column:
-    """A timestamp as ISO 8601 text in UTC, with microseconds where it has some."""
+    """A timestamp as ISO 8601 text in UTC, with microseconds where it has some; one without a zone is in the session's."""
+    col = col.cast("timestamp")
     micros = F.unix_micros(col)
     whole = F.date_format(F.to_utc_timestamp(col, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
     part = F.pmod(micros, F.lit(1_000_000))

@@ -70,6 +70,35 @@ def known_values(current: Column, earlier: Column) -> Column:
     return F.map_concat(F.map_filter(filled(current), lambda k, _: ~F.map_contains_key(e, k)), e)
 
 
+def choose(pages: DataFrame, size: int, asked: list[str] | None = None) -> DataFrame:
+    """The pages (seq, url, ...) that a second extractor is shown: those asked for by url, else the first ``size``."""
+    if asked:
+        return pages.filter(F.col("url").isin(*asked))
+    return pages.orderBy("seq").limit(size)
+
+
+def results(sampled: DataFrame, answers: DataFrame, configured: bool = True) -> DataFrame:
+    """(url, status, reason, source) of every sampled page from a second extractor's answers (url, error).
+
+    An answer without an error is completed evidence, stamped as the second extractor's.
+    """
+    if not configured:
+        return sampled.select("url", F.lit("skipped").alias("status"), F.lit("missing configuration").alias("reason"), F.lit(None).cast("string").alias("source"))
+    known = answers.select("url", F.col("error").alias("_error"), F.lit(True).alias("_there"))
+    done = F.col("_there") & F.col("_error").isNull()
+    rows = sampled.select("url").join(known, "url", "left")
+    return rows.select(
+        "url", F.when(F.col("_there").isNull(), "skipped").when(done, "completed").otherwise("failed").alias("status"),
+        F.when(F.col("_there").isNull(), "no answer").otherwise(F.col("_error")).alias("reason"), F.when(F.coalesce(done, F.lit(False)), "llm_shadow").alias("source"),
+    )
+
+
+def flags(pages: DataFrame) -> DataFrame:
+    """(url, has_data, has_state, truncated) of what a second extractor is shown of each page."""
+    shown = with_context(pages)
+    return shown.select("url", F.contains("context", F.lit('"@type"')).alias("has_data"), F.contains("context", F.lit("manufacturer_part_number")).alias("has_state"), F.endswith("context", F.lit(MARKER)).alias("truncated"))
+
+
 def repair_samples(pages: DataFrame, field: str, limit: int = 8) -> DataFrame:
     """The first pages (seq, url, html, values) whose value of the field is known."""
     return pages.filter(F.map_contains_key("values", field)).orderBy("seq").limit(limit).select("url", "html", F.col("values")[field].alias("expected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import batches, html
@@ -52,17 +52,23 @@ def validate(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.select("candidate", "tested", "matched", rate.alias("pass_rate"), (fine & (F.col("tested") > 0) & (F.col("matched") == F.col("tested"))).alias("validated"), "failures", "error")
 
 
-def diagnose(fields: DataFrame, candidates: DataFrame, samples: DataFrame) -> DataFrame:
-    """(field, status) of a repair: validated, rejected, or skipped without samples.
+def diagnose(fields: DataFrame, candidates: DataFrame, samples: DataFrame, most: int = 4) -> DataFrame:
+    """(field, status, reason) of a repair: validated, rejected, failed without a candidate, or skipped without samples.
 
-    candidates carry ``field``; samples carry ``field``, url, html and expected.
+    candidates carry ``field`` and, for their order, ``rank``; the first ``most`` of a
+    field are tried.  samples carry ``field``, url, html and expected.
     """
-    named = candidates.withColumn("candidate", F.concat("field", F.lit("|"), "candidate"))
-    tried = samples.withColumnRenamed("field", "_field").crossJoin(F.broadcast(named.select("field", "candidate", "kind", "expression", "attribute", "path"))).filter("field = _field")
-    status = _outcomes(tried).withColumn("field", F.split("candidate", r"\|", 2)[0]).groupBy("field").agg(F.bool_or("validated").alias("any"))
+    order = F.row_number().over(Window.partitionBy("field").orderBy("rank" if "rank" in candidates.columns else "candidate"))
+    few = candidates.withColumn("_n", order).filter(F.col("_n") <= most)
+    named = few.withColumn("candidate", F.concat("field", F.lit("|"), "candidate"))
+    tried = samples.withColumnRenamed("field", "_field").join(F.broadcast(named.select("field", "candidate", "kind", "expression", "attribute", "path")), F.col("field") == F.col("_field"))
+    outcome = _outcomes(tried).withColumn("field", F.split("candidate", r"\|", 2)[0]).groupBy("field").agg(F.bool_or("validated").alias("any"))
     have = samples.select("field").distinct().withColumn("_have", F.lit(True))
-    joined = fields.select("field").distinct().join(have, "field", "left").join(status, "field", "left")
-    return joined.select("field", F.when(F.col("_have").isNull(), "skipped").when(F.col("any"), "validated").otherwise("rejected").alias("status"))
+    asked = named.groupBy("field").agg(F.lit(True).alias("_asked"))
+    joined = fields.select("field").distinct().join(have, "field", "left").join(asked, "field", "left").join(outcome, "field", "left")
+    status = F.when(F.col("_have").isNull(), "skipped").when(F.col("_asked").isNull(), "failed").when(F.col("any"), "validated").otherwise("rejected")
+    reason = F.when(status == "skipped", "no known-good samples").when(status == "failed", "no candidate proposed").when(status == "rejected", "no candidate finds every known value")
+    return joined.select("field", status.alias("status"), reason.alias("reason"))
 
 
 def _outcomes(tried: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as urls
@@ -39,9 +39,19 @@ def rules_table(spark: SparkSession, rules: list[tuple[bool, str]]) -> DataFrame
     return spark.createDataFrame(rows, "allow boolean, pattern string, regex string, specificity int")
 
 
-def decide(pages: DataFrame, rules: DataFrame, key: str, url: str = "url") -> DataFrame:
-    """(key, decision): the most specific matching rule, allow on ties, allowed without a match."""
+def decide(pages: DataFrame, rules: DataFrame | None, key: str, url: str = "url") -> DataFrame:
+    """(key, decision): the most specific matching rule, allow on ties, allowed without a match.
+
+    rules is None where the robots file could not be read: every page is UNKNOWN.
+    """
+    if rules is None:
+        return pages.select(key, F.lit("UNKNOWN").alias("decision"))
     held = pages.select(key, urls.target(F.col(url)).alias("_target"))
     matched = held.join(F.broadcast(rules), F.expr("_target RLIKE regex"), "left")
     best = matched.groupBy(key).agg(F.max_by("allow", F.struct("specificity", "allow")).alias("_allow"))
     return best.select(key, F.when(F.coalesce("_allow", F.lit(True)), "ALLOWED").otherwise("DISALLOWED").alias("decision"))
+
+
+def admitted(decision: Column, unknown: str = "deny") -> Column:
+    """Whether a decision lets a page be fetched; ``unknown`` says what UNKNOWN means."""
+    return (decision == "ALLOWED") | ((decision == "UNKNOWN") & F.lit(unknown == "allow"))

@@ -19,10 +19,39 @@ def summary(outcomes: DataFrame, degraded: bool = False) -> DataFrame:
     return row.withColumn("status", status(F.col("completed"), F.col("failed"), F.lit(degraded), F.col("planned")))
 
 
-def discovery(found: DataFrame) -> DataFrame:
-    """(category, discovered, degraded, status) from (category, method)."""
+def counters(outcomes: DataFrame) -> DataFrame:
+    """One row with a run's thirteen counters and its duration.
+
+    outcomes: a row per discovered url with category, status, source (http, browser or
+    cache), variants, attempts, shadow, fallback, repair, known (booleans), started and
+    ended (timestamps, null where the url was not reached).
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    done = F.col("status") == "completed"
+    time = lambda c: F.unix_micros(c.cast("timestamp"))
+    seconds = (time(F.max("ended")) - time(F.min("started"))) / 1e6
+    return outcomes.agg(
+        F.count_distinct("category").alias("categories_processed"), F.count(F.lit(1)).alias("urls_discovered"), n(done).alias("products_extracted"),
+        F.coalesce(F.sum(F.when(done, F.col("variants"))), F.lit(0)).alias("variants_extracted"),
+        n(F.col("source") == "http").alias("http_fetches"), n(F.col("source") == "browser").alias("browser_fetches"), n(F.col("source") == "cache").alias("cache_hits"),
+        F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).alias("retries"), n(F.col("status") == "failed").alias("failures"),
+        n(F.col("shadow")).alias("llm_shadow_runs"), n(F.col("fallback")).alias("llm_fallback_runs"), n(F.col("repair")).alias("repair_suggestions"),
+        n(done & F.col("known")).alias("duplicates_prevented"), F.round(F.coalesce(seconds, F.lit(0.0)), 3).alias("duration_seconds"),
+    )
+
+
+def discovery(found: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(category, discovered, degraded, status) from (category, method).
+
+    asked: all categories, with ``enabled``; one with nothing found has failed, one that
+    is not enabled is skipped.
+    """
     fell_back = F.count(F.when(F.col("method") == "json_ld_item_list", 1))
     rows = found.groupBy("category").agg(F.count(F.lit(1)).alias("discovered"), fell_back.alias("degraded"))
+    if asked is not None:
+        rows = asked.select("category", "enabled").distinct().join(rows, "category", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("discovered", "degraded")})
+        rows = rows.withColumn("status", F.when(~F.col("enabled"), "skipped").when(F.col("discovered") == 0, "failed").when(F.col("degraded") > 0, "degraded").otherwise("completed"))
+        return rows.drop("enabled")
     return rows.withColumn("status", F.when(F.col("discovered") == 0, "failed").when(F.col("degraded") > 0, "degraded").otherwise("completed"))
 
 

@@ -20,4 +20,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from . import catalog, comparison, crawl, scans, texts  # noqa: E402, F401  (they register their queries)
+from . import catalog, comparison, crawl, reports, scans, sources, texts  # noqa: E402, F401  (they register their queries)

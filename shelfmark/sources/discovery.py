@@ -52,9 +52,20 @@ def from_listings(pages: DataFrame, site: str) -> DataFrame:
     return found.filter(urls.admissible_product(F.col("url"), site, F.lit(True)))
 
 
-def discover(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """The primary source's urls, and the fallback's for categories it has none of."""
-    return primary.unionByName(fallback.join(primary.select("category").distinct(), "category", "left_anti"))
+class NothingFound(LookupError):
+    """Neither source has any url, and the primary one could not be read."""
+
+
+def discover(primary: DataFrame, fallback: DataFrame, primary_error: str | None = None) -> DataFrame:
+    """The primary source's urls, and the fallback's for categories it has none of.
+
+    primary_error: why the primary source could not be read; then the fallback must have
+    something.
+    """
+    found = primary.unionByName(fallback.join(primary.select("category").distinct(), "category", "left_anti"))
+    if primary_error is not None and not found.limit(1).count():
+        raise NothingFound(primary_error)
+    return found
 
 
 def plan(found: DataFrame, state: DataFrame, retries: int, resume: bool, limit: int | None) -> DataFrame:

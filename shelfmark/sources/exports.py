@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the flat export.
 CSV_COLUMNS = (
     "product_name", "brand", "category_path", "product_url", "sku", "item_number", "product_code", "variant_options_json", "price", "currency", "price_visibility", "unit_pack_size",
     "availability", "description", "specifications_json", "image_urls_json", "variant_image_urls_json", "alternative_products_json", "field_provenance_json", "scraped_at",
@@ -77,13 +78,14 @@ def agreement_report(status: str, sample_size: int, overall: float | None, advis
     return {"status": status, "sample_size": sample_size, "overall_agreement": overall if sample_size else None, "advisory_agreement": advisory if sample_size else None, "field_agreement": fields}
 
 
-def run_report(counters: dict, discovery: DataFrame, product_quality: DataFrame, variant_quality: DataFrame, provenance: DataFrame) -> dict:
-    """Status, counters, discovery and quality of a run; each table has a few rows."""
+def run_report(counters: dict, discovery: DataFrame, product_quality: DataFrame, variant_quality: DataFrame, provenance: DataFrame, audits: DataFrame | None = None) -> dict:
+    """Status, counters, discovery, quality and audits (check, passed, detail) of a run; each table has a few rows."""
     shares = lambda df: {r["field"]: r["completeness"] for r in df.collect()}
     return {
         "status": counters.get("status"),
         "metrics": {k: v for k, v in counters.items() if k != "status"},
         "discovery": {r["category"]: {"count": r["discovered"], "status": r["status"]} for r in discovery.collect()},
+        "audits": [{"check": r["check"], "passed": r["passed"], "detail": r["detail"]} for r in (audits.orderBy("check").collect() if audits is not None else [])],
         "quality": {"products": shares(product_quality), "variants": shares(variant_quality), "provenance": {r["source"]: r["n"] for r in provenance.orderBy("source").collect()}},
     }
 
@@ -92,9 +94,29 @@ def percentage(value: float | None) -> str:
     return "n/a" if value is None else f"{value * 100:.1f}%".replace(".0%", "%")
 
 
-def dashboard(title: str, tables: dict[str, DataFrame]) -> str:
-    """A self-contained page: one table per aggregate, bars for shares."""
-    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:2px 8px;text-align:left}}.bar{{background:#69c;height:8px}}</style></head><body><h1>{html.escape(title)}</h1>"]
+def provenance_stack(shares: DataFrame) -> str:
+    """Sources (source, n, share) as one stacked bar with a legend; what is not available is a gap."""
+    rows = shares.orderBy("source").collect()
+    tones = iter(("#2b6cb0", "#38a169", "#b7791f", "#805ad5", "#c53030", "#2c7a7b", "#718096"))
+    tone = {r["source"]: "#eee" if r["source"] == "not_available" else next(tones) for r in rows}
+    bar = "".join(f"<div style='flex:{r['share']:.6f};background:{tone[r['source']]}' title='{html.escape(r['source'])}: {r['n']:,} fields ({percentage(r['share'])})'></div>" for r in rows)
+    keys = "".join(f"<span><i style='background:{tone[r['source']]}'></i>{html.escape(r['source'])} <b>{percentage(r['share'])}</b></span> " for r in rows)
+    return f"<section><h2>Field provenance</h2><div class='stack' style='display:flex;height:14px'>{bar}</div><p class='legend'>{keys}</p></section>"
+
+
+def agreement_panel(report: dict, fields: DataFrame) -> str:
+    """What two extractions agree on: both means, and the fields (field, tier, agreement, position) of each tier, best first."""
+    if not report.get("sample_size"):
+        return f"<section><h2>Agreement</h2><p>no sample: {html.escape(str(report.get('status') or 'not run'))}</p></section>"
+    rows = fields.orderBy("tier", "position").collect()
+    listed = lambda tier: "".join(f"<tr><td>{html.escape(r['field'])}</td><td>{percentage(r['agreement'])}<div class='bar' style='width:{r['agreement'] * 120:.0f}px'></div></td></tr>" for r in rows if r["tier"] == tier)
+    head = f"<p>{report['sample_size']:,} products: core {percentage(report['overall_agreement'])}, advisory {percentage(report['advisory_agreement'])}</p>"
+    return f"<section><h2>Agreement</h2>{head}<h3>Core</h3><table>{listed('core')}</table><h3>Advisory</h3><table>{listed('advisory')}</table></section>"
+
+
+def dashboard(title: str, tables: dict[str, DataFrame], sections: tuple[str, ...] = ()) -> str:
+    """A self-contained page: the sections, then one table per aggregate, bars for shares."""
+    parts = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:2px 8px;text-align:left}}.bar{{background:#69c;height:8px}}</style></head><body><h1>{html.escape(title)}</h1>", *sections]
     for name, df in tables.items():
         rows = df.collect()
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>")

@@ -5,7 +5,7 @@ Rows: cache_key, url, status_code, body, content_hash, fetched_at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records
@@ -49,6 +49,34 @@ def append(results: DataFrame, path: str) -> None:
     storable(results).write.mode("append").parquet(path)
 
 
+class OfflineMiss(LookupError):
+    """A page is asked for offline that the cache does not have."""
+
+
+def require_offline(found: DataFrame) -> DataFrame:
+    """The rows of an offline look-up; a miss among them is an error that names it."""
+    missing = found.filter("cache_state <> 'hit'").select("cache_key").limit(1).collect()
+    if missing:
+        raise OfflineMiss(f"not in the cache: {missing[0].cache_key}")
+    return found
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Replace the cache by the newest intact row of each key: written aside, then put in place by renaming."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, aside, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".next", ".old"))
+    files = at.getFileSystem(conf)
+    if not files.exists(at) and files.exists(old):  # an earlier run was stopped between the two renames
+        files.rename(old, at)
+    rows = spark.read.parquet(path)
+    good = rows.withColumn("body", intact(F.col("body"), F.col("content_hash"))).filter("body IS NOT NULL")
+    ordering.latest(good, ["cache_key"], "fetched_at", "content_hash").select(*rows.columns).write.mode("overwrite").parquet(aside.toString())
+    files.delete(old, True)
+    files.rename(at, old)
+    files.rename(aside, at)
+    files.delete(old, True)
+
+
 def usable(pages: DataFrame, origin: Column, final_origin: Column, allowed: Column) -> DataFrame:
     """Adds ``refused``: why a fetched page may not be used, null if it may."""
     ok = F.col("status_code").between(200, 299)
