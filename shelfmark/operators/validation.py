@@ -17,6 +17,40 @@ def failures(checks: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for c, m in checks]))
 
 
+# What the visibility of a price may be.
+VISIBILITIES = ("public", "login_required", "not_present", "unknown")
+
+
+def contract(df: DataFrame) -> Column:
+    """What of a record breaks its contract: product url, name, price visibility, and of each
+    variant its parent, price and currency, as far as the table has those columns."""
+    kind = df.schema["variants"].dataType.elementType
+    unknown = lambda c: ~F.coalesce(c, F.lit("unknown")).isin(*VISIBILITIES)
+    there = set(df.columns)
+    checks = []
+    if "product_url" in there:
+        checks.append((~F.coalesce(F.rlike("product_url", F.lit("(?i)^https?://[^/?#]")), F.lit(False)), F.lit("product_url is no http(s) url")))
+    if "name" in there:
+        checks.append((F.trim(F.coalesce("name", F.lit(""))) == "", F.lit("name is required")))
+    if "price_visibility" in there:
+        checks.append((unknown(F.col("price_visibility")), F.concat(F.lit("price_visibility is unknown: "), F.col("price_visibility"))))
+    of_record = F.array_compact(F.array(*[F.when(c, m) for c, m in checks], F.lit(None).cast("string")))
+
+    def of_variant(v: Column, i: Column) -> Column:
+        found = []
+        if "product_url" in kind.names:
+            found.append((~v["product_url"].eqNullSafe(F.col("product_url")), "product_url does not match product"))
+        if "price" in kind.names:
+            found.append((v["price"].cast("string").try_cast("decimal(38,6)") < 0, "price is negative"))
+        if "currency" in kind.names:
+            found.append((~F.rlike(F.upper(F.trim(v["currency"])), F.lit("^[A-Z]{3}$")), "currency is no code of three letters"))
+        if "price_visibility" in kind.names:
+            found.append((unknown(v["price_visibility"]), "price_visibility is unknown"))
+        return F.array_compact(F.array(*[F.when(c, F.concat(F.lit("variant["), i, F.lit(f"] {m}"))) for c, m in found], F.lit(None).cast("string")))
+
+    return F.concat(of_record, F.coalesce(F.flatten(F.transform("variants", of_variant)), F.array().cast("array<string>")))
+
+
 def _identity(v: Column) -> Column:
     return records.variant_identity(v["sku"], v["item_number"], v["product_code"], v["options"])
 
@@ -53,7 +87,8 @@ def validate(extracted: DataFrame) -> DataFrame:
         return F.array_compact(F.array(*marked, F.when(v["sku"].isNotNull() & ~F.rlike(v["sku"], F.lit(SKU)), name("sku has an unreasonable format"))))
 
     inner = F.coalesce(F.flatten(F.transform("variants", variant_errors)), F.array().cast("array<string>"))
-    rows = rows.withColumn("errors", F.concat(checks, inner))
+    broken = F.when(F.col("error").isNull(), contract(extracted)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("errors", F.concat(broken, checks, inner))
     rows = rows.withColumn("warnings", F.array_distinct(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), notes)))
     rows = rows.withColumn("duplicate_variants_removed", F.size("_ids") - F.size("_first"))
     rows = rows.withColumn("variants", F.transform("_first", lambda i: F.get("variants", i)))
