@@ -22,8 +22,9 @@ or brought to the driver.  A word that no training text has keeps the class that
 its hash gave it.
 
 Defined results: a null or empty text is a single end; a null doc_id is in the
-training part; rows keep their own results whatever their doc_id; with no
-training text, all words are unknown; an empty table gives no rows.
+training part; rows keep their own results whatever their doc_id, repeated rows too;
+texts and words of any length are read whole; with no training text, all words are
+unknown; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ agreement of two fingerprints is corrected for matches by chance.
 Defined results: a text without words (or null) has the empty fingerprint, alike
 (1) to another empty one and unlike (0) to all else; equal texts have equal
 fingerprints; rows of one doc_id follow each other in the order of their texts; a
-null doc_id sorts first; the only row is its own next; an empty table gives no
-rows.
+null doc_id sorts first; the only row is its own next; texts of any length are read
+whole; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
