@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text, squeeze
+from .text import let, normalize_text, squeeze
 
 # Fixed value: the form of an amount.
 PRICE = r"(?<!\w)[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
@@ -34,13 +34,15 @@ PACK_INSIDE_UNITS = ("box", "bx", "case", "cs", "pack", "pk", "each", "ea", "cou
 
 def amount_text(text: Column) -> Column:
     """The first amount of a text without entities, as text with its scale; negative if marked so."""
-    text = squeeze(F.translate(text, "−", "-"))
-    token = F.regexp_extract(text, f"({PRICE})", 1)
-    digits = F.replace(F.ltrim(token, F.lit("+-")), F.lit(","), F.lit(""))
-    before = F.regexp_extract(text, rf"^(.*?){PRICE}", 1)
-    marked = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.rlike(before, F.lit(r"-\s*[$€£¥]?\s*$"))
-    minus = F.startswith(token, F.lit("-")) | (marked & F.rlike(digits, F.lit("[1-9]")))
-    return F.when(token != "", F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), digits))
+
+    def made(text: Column, token: Column) -> Column:
+        digits = F.replace(F.ltrim(token, F.lit("+-")), F.lit(","), F.lit(""))
+        before = F.regexp_extract(text, rf"^(.*?){PRICE}", 1)
+        marked = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.rlike(before, F.lit(r"-\s*[$€£¥]?\s*$"))
+        minus = F.startswith(token, F.lit("-")) | (marked & F.rlike(digits, F.lit("[1-9]")))
+        return F.when(token != "", F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), digits))
+
+    return let(squeeze(F.translate(text, "−", "-")), lambda x: let(F.regexp_extract(x, f"({PRICE})", 1), lambda token: made(x, token)))
 
 
 def parse_price(col: Column) -> Column:
@@ -50,14 +52,13 @@ def parse_price(col: Column) -> Column:
 
 def pack_form(text: Column) -> Column:
     """quantity/unit of the usual pack texts without entities; other texts stay as they are."""
-    text = squeeze(text)
     units = F.create_map(*[F.lit(x) for x in chain.from_iterable(PACK_UNITS.items())])
 
-    def form(pattern: str, quantity: int, unit: int) -> Column:
+    def form(text: Column, pattern: str, quantity: int, unit: int) -> Column:
         known = F.try_element_at(units, F.lower(F.regexp_extract(text, pattern, unit)))
         return F.concat(F.replace(F.regexp_extract(text, pattern, quantity), F.lit(","), F.lit("")), F.lit("/"), known)
 
-    return F.coalesce(*[form(*x) for x in PACK_FORMS], text)
+    return let(squeeze(text), lambda x: F.coalesce(*[form(x, *f) for f in PACK_FORMS], x))
 
 
 def pack_size(col: Column) -> Column:

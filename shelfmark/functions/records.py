@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import casefold, comparison_text
+from .text import casefold, comparison_text, let
 
 
 def _ordered(col: Column, kind: T.DataType) -> Column:
@@ -78,8 +78,7 @@ def option_agreement(a: Column, b: Column) -> Column:
     none = F.create_map().cast("map<string,string>")
     same = lambda x, y: comparison_text(x, entities=False).eqNullSafe(comparison_text(y, entities=False))
     zipped = F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: same(x, y))
-    values = F.map_values(zipped)
-    return F.when(F.size(values) == 0, 1.0).otherwise(F.size(F.filter(values, lambda x: x)) / F.size(values))
+    return let(F.map_values(zipped), lambda same: F.when(F.size(same) == 0, 1.0).otherwise(F.size(F.filter(same, lambda x: x)) / F.size(same)))
 
 
 def utc_text(col: Column) -> Column:

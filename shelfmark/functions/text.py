@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+from collections.abc import Callable
 from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import chain
@@ -21,9 +22,14 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
+def let(col: Column, make: Callable[[Column], Column]) -> Column:
+    """make(col), where col is worked out once however often ``make`` uses it."""
+    return F.get(F.transform(F.array(col), make), 0)
+
+
 def squeeze(col: Column) -> Column:
     """One space for each run of Unicode white space, none at the ends, blank to null."""
-    return F.nullif(F.trim(F.regexp_replace(col, r"(?U)\s+", " ")), F.lit(""))
+    return let(F.trim(F.regexp_replace(col, r"(?U)\s+", " ")), lambda x: F.nullif(x, F.lit("")))
 
 
 def normalize_text(col: Column, entities: bool = True) -> Column:
@@ -76,10 +82,10 @@ def _folds() -> dict[str, str]:
 
 def casefold(col: Column) -> Column:
     """Full case folding in the JVM; most texts are done once they are lower-case."""
-    low = F.lower(col)
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(_folds().items())])
-    folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(F.rlike(low, F.lit("[" + "".join(_folds()) + "]")), folded).otherwise(low)
+    folded = lambda low: F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    # A text of as many bytes as characters is ASCII and has nothing more to fold.
+    return let(F.lower(col), lambda low: F.when(F.octet_length(low) == F.char_length(low), low).when(F.rlike(low, F.lit("[" + "".join(_folds()) + "]")), folded(low)).otherwise(low))
 
 
 def comparison_text(col: Column, entities: bool = True) -> Column:
@@ -88,7 +94,7 @@ def comparison_text(col: Column, entities: bool = True) -> Column:
 
 
 def comparison_label(col: Column, entities: bool = True) -> Column:
-    return F.nullif(F.regexp_replace(comparison_text(col, entities), r"[^\p{L}\p{N}]", ""), F.lit(""))
+    return let(F.regexp_replace(comparison_text(col, entities), r"[^\p{L}\p{N}]", ""), lambda x: F.nullif(x, F.lit("")))
 
 
 def availability_label(col: Column) -> Column:
@@ -115,8 +121,8 @@ def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 1 where both arrays are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    sizes = F.struct(F.size(F.array_union(a, b)).alias("all"), F.size(F.array_intersect(a, b)).alias("both"))
+    return let(sizes, lambda n: F.when(n["all"] == 0, 1.0).otherwise(n["both"] / n["all"]))
 
 
 def percentage(col: Column) -> Column:

@@ -150,7 +150,7 @@ def variant_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     derive.sql(
-        f"SELECT p.product_url, CAST((p.brand IS NULL)::INT + (p.description IS NULL)::INT + (x.o < 0.8)::INT AS BIGINT) AS triggers, CASE WHEN p.brand IS NULL OR p.description IS NULL OR x.o < 0.8 THEN 'recorded_for_review' ELSE 'no_action' END AS disposition, false AS selectors_modified FROM products p JOIN {_PER_PRODUCT} x USING (product_url)",
+        f"SELECT p.product_url, CAST((p.brand IS NULL)::INT + (p.description IS NULL)::INT + (round(x.o, 9) < 0.8)::INT AS BIGINT) AS triggers, CASE WHEN p.brand IS NULL OR p.description IS NULL OR round(x.o, 9) < 0.8 THEN 'recorded_for_review' ELSE 'no_action' END AS disposition, false AS selectors_modified FROM products p JOIN {_PER_PRODUCT} x USING (product_url)",
         "shadow", "shadow_last",
     )
 )
@@ -158,5 +158,5 @@ def recovery_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = agreement.per_product(_product_scores(spark, sf_dir), "product_url")
     rows = derive.products(spark, sf_dir).join(means, "product_url")
     missing = F.array_compact(F.array(F.when(F.col("brand").isNull(), F.lit("brand")), F.when(F.col("description").isNull(), F.lit("description"))))
-    found = agreement.recovery(rows, "product_url", missing, F.array().cast("array<string>"), F.col("overall_agreement"))
+    found = agreement.recovery(rows, "product_url", missing, F.array().cast("array<string>"), F.round("overall_agreement", 9))
     return found.select("product_url", F.size("triggers").cast("long").alias("triggers"), "disposition", "selectors_modified")

@@ -18,6 +18,3 @@ def query(oracle: str | None = None) -> Callable:
         return f
 
     return add
-
-
-from . import catalog, comparison, crawl, reports, scans, sources, texts  # noqa: E402, F401  (they register their queries)

@@ -108,12 +108,11 @@ def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("named", evidence.field_name(F.col("named")).alias("field"), "n")
 
 
-@query(derive.sql(f"SELECT 'completed' AS status, sample_size, overall_agreement, fields FROM (SELECT count(*) AS sample_size, round(avg(o), 9) AS overall_agreement FROM {comparison._PER_PRODUCT}), (SELECT count(DISTINCT field) AS fields FROM {comparison._MEANT})", "shadow", "shadow_last"))
+@query(derive.sql(f"SELECT 'completed' AS status, count(*) AS sample_size, round(avg(o), 9) AS overall_agreement, round(avg(a), 9) AS advisory_agreement FROM {comparison._PER_PRODUCT}", "shadow", "shadow_last"))
 def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of this run; a run without a sample would keep the one before."""
-    scores = comparison._product_scores(spark, sf_dir)
-    row = agreement.batch(agreement.per_product(scores, "product_url")).first()
-    means = {r.field: r.agreement for r in agreement.per_field(scores).collect()}
-    full = exports.agreement_report("completed", row.sample_size, row.overall_agreement, row.advisory_agreement, means)
-    kept = exports.agreement_report("skipped", 0, None, None, {}, full) | {"status": "completed"}
-    return spark.createDataFrame([(kept["status"], kept["sample_size"], round(kept["overall_agreement"], 9), len(kept["field_agreement"]))], "status string, sample_size long, overall_agreement double, fields long")
+    """What a run without a sample reports: the populated report of the run before."""
+    row = agreement.batch(agreement.per_product(comparison._product_scores(spark, sf_dir), "product_url")).first()
+    full = exports.agreement_report("completed", row.sample_size, row.overall_agreement, row.advisory_agreement, {})
+    kept = exports.agreement_report("skipped", 0, None, None, {}, full)
+    status = full["status"] if kept["status"] == "preserved" else kept["status"]
+    return spark.createDataFrame([(status, kept["sample_size"], round(kept["overall_agreement"], 9), round(kept["advisory_agreement"], 9))], "status string, sample_size long, overall_agreement double, advisory_agreement double")

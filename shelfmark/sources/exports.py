@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of the flat export.
@@ -18,10 +18,15 @@ CSV_COLUMNS = (
 )
 
 
+def _before(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a comes before b; null comes first."""
+    return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def nested(products: DataFrame, variants: DataFrame, key: str = "product_url", order: str = "variant_key") -> DataFrame:
     """Products with their variants as an ordered array, empty for childless ones."""
     fields = [c for c in variants.columns if c != key]
-    lists = variants.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("v"))), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)).alias("_v"))
+    lists = variants.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("v"))), lambda a, b: _before(a["_o"], b["_o"])).alias("_v"))
     kind = lists.select(F.transform("_v", lambda x: x["v"]).alias("v")).schema["v"].dataType
     joined = products.join(lists, key, "left")
     return joined.withColumn("variants", F.coalesce(F.transform("_v", lambda x: x["v"]), F.array().cast(kind))).drop("_v")
