@@ -12,6 +12,7 @@ cover positions only (3 of 7) finds every repeat.
    one gets 128 bits from two independent hashes of its words and is dealt out in the
    same way; a window whose least doc_id is smaller than its document's is a repeat.
    Two different windows among 1e12 agree in all bits with a chance of about 1e-15.
+   The answer names a document's own windows by their first 64 bits.
 3. Each document drops the words that its repeats cover.
 
 Hot passages cost one packed entry per document and are never paired.  Answers come
@@ -54,11 +55,9 @@ def _room(w: textkit.Words, k: int) -> np.ndarray:
     return np.arange(len(w.hashes), dtype=np.int64) + k <= np.repeat(w.bounds[1:], w.counts)
 
 
-def _in_order(hashes: np.ndarray, *first: np.ndarray) -> np.ndarray:
-    """Places of the rows (of one or two hashes) in order of ``first``, then of the hashes."""
-    if hashes.shape[1] == 1 and not first:
-        return np.argsort(hashes[:, 0], kind="stable")
-    return np.lexsort((*hashes.T[::-1], *first[::-1]))
+def _in_order(hashes: np.ndarray) -> np.ndarray:
+    """Places of the rows (of one or two hashes) in order."""
+    return np.argsort(hashes[:, 0], kind="stable") if hashes.shape[1] == 1 else np.lexsort(hashes.T[::-1])
 
 
 def _new(hashes: np.ndarray) -> np.ndarray:
@@ -114,7 +113,7 @@ def _undealt(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray]:
 def _shared(table: pa.Table, both: bool, parts: int, wide: int) -> pa.Table:
     """The (doc_id, hash) pairs whose hash occurs in another document, packed by the document's part.
 
-    both: with a smaller or larger doc_id; otherwise with a smaller one only.
+    All bits of a hash are compared here; the first 64 go back to its document.  both: with a smaller or larger doc_id; otherwise with a smaller one only.
     """
     hashes, ids = _undealt(table, wide)
     starts = np.flatnonzero(_new(hashes))
@@ -123,7 +122,7 @@ def _shared(table: pa.Table, both: bool, parts: int, wide: int) -> pa.Table:
     keep = ids > least
     if both:
         keep |= ids < np.repeat(np.maximum.reduceat(ids, starts), sizes)
-    hashes, ids = hashes[keep], ids[keep]
+    hashes, ids = hashes[keep, 0], ids[keep]
     part = (textkit.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((ids, part))
     hashes, ids, part = hashes[order], ids[order], part[order]
@@ -133,11 +132,10 @@ def _shared(table: pa.Table, both: bool, parts: int, wide: int) -> pa.Table:
     return pa.table({"part": pa.array(at, pa.int32()), "ids": pack(ids), "hashes": pack(hashes)})
 
 
-def _gathered(table: pa.Table, wide: int) -> pa.Table:
+def _gathered(table: pa.Table) -> pa.Table:
     """One row per document of a part with all its hashes, sorted."""
     ids, hashes = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("ids", np.int64), ("hashes", np.uint64)))
-    hashes = hashes.reshape(-1, wide)
-    order = _in_order(hashes, ids)
+    order = np.lexsort((hashes, ids))
     hashes, ids = hashes[order], ids[order]
     docs, first = np.unique(ids, return_index=True)
     ends = np.append(first, len(ids))[1:]
@@ -147,22 +145,14 @@ def _gathered(table: pa.Table, wide: int) -> pa.Table:
 def _per_document(dealt: DataFrame, both: bool, parts: int, wide: int) -> DataFrame:
     """(doc_id, found): the packed hashes of each document, from all buckets."""
     rows = dealt.groupBy("bucket").applyInArrow(lambda table: _shared(table, both, parts, wide), "part int, ids binary, hashes binary")
-    return rows.groupBy("part").applyInArrow(lambda table: _gathered(table, wide), "doc_id long, found binary")
+    return rows.groupBy("part").applyInArrow(_gathered, "doc_id long, found binary")
 
 
 def _in(hashes: np.ndarray, packed: bytes) -> np.ndarray:
-    """Which rows are among the packed ones, which are in order."""
-    known = np.frombuffer(packed, np.uint64).reshape(-1, hashes.shape[1])
-    at = np.searchsorted(known[:, 0], hashes[:, 0])
-    out = np.zeros(len(hashes), bool)
-    open_ = np.arange(len(hashes))
-    while len(open_):  # a second turn only where the first of two hashes agrees and the other does not
-        open_ = open_[at[open_] < len(known)]
-        open_ = open_[known[at[open_], 0] == hashes[open_, 0]]
-        out[open_] = (known[at[open_]] == hashes[open_]).all(axis=1)
-        open_ = open_[~out[open_]]
-        at[open_] += 1
-    return out
+    known = np.frombuffer(packed, np.uint64)
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    return known[at] == hashes
 
 
 def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -188,7 +178,7 @@ def repeats(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             for part in textkit.pieces(batches):
                 w = textkit.words(part.column(1), second=True)
                 hit = np.zeros(len(w.hashes) + 1, np.int32)
-                cover, short, full = _on_cover(w), textkit.windows(w.hashes, anchor)[:, None], textkit.long_windows(w, window)
+                cover, short, full = _on_cover(w), textkit.windows(w.hashes, anchor), textkit.long_windows(w, window)
                 cover &= _room(w, anchor)
                 for i, packed in enumerate(part.column(2).to_pylist()):
                     own = np.arange(w.bounds[i], w.bounds[i + 1])
@@ -226,8 +216,8 @@ def remove(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFra
 def _remover(window: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textkit.pieces(batches):
-            w = textkit.words(part.column(1), second=True)
-            full = textkit.long_windows(w, window)
+            w = textkit.words(part.column(1))
+            full = textkit.windows(w.hashes, window)
             removed, digests, texts = [], [], []
             for i, (text, packed) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 every = text.encode().split()
