@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import difflib
 import html
+import json
 from collections.abc import Callable
 from functools import lru_cache
 from html.parser import HTMLParser
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -82,7 +82,7 @@ def _folds() -> dict[str, str]:
 
 def casefold(col: Column) -> Column:
     """Full case folding in the JVM; most texts are done once they are lower-case."""
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(_folds().items())])
+    table = F.from_json(F.lit(json.dumps(_folds())), "map<string,string>")  # one literal, folded to a map
     folded = lambda low: F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     # A text of as many bytes as characters is ASCII and has nothing more to fold.
     return let(F.lower(col), lambda low: F.when(F.octet_length(low) == F.char_length(low), low).when(F.rlike(low, F.lit("[" + "".join(_folds()) + "]")), folded(low)).otherwise(low))
