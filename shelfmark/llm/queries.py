@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, class_lm, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, url_filter, whitening
+from . import bpe, class_lm, conversation_repair, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, url_filter, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +52,16 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(conversation_repair.damaged(rows), there="present")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid, op10_class_lm, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid, op10_class_lm, op12_conversation_repair, op13_whitening)}
 
 ORACLES = {
     "op1_near_dedup": r"""
