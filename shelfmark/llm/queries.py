@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, class_lm, conversation_repair, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, url_filter, whitening
+from . import bpe, class_lm, conversation_repair, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, suffix_dedup, url_filter, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(_documents(spark, sf_dir), length=100, with_bytes=False)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversation_repair.repair(conversation_repair.damaged(rows), there="present")
@@ -61,7 +65,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid, op10_class_lm, op12_conversation_repair, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid, op10_class_lm, op11_suffix_dedup, op12_conversation_repair, op13_whitening)}
 
 ORACLES = {
     "op1_near_dedup": r"""
@@ -86,6 +90,19 @@ ORACLES = {
         SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op11_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        part AS (SELECT doc_id, c, substr(h, 1000 * c + 1, 1198) AS s FROM d, unnest(range(0, len(h) // 1000 + 1)) t(c)),
+        win AS (SELECT doc_id, 500 * c + p AS p, md5_number(substr(s, 2 * p + 1, 200)) AS k FROM part, unnest(range(0, 500)) t(p) WHERE len(s) >= 2 * p + 200),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win) WHERE n > 1),
+        spans AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 100, true) AS fresh, lead(p) OVER w AS q FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM spans) GROUP BY doc_id, g),
+        edge AS (SELECT doc_id, b AS a, lead(a, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT * FROM span UNION ALL SELECT DISTINCT doc_id, -1, 0 FROM span)),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS t FROM edge JOIN d USING (doc_id) GROUP BY doc_id),
+        sums AS (SELECT doc_id, count(*) AS n, sum(b - a) AS r FROM span GROUP BY 1)
+        SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
