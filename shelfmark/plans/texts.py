@@ -166,12 +166,6 @@ def extraction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "valid", F.array_join("errors", "; ").alias("errors"), "duplicate_variants_removed")
 
 
-@query(derive.sql("SELECT product_url AS url, 0 AS position, 'Product' AS type, name FROM products", "products"))
-def jsonld_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed nodes of each page in document order."""
-    return extraction.typed_nodes(_product_pages(spark, sf_dir).select("url", "html"))
-
-
 @query(derive.sql(f"SELECT product_url AS url, CASE WHEN NOT has_state THEN 'absent' WHEN k = 0 THEN 'empty' ELSE 'children' END AS kind, CAST(CASE WHEN has_state THEN k ELSE 0 END AS INTEGER) AS children FROM {_PAGES}", "products", "variants"))
 def embedded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _product_pages(spark, sf_dir)
