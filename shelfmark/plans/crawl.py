@@ -83,6 +83,32 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decide(derive.read(spark, sf_dir, "pages"), rules, "page_id")
 
 
+#: Robots texts by the number of their site; the fifth kind could not be read.
+_ROBOTS = {
+    1: "User-agent: *\\nDisallow: /F/\\nAllow: /F/1\\nDisallow: /*?ref=\\n",
+    2: "User-agent: other\\nDisallow: /\\n\\nUser-agent: shelfmark\\nDisallow: /O/*.html$\\nAllow: /O/1*5.html$\\nDisallow: /F/\\n",
+    3: "# none\\n",
+    4: "User-agent: *\\nDisallow: /\\nAllow: /site-",
+}
+_RULES = """(VALUES (1, false, '^/F/', 3), (1, true, '^/F/1', 4), (1, false, '^/.*\\?ref=', 6), (2, false, '^/O/.*\\.html$', 8), (2, true, '^/O/1.*5\\.html$', 9), (2, false, '^/F/', 3), (4, false, '^/', 1)) r(kind, allow, regex, specificity)"""
+_TARGET = "CASE WHEN o_custkey % 5 = 4 AND o_orderkey % 2 = 0 THEN '/site-' || o_custkey || '/' ELSE '/' || o_orderstatus || '/' END || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.html' WHEN o_orderkey % 3 = 1 THEN '/x?ref=a' ELSE '/' END"
+
+
+@query(
+    f"""WITH targets AS (SELECT o_orderkey, o_custkey % 5 AS kind, o_custkey, {_TARGET} AS target FROM orders),
+             met AS (SELECT o_orderkey, allow, specificity FROM targets JOIN {_RULES} ON r.kind = targets.kind AND regexp_matches(target, regex)
+                     UNION ALL SELECT o_orderkey, true, length('/site-' || o_custkey || '/') FROM targets WHERE kind = 4 AND starts_with(target, '/site-' || o_custkey || '/')),
+             best AS (SELECT o_orderkey, arg_max(allow, specificity * 2 + allow::INT) AS allow FROM met GROUP BY 1)
+        SELECT o_orderkey, CASE WHEN kind = 0 THEN 'UNKNOWN' WHEN coalesce(allow, true) THEN 'ALLOWED' ELSE 'DISALLOWED' END AS decision FROM targets LEFT JOIN best USING (o_orderkey)"""
+)
+def robots_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a page of its customer's site, by the robots rules of all sites."""
+    text = "CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN '{v}'" + (" || c_custkey || '/'" if k == 4 else "") for k, v in _ROBOTS.items()) + " END"
+    sites = derive.read(spark, sf_dir, "customer").selectExpr("'shop' || c_custkey || '.test' AS host", f"{text} AS text")
+    pages = derive.read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"'https://SHOP' || o_custkey || '.test' || {_TARGET} AS url")
+    return robots.decide_sites(pages, sites, "o_orderkey", agent="shelfmark/1.0")
+
+
 @query(f"SELECT page_id, CASE WHEN {_PATH} LIKE '/en/%' THEN 'product' WHEN {_PATH} LIKE '/fr/%' THEN 'category' ELSE 'unknown' END AS page_type, CASE WHEN {_PATH} LIKE '/en/%' THEN 0.85 WHEN {_PATH} LIKE '/fr/%' THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence FROM pages")
 def classify_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The url part of the cascade, with this data's prefixes: no page has structured data."""
