@@ -37,6 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ from . import store, textkit
 from .suffix_arrays import suffix_arrays
 
 #: Bytes hashed at a time, bytes of different segments of a key, and of segments ordered side by side.
-BLOCK, FULL, BATCH = 1 << 16, 16 << 10, 3 << 20
+BLOCK, FULL, BATCH = 1 << 16, 4 << 10, 3 << 20
+#: Texts of more bytes are ordered apart from shorter ones, which take fewer steps.
+LONG = 1 << 10
 #: Strings whose longer grams are one when a key is dealt out again.
 STEP = 9
 
@@ -170,7 +173,8 @@ def _known(r: Runs, offsets: np.ndarray, keys: list) -> tuple[np.ndarray, np.nda
     out = np.zeros(len(doc), bool)
     for i, own in enumerate(keys):
         if own is not None and edges[i + 1] > edges[i]:
-            out[edges[i] : edges[i + 1]] = np.isin(r.key[edges[i] : edges[i + 1]].view(np.int64), np.frombuffer(own, np.int64))
+            known, keys_of = np.frombuffer(own, np.int64), r.key[edges[i] : edges[i + 1]].view(np.int64)
+            out[edges[i] : edges[i + 1]] = known[np.minimum(np.searchsorted(known, keys_of), len(known) - 1)] == keys_of
     return out, doc
 
 
@@ -277,27 +281,47 @@ def first_places(segments: pa.Table | pa.RecordBatch, length: int) -> pa.RecordB
     return _batch(doc_id=(docs[first >> 32], pa.int64()), first=(first & 0xFFFFFFFF, pa.int64()), last=(last & 0xFFFFFFFF, pa.int64()))
 
 
+def _by_length(segments: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Keys whose segments have up to LONG bytes, and the others."""
+    key, size = segments.column(0).to_numpy(), pc.binary_length(segments.column(1)).to_numpy()
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    heads = np.flatnonzero(head)
+    long = np.repeat(np.add.reduceat(size, heads) > LONG, np.diff(np.append(heads, len(key))))
+    return segments.filter(pa.array(~long)), segments.filter(pa.array(long))
+
+
 def _ordered(length: int) -> Callable:
     """Rows in order of key: whole keys are ordered together, some millions of bytes at a time."""
 
+    def places(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(tables).combine_chunks()
+        if table.num_rows:
+            yield first_places(table.to_batches()[0], length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        late: list[pa.Table] = []
         for part in textkit.pieces(batches, "segment", BATCH):
             held.append(part)
-            size += part.column(1).nbytes
-            if size >= BATCH:
+            if sum(x.column(1).nbytes for x in held) >= BATCH:
                 table = pa.Table.from_batches(held).combine_chunks()
                 key = table.column(0).to_numpy()
                 stop = int(np.searchsorted(key, key[-1]))  # the last key may go on
                 if stop:
-                    yield first_places(table.slice(0, stop).combine_chunks().to_batches()[0], length)
+                    short, long = _by_length(table.slice(0, stop))
+                    yield from places([short])
+                    late.append(long)
+                    if sum(x.nbytes for x in late) >= BATCH:
+                        yield from places(late)
+                        late = []
                 held = table.slice(stop).combine_chunks().to_batches()
-                size = sum(x.column(1).nbytes for x in held)
         if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            if table.num_rows:
-                yield first_places(table.to_batches()[0], length)
+            short, long = _by_length(pa.Table.from_batches(held).combine_chunks())
+            yield from places([short])
+            late.append(long)
+        if late:
+            yield from places(late)
 
     return run
 
@@ -350,7 +374,7 @@ def _remover(length: int, with_bytes: bool) -> Callable:
             data, offsets = _texts(part)
             column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: B023, E731
             found = column("found")
-            cover = np.zeros(len(data) + 1, np.int32)
+            gone = np.zeros(len(data), bool)
             if found.null_count < len(found):
                 r = runs(data, offsets, length)
                 keep, _ = _known(r, offsets, found.to_pylist())
@@ -361,10 +385,9 @@ def _remover(length: int, with_bytes: bool) -> Callable:
                 for i, (first, last) in enumerate(zip(column("first").to_pylist(), column("last").to_pylist(), strict=True)):
                     for a, b in zip(first or (), last or (), strict=True):
                         repeat[offsets[i] + a : offsets[i] + b + 1] = False
-                at = np.flatnonzero(repeat)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
+                so_far = np.cumsum(repeat, dtype=np.int32)  # a byte goes if one of the last ``length`` places repeats; none reaches into the next text
+                gone = so_far[:-1] > 0
+                gone[length:] = so_far[length:-1] > so_far[: -length - 1]
             before = np.concatenate([[0], np.cumsum(gone)])
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
