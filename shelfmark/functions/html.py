@@ -1,9 +1,7 @@
-"""A small HTML tree on the standard library, and the selectors locators may use."""
+"""A small HTML tree on the standard library."""
 
 from __future__ import annotations
 
-import json
-import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -11,16 +9,15 @@ from html.parser import HTMLParser
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class SelectorError(ValueError):
-    """A selector or locator outside the supported forms."""
-
-
 @dataclass
 class Element:
     tag: str
     attributes: dict[str, str]
     parent: Element | None = None
     children: list = field(default_factory=list)
+    #: Elements among the children, and this one's place among its parent's.
+    elements: list = field(default_factory=list)
+    place: int = 0
 
     def walk(self):
         for child in self.children:
@@ -45,7 +42,9 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         made = Element(tag, {k: v or "" for k, v in attrs}, self.at)
+        made.place = len(self.at.elements)
         self.at.children.append(made)
+        self.at.elements.append(made)
         if tag not in VOID:
             self.at = made
 
@@ -65,112 +64,3 @@ def parse(html: str) -> Element:
     tree.feed(html)
     tree.close()
     return tree.root
-
-
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
-
-
-def _simple(text: str):
-    """A test of one element: tag, #id, .class, [attribute], [attribute=value]."""
-    tests, at = [], 0
-    while at < len(text):
-        m = _SIMPLE.match(text, at)
-        if not m:
-            raise SelectorError(f"unsupported selector: {text!r}")
-        tag, name, kind, attribute, value = m.groups()
-        if tag:
-            tests.append(lambda e, t=tag.lower(): t in ("*", e.tag))
-        elif name:
-            tests.append(lambda e, n=name: e.attributes.get("id") == n)
-        elif kind:
-            tests.append(lambda e, k=kind: k in e.attributes.get("class", "").split())
-        elif value is None:
-            tests.append(lambda e, a=attribute.lower(): a in e.attributes)
-        else:
-            tests.append(lambda e, a=attribute.lower(), v=value: e.attributes.get(a) == v)
-        at = m.end()
-    return lambda e: all(t(e) for t in tests)
-
-
-def select(root: Element, selector: str) -> list[Element]:
-    """Elements that match, in document order; commas, descendants and > are supported."""
-    chains = []
-    for part in selector.split(","):
-        steps = re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", part)
-        if not steps or steps[0] == ">" or steps[-1] == ">":
-            raise SelectorError(f"unsupported selector: {selector!r}")
-        chain, direct = [], False
-        for step in steps:
-            if step == ">":
-                direct = True
-                continue
-            chain.append((direct, _simple(step)))
-            direct = False
-        chains.append(chain)
-
-    def fits(e: Element, chain) -> bool:
-        if not chain[-1][1](e):
-            return False
-        if len(chain) == 1:
-            return True
-        up = e.parent
-        while up is not None and up.tag:
-            if fits(up, chain[:-1]):
-                return True
-            if chain[-1][0]:
-                return False
-            up = up.parent
-        return False
-
-    return [e for e in root.walk() if any(fits(e, c) for c in chains)]
-
-
-def js_value(html: str, name: str):
-    """What ``window.<name> = …`` is given, decoded twice if it is a JSON text; None if it can't be read."""
-    m = re.search(rf"\bwindow\.{re.escape(name)}\s*=\s*", html, re.ASCII)
-    if not m:
-        return None
-    try:
-        value = json.JSONDecoder().raw_decode(html, m.end())[0]
-    except ValueError:
-        return None
-    if isinstance(value, str):
-        try:
-            return json.loads(value)
-        except ValueError:
-            return value
-    return value
-
-
-def follow(value, path: str) -> list:
-    """Values at a dotted path; * fans out, numbers index lists."""
-    now = [value]
-    for step in filter(None, path.split(".")):
-        found = []
-        for item in now:
-            if step == "*" and isinstance(item, (dict, list)):
-                found += item.values() if isinstance(item, dict) else item
-            elif isinstance(item, dict) and step in item:
-                found.append(item[step])
-            elif isinstance(item, list) and step.isdigit() and int(step) < len(item):
-                found.append(item[int(step)])
-        now = found
-    return now
-
-
-def locate(html: str, kind: str, expression: str, attribute: str | None = None, path: str | None = None) -> list[str]:
-    """Distinct values that a locator finds, in document order."""
-    if kind == "js_variable":
-        if not re.fullmatch(r"[A-Za-z_$][\w$]*", expression):
-            raise SelectorError(f"not an identifier: {expression!r}")
-        value = js_value(html, expression)
-        raw = [] if value is None else follow(value, path or "")
-    elif kind in ("css_text", "css_attribute"):
-        if kind == "css_attribute" and not attribute:
-            raise SelectorError("an attribute name is needed")
-        found = select(parse(html), expression)
-        raw = [e.text() if kind == "css_text" else e.attributes.get(attribute) for e in found]
-    else:
-        raise SelectorError(f"unknown kind: {kind!r}")
-    texts = (str(x).strip() for x in raw if x is not None and not isinstance(x, (dict, list)))
-    return list(dict.fromkeys(x for x in texts if x))

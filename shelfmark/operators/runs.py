@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,12 @@ def evidence_status(paired: Column, failed: Column, sampled: Column) -> Column:
 
 
 def latch(rows: DataFrame, key: str, order: list[str], gave_up: str) -> DataFrame:
-    """Adds ``latched``: whether an earlier row of the key gave up."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("latched", F.coalesce(F.bool_or(gave_up).over(w), F.lit(False)))
+    """Adds ``latched``: whether an earlier row of the key gave up.
+
+    The first give-up of each key is one small aggregate with partial sums; a row is
+    latched if it comes after it.  So a key with very many rows is never sorted.
+    """
+    place = F.struct(*order)
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(F.col(gave_up), place)).alias("_first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn("latched", F.coalesce(place > F.col("_first"), F.lit(False))).drop("_key", "_first")

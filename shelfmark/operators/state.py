@@ -36,11 +36,22 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def error_log(events: DataFrame) -> DataFrame:
-    """Failed events with the attempt they belong to: attempts since the url was last completed, 1 at least."""
-    w = Window.partitionBy("url").orderBy("seq")
-    rounds = events.withColumn("_round", F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).over(w))
-    tries = F.sum(F.when(F.col("status") == "in_progress", 1).otherwise(0)).over(Window.partitionBy("url", "_round").orderBy("seq"))
-    return rounds.withColumn("attempt_number", F.greatest(F.lit(1), tries).cast("long")).filter("status = 'failed'").withColumnRenamed("error", "error_message").drop("_round")
+    """Failed events with the attempt they belong to: attempts since the url was last completed, 1 at least.
+
+    A failure's round is the number of completions before it; one running count of
+    attempts less its value at the round's start needs one window and no second one.
+    """
+    w = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tries = F.count(F.when(F.col("status") == "in_progress", 1)).over(w)
+    counted = events.withColumn("_tries", tries)
+    at_done = F.coalesce(F.max(F.when(F.col("status") == "completed", F.col("_tries"))).over(w), F.lit(0))
+    return counted.withColumn("attempt_number", F.greatest(F.lit(1), F.col("_tries") - at_done).cast("long")).filter("status = 'failed'").withColumnRenamed("error", "error_message").drop("_tries")
+
+
+def stored_errors(errors: DataFrame, path: str, context: Column) -> DataFrame:
+    """Append errors to a Parquet table whose ``context`` is a VARIANT, and read the table: a path of it is read alone."""
+    errors.withColumn("context", context).write.mode("append").parquet(path)
+    return errors.sparkSession.read.parquet(path)
 
 
 def eligible(status: Column, attempts: Column, max_retries: int, resume: bool = True) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import events
 from ..functions import url as urls
 from ..operators import ordering, quality, robots, runs, state
+from ..sources import shared
 from . import derive
 from .registry import query
 
@@ -30,8 +32,36 @@ def error_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error' ORDER BY event_id")
 def json_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of every error's context, read from the stored table, where it is a VARIANT."""
     rows = derive.read(spark, sf_dir, "events").filter("event_type = 'error'")
-    return rows.select("event_id", "user_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k")).orderBy("event_id")
+    kept = state.stored_errors(rows.select("event_id", "user_id", "props"), shared.folder(spark, "errors"), F.try_parse_json("props"))
+    return kept.select("event_id", "user_id", F.try_variant_get("context", "$.k", "string").alias("k")).orderBy("event_id")
+
+
+_LEVEL = "CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END"
+
+
+@query(
+    f"""SELECT event_id, '{{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00","run":"r1","level":"' || {_LEVEL}
+               || '","event":"' || event_type || '","facts":{{"event_id":' || event_id || ',"k":"' || json_extract_string(props, '$.k') || '","user":"u' || user_id || '"}}}}' AS line FROM events"""
+)
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a line of JSON, with its own facts."""
+    found = _run_events(spark, sf_dir)
+    return found.select(F.variant_get("facts", "$.event_id", "long").alias("event_id"), events.line(found).alias("line"))
+
+
+@query(f"SELECT level, event_type AS event, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT *, {_LEVEL} AS level FROM events) GROUP BY 1, 2")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a run by kind, from the lines that were written."""
+    path = shared.folder(spark, "log")
+    events.append(_run_events(spark, sf_dir), path)
+    return events.read(spark, path).groupBy("level", "event").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.variant_get("facts", "$.user", "string")).alias("users"))
+
+
+def _run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derive.read(spark, sf_dir, "events")
+    return events.of(rows, "r1", F.col("event_type"), F.col("ts"), F.expr(_LEVEL), event_id=F.col("event_id"), k=F.try_variant_get(F.try_parse_json("props"), "$.k", "string"), user=F.expr("'u' || user_id"))
 
 
 @query(derive.sql(f"SELECT p.product_url, s.status, CASE WHEN s.status IS NULL THEN true WHEN s.status IN ('completed', 'skipped') THEN false WHEN s.status = 'failed' THEN s.attempt_count <= {RETRIES} ELSE true END AS eligible FROM products p LEFT JOIN crawl_state s ON s.url = p.product_url", "products", "crawl_state"))
@@ -52,9 +82,9 @@ def enqueue_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.enqueue(known, derive.products(spark, sf_dir).select(F.col("product_url").alias("url"))).select("url", "status")
 
 
-@query("SELECT user_id AS cache_key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'view') WHERE r = 1")
+@query("SELECT user_id AS cache_key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derive.read(spark, sf_dir, "events").filter("event_type = 'view'").selectExpr("user_id AS cache_key", "event_id", "value", "ts")
+    rows = derive.read(spark, sf_dir, "events").selectExpr("user_id AS cache_key", "event_id", "value", "ts")
     return ordering.latest(rows, ["cache_key"], "ts", "event_id").drop("ts")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commerce, records, text, url
@@ -104,6 +104,11 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("product_url").agg(F.array_sort(F.collect_list(F.struct("sku", "child"))).alias("v"))
 
 
+def _facts() -> Column:
+    """A list of a product's facts, and a paragraph after it."""
+    return F.expr("""'<ul class="facts list" data-kind="size-' || size || '"><li>' || category || '</li><li class="even">Size ' || size || '</li><li>End</li></ul><p id="after">After</p>'""")
+
+
 def _product_pages(spark: SparkSession, sf_dir: str, flawed: bool = False) -> DataFrame:
     """A page per product with structured data and, for most, an embedded state.
 
@@ -120,7 +125,7 @@ def _product_pages(spark: SparkSession, sf_dir: str, flawed: bool = False) -> Da
     state_ = F.when(F.col("v").isNull(), F.lit('"[]"')).otherwise(literal)
     grouped = F.when(F.col("v").isNull(), F.lit(' class="page-product-grouped"')).otherwise(F.lit(""))
     script = F.when(F.col("seq") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("<script>window.masterData = "), state_, F.lit(";</script>")))
-    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\" data-seq=\""), F.col("seq"), F.lit('">'), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), script, F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\" data-seq=\""), F.col("seq"), F.lit('">'), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), script, _facts(), F.lit("</body></html>"))
     return p.select(F.col("product_url").alias("url"), "seq", "name", html.alias("html"))
 
 
@@ -174,6 +179,14 @@ def embedded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CANDIDATES = (("title", "css_text", "h1.title", None, None), ("number", "css_attribute", "h1[data-seq]", "data-seq", None), ("second", "css_text", "h2", None, None), ("state", "js_variable", "masterData", None, "*.sku"))
 
+#: Selectors of every form, and what each finds on a generated page.
+_SELECTORS = (
+    ("title", "css_text", "h1.title", None, "name"), ("number", "css_attribute", "h1[data-seq]", "data-seq", "CAST(seq AS VARCHAR)"), ("nothing", "css_text", "h2", None, "'nothing'"),
+    ("third", "css_text", "ul.facts > li:nth-child(3)", None, "'End'"), ("odd", "css_text", "ul[class~=list] li:nth-child(odd)", None, "category || ', End'"), ("middle", "css_text", "li:not(:first-child):not(:last-child)", None, "'Size ' || size"),
+    ("next", "css_text", "ul + p", None, "'After'"), ("later", "css_text", "h1 ~ p, h1 ~ h2", None, "'After'"), ("starts", "css_attribute", "[data-kind^=size]", "data-kind", "'size-' || size"),
+    ("ends", "css_attribute", "ul[data-kind$='-7']", "data-kind", "CASE WHEN size = 7 THEN 'size-7' ELSE 'nothing' END"), ("holds", "css_text", "[data-kind*='e-1'] .even", None, "CASE WHEN CAST(size AS VARCHAR) LIKE '1%' THEN 'Size ' || size ELSE 'nothing' END"),
+)
+
 
 @query(
     derive.sql(
@@ -189,18 +202,12 @@ def locator_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locators.validate(spark.createDataFrame(list(_CANDIDATES), locators.CANDIDATES), samples).select("candidate", "tested", "matched", "pass_rate", "validated")
 
 
-@query(
-    derive.sql(
-        f"""SELECT c AS candidate, product_url AS url, CASE c WHEN 'title' THEN name WHEN 'number' THEN CAST(seq AS VARCHAR) ELSE 'nothing' END AS found
-            FROM {_PAGES}, (VALUES ('title'), ('number'), ('second')) t(c)""",
-        "products",
-        "variants",
-    )
-)
+@query(derive.sql(" UNION ALL ".join(f"SELECT '{name}' AS candidate, product_url AS url, {found} AS found FROM products" for name, _, _, _, found in _SELECTORS), "products"))
 def locator_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What candidates find on every page: text and attribute selectors."""
+    """What selectors of every form find on every page."""
     samples = _product_pages(spark, sf_dir).select("url", "html", F.lit("").alias("expected"))
-    return locators.evaluate(spark.createDataFrame(list(_CANDIDATES[:3]), locators.CANDIDATES), samples).select("candidate", "url", "found")
+    candidates = spark.createDataFrame([(*x[:4], None) for x in _SELECTORS], locators.CANDIDATES)
+    return locators.evaluate(candidates, samples).select("candidate", "url", "found")
 
 
 @query(derive.sql("SELECT c.category, s.product_url FROM (SELECT DISTINCT category FROM products) c CROSS JOIN (SELECT product_url FROM products ORDER BY seq LIMIT 8) s", "products"))

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import commerce, html, records, text, url
+from shelfmark.functions import commerce, finder, records, selectors, text, url
 from shelfmark.operators import robots
 
 
@@ -149,13 +149,43 @@ PAGE = '<body class="a b"><div id="x"><p data-k="1">one</p><p>two <b>three</b></
     ],
 )
 def test_locators(locator, found):
-    assert html.locate(PAGE, *locator) == found
+    assert finder.Page(PAGE).find(*locator) == found
+
+
+LIST = '<ul class="a list" lang="en-GB"><li id="i1">1</li>text<li class="x y" data-u="https://s.test/a.pdf">2</li><li>3</li><li><p></p><p>4</p></li></ul><p>5</p><div></div><p title="a (b), c > d">6</p><ul lang="en"><li>7</li></ul>'
+
+
+@pytest.mark.parametrize(
+    ("selector", "found"),
+    [
+        ("li:nth-child(2)", "2"), ("li:nth-child(odd)", "1 3 7"), ("li:nth-child(even)", "2 4"), ("li:nth-child(2n+3)", "3"), ("li:nth-child(-n+2)", "1 2 7"), ("li:nth-child(n)", "1 2 3 4 7"), ("li:nth-child( 3 )", "3"),
+        ("li:first-child", "1 7"), ("li:last-child", "4 7"), ("li:only-child", "7"), ("p:empty", ""), ("li:not(.x):not(:first-child)", "3 4"), ("li:not(.x, :nth-child(3))", "1 4 7"),
+        ("ul + p", "5"), ("ul ~ p", "5 6"), ("div + p", "6"), ("#i1 + li", "2"), ("#i1 ~ li", "2 3 4"), ("ul>li > p", "4"), ("ul li + li p", "4"),
+        ("[lang|=en] > :last-child", "4 7"), ("ul[class~=list] li.x.y", "2"), ("li[data-u^='https:']", "2"), ("li[data-u$=\".pdf\"]", "2"), ("li[data-u*='.test/']", "2"), ("[title='a (b), c > d']", "6"), ("[title=\"a (b), c > d\"], #i1", "1 6"),
+        ("li[data-u^='']", ""), ("* > li", "1 2 3 4 7"), ("LI#i1", "1"), ("ul  >  li:nth-child(1)", "1 7"), ("p:not(ul ~ p)", "4"),
+        ("li:nth-child(x)", None), ("li:not(", None), ("li..x", None), ("> li", None), ("li >", None), ("li,,p", None), ("li:hover", None), ("p#", None), (".x*", None), ("", None), ("li:not()", None),
+    ],
+)
+def test_selectors(selector, found):
+    page = finder.Page(LIST)
+    if found is None:
+        with pytest.raises(selectors.SelectorError):
+            page.find("css_text", selector)
+    else:
+        assert page.find("css_text", selector) == found.split()
+
+
+def test_variables_are_read_once_and_unwrapped_once():
+    page = finder.Page('window.a = [1, {"b": "x"}]; window.a = 2; window.c="[\\"y\\"]"; window.d = "plain"; window.e = {bad; window.f = "\\"\\\\\\"z\\\\\\"\\""; window.g = f(); mywindow.h = 1; window.i = null')
+    find = lambda name, path=None: page.find("js_variable", name, None, path)
+    assert (find("a", "1.b"), find("a", "0"), find("a", "7"), find("a", "*"), find("c", "*"), find("d")) == (["x"], ["1"], [], ["1"], ["y"], ["plain"])
+    assert (find("e"), find("f"), find("g"), find("h"), find("i"), find("a", "-1")) == ([], ['"z"'], [], [], [], [])
 
 
 @pytest.mark.parametrize("locator", [("css_text", "p:hover"), ("css_attribute", "p"), ("js_variable", "a b"), ("other", "p"), ("css_text", "> p")])
 def test_bad_locators(locator):
-    with pytest.raises(html.SelectorError):
-        html.locate(PAGE, *locator)
+    with pytest.raises(selectors.SelectorError):
+        finder.Page(PAGE).find(*locator)
 
 
 def test_robots_groups():

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import logging
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,20 +26,31 @@ def test_settings(tmp_path):
             config.load(tmp_path / "c.json")
 
 
-def test_events_are_json_lines(tmp_path):
-    stream = io.StringIO()
-    log = events.logger("shelfmark.test", stream=stream)
-    events.emit(log, "page_read", url="u", n=3)
-    log = events.logger("shelfmark.test", path=tmp_path / "d" / "log.jsonl")
-    try:
-        raise ValueError("bad")
-    except ValueError:
-        log.exception("failed ü")
-    assert len([h for h in log.handlers if isinstance(h.formatter, events.JsonLines)]) == 1
-    one, two = json.loads(stream.getvalue()), json.loads((tmp_path / "d" / "log.jsonl").read_text())
-    assert (one["event"], one["url"], one["n"], one["level"]) == ("page_read", "u", 3, "INFO") and one["timestamp"].endswith("+00:00")
-    assert two["message"] == "failed ü" and "ValueError: bad" in two["exception"]
-    logging.getLogger("shelfmark.test").handlers.clear()
+def test_events_are_written_and_read_as_lines(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("u1", 3, "2024-03-01 10:00:00.25"), ("ü \"q\"", None, "2024-03-01 10:00:01")], "url string, n int, t string")
+    events.append(events.of(rows, "r", "page_read", F.to_timestamp("t"), url=F.col("url"), n=F.col("n"), more=F.struct("n")), path)
+    events.append(events.one(spark, "r", "done", "WARNING", pages=2), path)
+    (tmp_path / "log" / "cut.txt").write_text('{"at":"2024-03-01T10:00:00+00:00","run":"r"\n\n[1]\n', encoding="utf-8")
+    lines = sorted(x for f in (tmp_path / "log").glob("*.txt") for x in f.read_text(encoding="utf-8").splitlines() if '"page_read"' in x)
+    assert json.loads(lines[0]) == {"at": "2024-03-01T10:00:00.250000+00:00", "run": "r", "level": "INFO", "event": "page_read", "facts": {"url": "u1", "n": 3, "more": {"n": 3}}}
+    found = events.read(spark, path)
+    assert [f.dataType.simpleString() for f in found.schema] == ["timestamp", "string", "string", "string", "variant"]
+    got = {(r.event, r.level, r.u, r.n) for r in found.select("event", "level", F.try_variant_get("facts", "$.url", "string").alias("u"), F.try_variant_get("facts", "$.more.n", "int").alias("n")).collect()}
+    assert got == {("page_read", "INFO", "u1", 3), ("page_read", "INFO", 'ü "q"', None), ("done", "WARNING", None, None), ("unreadable", "ERROR", None, None)}
+    assert found.filter("event = 'unreadable'").count() == 2
+
+
+def test_context_is_read_by_path(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"k": "a", "deep": {"x": [1, 2]}}'), (2, "{bad"), (3, None)], "id int, raw string")
+    path = str(tmp_path / "errors")
+    state.stored_errors(rows, path, F.try_parse_json("raw"))
+    kept = state.stored_errors(rows.limit(1), path, F.try_parse_json("raw"))
+    assert kept.schema["context"].dataType.simpleString() == "variant" and kept.count() == 4
+    asked = kept.select("id", F.try_variant_get("context", "$.deep.x[1]", "int").alias("x"))
+    assert sorted((r.id, r.x) for r in asked.collect()) == [(1, 2), (1, 2), (2, None), (3, None)]
+    scanned = asked._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "raw" not in scanned and "context:variant" not in scanned  # the one path of it, not the whole
 
 
 def test_cache_is_replaced_in_one_step(spark, tmp_path):
