@@ -10,14 +10,17 @@ from ..sources import exports
 from . import derive
 from .registry import query
 
-PRODUCT_FIELDS = ["name", "brand", "category_path", "product_url", "description", "image_urls", "price_visibility"]
+# The fields of both reports' completeness.
+PRODUCT_FIELDS = ["name", "brand", "category_path", "description", "specifications", "image_urls", "alternative_product_urls", "price_visibility"]
 VARIANT_FIELDS = ["sku", "item_number", "price", "unit_pack_size", "availability", "price_visibility"]
-DASHBOARD_FIELDS = ["sku", "item_number", "product_code", "price", "currency", "unit_pack_size", "availability"]
+DASHBOARD_FIELDS = ["sku", "item_number", "product_code", "price", "currency", "unit_pack_size", "availability", "image_urls"]
 
 
 def _populated_sql(field: str, unknown_counts: bool) -> str:
-    if field in ("category_path", "image_urls"):
+    if field in ("category_path", "image_urls", "alternative_product_urls"):
         return f"coalesce(len({field}) > 0, false)"
+    if field == "specifications":
+        return "spec_size IS NOT NULL"
     empty = "('', '[]', '{}', 'null')" if unknown_counts else "('', 'unknown')"
     return f"coalesce(trim(CAST({field} AS VARCHAR)) NOT IN {empty}, false)"
 
@@ -76,9 +79,11 @@ def variant_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.completeness(derive.variants(spark, sf_dir), VARIANT_FIELDS)
 
 
-@query(derive.sql(_completeness_sql("variants", DASHBOARD_FIELDS, unknown_counts=True, rounded=False), "variants"))
+@query(derive.sql(f"SELECT 'products' AS entity, * FROM ({_completeness_sql('products', PRODUCT_FIELDS, True, False)}) UNION ALL SELECT 'variants', * FROM ({_completeness_sql('variants', DASHBOARD_FIELDS, True, False)})", "products", "variants"))
 def dashboard_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.completeness(derive.variants(spark, sf_dir), DASHBOARD_FIELDS, unknown_counts=True, decimals=None)
+    """What the dashboard shows of both tables: ``unknown`` counts as a value, shares are not rounded."""
+    part = lambda df, fields, entity: quality.completeness(df, fields, unknown_counts=True, decimals=None).select(F.lit(entity).alias("entity"), "*")
+    return part(derive.products(spark, sf_dir), PRODUCT_FIELDS, "products").unionByName(part(derive.variants(spark, sf_dir), DASHBOARD_FIELDS, "variants"))
 
 
 def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commerce, records, text, url as urls
 from ..operators import ordering, state
-from ..sources import discovery, pages
+from ..sources import discovery, pages, shared
 from . import derive
 from .registry import query
 
@@ -63,7 +63,7 @@ def admissible_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index pages of up to ten hits per category, each page given twice; the index lacks categories from N on."""
-    hit = F.expr(f"struct(place, struct(CAST(seq AS STRING) AS objectID, CASE WHEN seq % 3 = 0 THEN concat('https://else.test/', seq) WHEN seq % 3 = 1 THEN concat(product_url, '/?utm_source=index') END AS family_url, concat('HTTPS://{HOST}//product/', seq, '#x') AS url) AS hit)")
+    hit = F.expr(f"struct(place, struct(CAST(seq AS STRING) AS objectID, CASE WHEN seq % 3 = 0 THEN concat('https://else.test/', seq) WHEN seq % 3 = 1 THEN concat(product_url, '/?utm_source=index') END AS family_url, concat('HTTPS://{HOST}//product/', seq, '#x') AS url, CAST(size % 4 <> 0 AS INT) AS visibility_catalog, CASE WHEN size > 5 THEN array('all', 'size:large enough') ELSE array('all') END AS facets) AS hit)")
     rows = derive.products(spark, sf_dir).filter("category < 'N'").withColumn("place", F.expr("row_number() OVER (PARTITION BY category ORDER BY seq) - 1"))
     grouped = rows.withColumn("page", F.expr("CAST(place DIV 10 AS INT)")).groupBy("category", "page").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     once = grouped.select("category", "page", F.transform("hits", lambda h: h["hit"]).alias("hits"))
@@ -88,6 +88,14 @@ def discovery_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.from_index(_hits(spark, sf_dir), HOST)
 
 
+@query(derive.sql("SELECT category, product_url AS url, 'search_index' AS method, CAST((r // 10) * 1000000 + r % 10 AS BIGINT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY r) AS n FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) - 1 AS r FROM products) WHERE category < 'N' AND r < 40 AND size % 4 <> 0 AND size > 5) WHERE n <= 25", "products"))
+def discovery_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that stops at the index's last page (the fourth) and at 25 urls a category, of visible hits of one facet."""
+    hits = _hits(spark, sf_dir).withColumn("nb_pages", F.lit(4))
+    sized = lambda hit: (hit["visibility_catalog"] == 1) & F.array_contains(hit["facets"], "size:large enough")
+    return discovery.from_index(hits, HOST, limit=25, max_pages=50, wanted=sized)
+
+
 @query(derive.sql(_LISTED_SQL, "products"))
 def discovery_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.from_listings(_listings(spark, sf_dir), HOST)
@@ -95,8 +103,10 @@ def discovery_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(derive.sql(f"{_INDEX_SQL} UNION ALL SELECT * FROM ({_LISTED_SQL}) WHERE category >= 'N'", "products"))
 def discovery_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index's urls, and the listings' for categories that it lacks."""
-    return discovery.discover(discovery.from_index(_hits(spark, sf_dir), HOST), discovery.from_listings(_listings(spark, sf_dir), HOST))
+    """The index's urls, and the listings' for categories that it lacks; the index side is worked out once and written."""
+    path = shared.folder(spark, "index")
+    discovery.from_index(_hits(spark, sf_dir), HOST).write.parquet(path)
+    return discovery.discover(spark.read.parquet(path), discovery.from_listings(_listings(spark, sf_dir), HOST))
 
 
 @query(

@@ -2,53 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import batches
 from ..functions import url as urls
-from ..operators import ordering
+from ..operators import ordering, structured
 
 FOUND = "category string, url string, method string, position long"
 
 
-def from_index(hits: DataFrame, site: str, allowed: Column | None = None, limit: int | None = None) -> DataFrame:
-    """hits (category, page, hits array<struct<objectID, family_url, url>>) to first-seen admissible urls."""
+def read_pages(hits: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """The index pages that are asked for: up to the first that says it is the last (``nb_pages``), and to ``max_pages``."""
+    if "nb_pages" in hits.columns:
+        at_end = F.col("page") + 1 >= F.greatest(F.lit(1), F.coalesce("nb_pages", F.lit(1)))
+        last = hits.groupBy(F.col("category").alias("_category")).agg(F.min(F.when(at_end, F.col("page"))).alias("_last"))
+        hits = hits.join(last, F.col("category") == F.col("_category")).filter(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_category", "_last")
+    return hits if max_pages is None else hits.filter(F.col("page") < max_pages)
+
+
+def from_index(hits: DataFrame, site: str, allowed: Column | None = None, limit: int | None = None, max_pages: int | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """hits (category, page, hits array<struct<objectID, family_url, url, ...>>) to first-seen admissible urls.
+
+    wanted: which hits the query is for (its facets, and that they are visible).  limit: urls a category at most.
+    """
     ok = allowed if allowed is not None else F.lit(True)
-    rows = hits.select("category", "page", F.posexplode("hits").alias("at", "hit"))
+    rows = read_pages(hits, max_pages).select("category", "page", F.posexplode("hits").alias("at", "hit"))
+    if wanted is not None:
+        rows = rows.filter(wanted(F.col("hit")))
     valid = lambda c: F.when(urls.admissible_product(c, site, ok), c)
     rows = rows.withColumn("family", urls.normalize_url(F.col("hit.family_url"))).withColumn("own", urls.normalize_url(F.col("hit.url")))
     rows = rows.withColumn("url", F.coalesce(valid(F.col("family")), valid(F.col("own")))).filter("url IS NOT NULL")
     rows = rows.withColumn("position", F.col("page").cast("long") * 1_000_000 + F.col("at"))
-    first = ordering.first_seen(rows.select("category", "url", "position"), ["category", "url"], [F.col("position")])
+    first = rows.groupBy("category", "url").agg(F.min("position").alias("position"))
     if limit is not None:
-        first = ordering.first_seen(first, ["category"], [F.col("position")]) if limit == 1 else first.withColumn("_r", F.expr("row_number() OVER (PARTITION BY category ORDER BY position)")).filter(F.col("_r") <= limit).drop("_r")
+        first = first.withColumn("_r", F.expr("row_number() OVER (PARTITION BY category ORDER BY position)")).filter(F.col("_r") <= limit).drop("_r")
     return first.select("category", "url", F.lit("search_index").alias("method"), "position")
 
 
 def from_listings(pages: DataFrame, site: str) -> DataFrame:
-    """pages (category, url, html): product urls of ItemList structured data."""
-    from ..operators import extraction
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches.by_size(frames):
-            rows = []
-            for r in frame.itertuples():
-                nodes = [n for v in extraction._documents(r.html or "")[0] for n in extraction._nodes(v) if "ItemList" in extraction._types(n)]
-                links = []
-                for node in nodes:
-                    for e in node.get("itemListElement") or []:
-                        item = e.get("item") if isinstance(e, dict) else None
-                        raw = (e.get("url") or (item.get("url") if isinstance(item, dict) else item)) if isinstance(e, dict) else e
-                        if isinstance(raw, str) and (found := urls.canonical_url(raw, r.url)) and found not in links:
-                            links.append(found)
-                rows += [(r.category, x, "json_ld_item_list", i) for i, x in enumerate(links)]
-            yield pd.DataFrame(rows, columns=["category", "url", "method", "position"])
-
-    found = pages.select("category", "url", "html").mapInPandas(run, FOUND)
+    """pages (category, url, html): product urls of ItemList structured data, each at its first place on the page."""
+    lists = structured.nodes(pages.select("url", "html")).filter(F.array_contains("types", "ItemList"))
+    entries = lists.select("url", "at", F.posexplode(F.try_variant_get(F.try_parse_json("json"), "$.itemListElement", "array<variant>")).alias("place", "entry"))
+    part = lambda path: structured.string_of(F.try_variant_get("entry", path, "variant"))
+    raw = F.coalesce(F.nullif(part("$.url"), F.lit("")), part("$.item"), part("$.item.url"), structured.string_of(F.col("entry")))
+    links = entries.select("url", "at", "place", urls.resolve_url(raw, F.col("url")).alias("link")).filter("link IS NOT NULL")
+    first = links.groupBy("url", "link").agg(F.min(F.struct("at", "place")).alias("first"))
+    numbered = first.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("first", "link"))).alias("all")).select("url", F.posexplode("all").alias("position", "found"))
+    found = pages.select("category", "url").distinct().join(numbered, "url").select("category", F.col("found.link").alias("url"), F.lit("json_ld_item_list").alias("method"), F.col("position").cast("long").alias("position"))
     return found.filter(urls.admissible_product(F.col("url"), site, F.lit(True)))
 
 
