@@ -73,14 +73,19 @@ def cache_key(method: Column, url: Column, headers: Column, body: Column) -> Col
     return F.sha2(F.to_json(F.struct(F.upper(method).alias("method"), url.alias("url"), named.alias("headers"), plain.alias("body")), {"ignoreNullFields": "false"}), 256)
 
 
-def option_agreement(a: Column, b: Column) -> Column:
-    """Share of the keys of two maps with equal values as comparison texts; 1 where there is no key."""
+def map_agreement(a: Column, b: Column) -> Column:
+    """Share of the keys of two maps with equal values; 1 where there is no key."""
     none = F.create_map().cast("map<string,string>")
-    same = lambda x, y: comparison_text(x, entities=False).eqNullSafe(comparison_text(y, entities=False))
-    zipped = F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: same(x, y))
+    zipped = F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: x.eqNullSafe(y))
     return let(F.map_values(zipped), lambda same: F.when(F.size(same) == 0, 1.0).otherwise(F.size(F.filter(same, lambda x: x)) / F.size(same)))
 
 
+def option_agreement(a: Column, b: Column) -> Column:
+    """As map_agreement, of values as comparison texts."""
+    fold = lambda m: F.transform_values(m, lambda _, v: comparison_text(v, entities=False))
+    return map_agreement(fold(a), fold(b))
+
+
 def utc_text(col: Column) -> Column:
     """A timestamp as ISO 8601 text in UTC, with microseconds where it has some; one without a zone is in the session's."""
     col = col.cast("timestamp")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import html
-import json
 from collections.abc import Callable
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -74,18 +73,26 @@ def has_markup(col: Column) -> Column:
     return F.coalesce(F.rlike(col, F.lit(_TAG)), F.lit(False))
 
 
+#: Stands for the dotless i while a text is in capitals: no character.
+_NO_CHARACTER = "\ufffe"
+
+
 @lru_cache(1)
-def _folds() -> dict[str, str]:
-    """Lower-case characters that case folding changes further, by Python's own rule."""
-    return {c: f for c in map(chr, range(0x110000)) if c.lower() == c and (f := c.casefold()) != c}
+def _folds() -> tuple[str, str]:
+    """Where folding isn't the small letters of the capitals of the small letters: what those give, and what folding gives."""
+    small = {c.lower().upper().lower(): c.casefold() for c in map(chr, range(0x110000)) if c != "ı" and c.lower().upper().lower() != c.casefold()}
+    return "ς" + "".join(small), "σ" + "".join(small.values())
 
 
 def casefold(col: Column) -> Column:
-    """Full case folding in the JVM; most texts are done once they are lower-case."""
-    table = F.from_json(F.lit(json.dumps(_folds())), "map<string,string>")  # one literal, folded to a map
-    folded = lambda low: F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    # A text of as many bytes as characters is ASCII and has nothing more to fold.
-    return let(F.lower(col), lambda low: F.when(F.octet_length(low) == F.char_length(low), low).when(F.rlike(low, F.lit("[" + "".join(_folds()) + "]")), folded(low)).otherwise(low))
+    """Full case folding in the JVM: small letters, of capitals, of small letters; a few letters besides.
+
+    A text of as many bytes as characters is ASCII and has nothing more to fold than its
+    capitals.  Letters that only the JVM's Unicode version knows fold as it says.
+    """
+    capitals = lambda low: F.translate(F.upper(F.translate(low, "ı", _NO_CHARACTER)), _NO_CHARACTER, "ı")
+    full = lambda low: F.translate(F.lower(capitals(low)), *_folds())
+    return let(F.lower(col), lambda low: F.when(F.octet_length(low) == F.char_length(low), low).otherwise(full(low)))
 
 
 def comparison_text(col: Column, entities: bool = True) -> Column:
@@ -94,7 +101,12 @@ def comparison_text(col: Column, entities: bool = True) -> Column:
 
 
 def comparison_label(col: Column, entities: bool = True) -> Column:
-    return let(F.regexp_replace(comparison_text(col, entities), r"[^\p{L}\p{N}]", ""), lambda x: F.nullif(x, F.lit("")))
+    return label_of(comparison_text(col, entities))
+
+
+def label_of(folded: Column) -> Column:
+    """Letters and digits of a comparison text."""
+    return let(F.regexp_replace(folded, r"[^\p{L}\p{N}]", ""), lambda x: F.nullif(x, F.lit("")))
 
 
 def availability_label(col: Column) -> Column:

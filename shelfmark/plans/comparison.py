@@ -2,66 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commerce, records, text
 from ..operators import agreement
+from ..sources import shared
 from . import derive
 from .registry import query
 
-_PRODUCT = ["name", "brand", "product_url", "price_visibility", "category_path", "description", "specifications", "image_urls", "alternative_product_urls"]
 _VARIANT = ["sku", "item_number", "product_code", "currency", "unit_pack_size", "availability", "price_visibility", "status_option", "price", "image_urls"]
 
 
-def _texts(col: Column) -> Column:
-    """Comparison texts of an array; the tables have no entities."""
-    return F.transform(col, lambda x: text.comparison_text(x, entities=False))
+def _folded(df: DataFrame, keys: list[str], texts: list[str], lists: list[str], maps: list[str] = (), others: list[str] = ()) -> DataFrame:
+    """keys, others, and the named columns as comparison texts (the tables have no entities).
 
+    Folding stands in the plan once for all texts and once for all lists of a side,
+    before anything is compared; a map's values are folded as a list of them.
+    """
+    fold = lambda x: text.comparison_text(x, entities=False)
+    lists_of = F.array(*[F.col(c) for c in lists], *[F.map_values(c) for c in maps])
+    rows = df.select(*keys, *others, *maps, F.transform(F.array(*texts), fold).alias("_texts"), F.transform(lists_of, lambda xs: F.transform(xs, fold)).alias("_lists"))
+    back = [F.get("_lists", len(lists) + i) for i in range(len(maps))]
+    return rows.select(
+        *keys, *others, *[F.get("_texts", i).alias(c) for i, c in enumerate(texts)], *[F.get("_lists", i).alias(c) for i, c in enumerate(lists)],
+        *[F.map_from_arrays(F.map_keys(c), v).alias(c) for c, v in zip(maps, back, strict=True)],
+    )
 
-def _variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides' variants of products that the second extraction has."""
-    mine = derive.last_variants(spark, sf_dir)
+
+_VARIANT_TEXTS = ["sku", "item_number", "product_code", "currency", "unit_pack_size", "availability", "price_visibility", "status_option"]
+
+
+def _both_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Both sides' variants of products that the second extraction has; the second is made from the first, which is written once."""
+    path = shared.folder(spark, "last-variants")
+    derive.last_variants(spark, sf_dir).select("product_url", "pos", "variant_key", *_VARIANT, "quantity").write.parquet(path)
+    mine = spark.read.parquet(path)
     seen = derive.shadow_products(spark, sf_dir).select("product_url")
-    sides = [side.select("product_url", "variant_key", *_VARIANT).join(seen, "product_url", "left_semi") for side in (mine, derive.shadow_of(mine))]
+    return [side.select("product_url", "variant_key", *_VARIANT).join(seen, "product_url", "left_semi") for side in (mine, derive.shadow_of(mine))]
+
+
+def _variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = [_folded(side, ["product_url", "variant_key"], _VARIANT_TEXTS, ["image_urls"], others=["price"]) for side in _both_sides(spark, sf_dir)]
     return agreement.variant_pairs(*sides, ["product_url", "variant_key"])
 
 
 def _variant_scores(pairs: DataFrame) -> DataFrame:
     """One row per product: the mean of every variant field over the union of both sides' keys, and the sets of identifiers."""
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    plain = lambda c: text.comparison_text(F.col(c), entities=False)
-    label = lambda c: text.comparison_label(F.col(c), entities=False)
-    option = lambda side: F.create_map(F.lit("Status"), F.col(f"{side}.status_option"))
     money = lambda c: F.col(c).cast("decimal(38,6)")
-    equal = lambda f, make=plain: F.avg(agreement.exact_match(make(f"a.{f}"), make(f"b.{f}"), both))
+    equal = lambda f, make=F.col: F.avg(agreement.exact_match(make(f"a.{f}"), make(f"b.{f}"), both))
     where = lambda score: F.avg(F.when(both, score).otherwise(0.0))
-    sets = [F.collect_set(plain(f"{side}.{f}")).alias(f"{f}_{side}") for f in ("sku", "item_number", "product_code") for side in "ab"]
+    sets = [F.collect_set(f"{side}.{f}").alias(f"{f}_{side}") for f in ("sku", "item_number", "product_code") for side in "ab"]
     return pairs.groupBy("product_url").agg(
         F.count(F.lit(1)).alias("variants"), *sets,
-        equal("currency").alias("currency"), equal("unit_pack_size").alias("unit_pack_size"), equal("availability", label).alias("availability"), equal("price_visibility").alias("price_visibility"),
-        where(records.option_agreement(option("a"), option("b"))).alias("option_values"),
+        equal("currency").alias("currency"), equal("unit_pack_size").alias("unit_pack_size"), equal("availability", lambda c: text.label_of(F.col(c))).alias("availability"), equal("price_visibility").alias("price_visibility"),
+        equal("status_option").alias("option_values"),  # the one option of a variant
         where(commerce.price_agreement(money("a.price"), money("b.price"))).alias("price"),
-        where(text.jaccard(_texts(F.col("a.image_urls")), _texts(F.col("b.image_urls")))).alias("variant_image_urls"),
+        where(text.jaccard(F.col("a.image_urls"), F.col("b.image_urls"))).alias("variant_image_urls"),
     )
 
 
+_TEXTS, _LISTS = ["name", "brand", "product_url", "price_visibility"], ["category_path", "image_urls", "alternative_product_urls"]
+
+
 def _product_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nineteen comparisons of every product that both extractions have."""
-    pack = lambda df, side: df.select("product_url", F.struct(*_PRODUCT).alias(side))
-    pairs = pack(derive.products(spark, sf_dir), "a").join(pack(derive.shadow_products(spark, sf_dir), "b"), "product_url")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        whole = df.withColumn("key", F.col("product_url"))
+        folded = _folded(whole, ["key"], _TEXTS, _LISTS, ["specifications"], ["description"])
+        return folded.select(F.col("key").alias("product_url"), F.struct(*_TEXTS, *_LISTS, "specifications", "description").alias(name))
+
+    pairs = side(derive.products(spark, sf_dir), "a").join(side(derive.shadow_products(spark, sf_dir), "b"), "product_url")
     rows = pairs.join(_variant_scores(_variant_pairs(spark, sf_dir)).withColumnRenamed("price_visibility", "variant_visibility"), "product_url", "left")
-    plain = lambda c: text.comparison_text(F.col(c), entities=False)
-    equal = lambda f: ("normalized_exact", F.when(plain(f"a.{f}").eqNullSafe(plain(f"b.{f}")), 1.0).otherwise(0.0))
-    sets = lambda f: ("set", text.jaccard(_texts(F.col(f"a.{f}")), _texts(F.col(f"b.{f}"))))
+    equal = lambda f: ("normalized_exact", F.when(F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), 1.0).otherwise(0.0))
+    sets = lambda f: ("set", text.jaccard(F.col(f"a.{f}"), F.col(f"b.{f}")))
     none = F.array().cast("array<string>")
     ids = lambda f: ("set", text.jaccard(F.coalesce(f"{f}_a", none), F.coalesce(f"{f}_b", none)))
     mean = lambda f, method="normalized_exact": (method, F.coalesce(F.col(f), F.lit(1.0)))
     scores = [
         ("name", *equal("name")), ("brand", *equal("brand")), ("product_url", *equal("product_url")), ("price_visibility", *equal("price_visibility")),
-        ("category_path", "normalized_exact", F.when(_texts(F.col("a.category_path")) == _texts(F.col("b.category_path")), 1.0).otherwise(0.0)),
+        ("category_path", "normalized_exact", F.when(F.col("a.category_path") == F.col("b.category_path"), 1.0).otherwise(0.0)),
         ("description", "text_similarity", text.text_similarity(F.col("a.description"), F.col("b.description"))),
-        ("specifications", "structured", records.option_agreement(F.col("a.specifications"), F.col("b.specifications"))),
+        ("specifications", "structured", records.map_agreement(F.col("a.specifications"), F.col("b.specifications"))),
         ("image_urls", *sets("image_urls")), ("alternative_product_urls", *sets("alternative_product_urls")),
         ("sku", *ids("sku")), ("item_number", *ids("item_number")), ("product_code", *ids("product_code")),
         ("currency", *mean("currency")), ("unit_pack_size", *mean("unit_pack_size")), ("availability", *mean("availability")), ("price_visibility", *mean("variant_visibility")),
