@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 from collections.abc import Callable
 from functools import lru_cache
@@ -120,17 +119,6 @@ def availability_words(text: Column) -> Column:
     return squeeze(F.regexp_replace(last, "(?<=[a-z])(?=[A-Z])", " "))
 
 
-@F.pandas_udf(T.DoubleType())
-def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """SequenceMatcher ratio of case-folded texts, in that order; two empty ones are alike."""
-
-    def ratio(a, b) -> float:
-        a, b = (" ".join(html.unescape(x).split()).casefold() if isinstance(x, str) else "" for x in (a, b))
-        return 1.0 if not a and not b else difflib.SequenceMatcher(None, a, b).ratio()
-
-    return pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)])
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements; 1 where both arrays are empty."""
     sizes = F.struct(F.size(F.array_union(a, b)).alias("all"), F.size(F.array_intersect(a, b)).alias("both"))

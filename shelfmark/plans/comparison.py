@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import commerce, records, text
+from ..functions import commerce, records, similarity, text
 from ..operators import agreement
 from ..sources import shared
 from . import derive
@@ -84,7 +84,7 @@ def _product_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = [
         ("name", *equal("name")), ("brand", *equal("brand")), ("product_url", *equal("product_url")), ("price_visibility", *equal("price_visibility")),
         ("category_path", "normalized_exact", F.when(F.col("a.category_path") == F.col("b.category_path"), 1.0).otherwise(0.0)),
-        ("description", "text_similarity", text.text_similarity(F.col("a.description"), F.col("b.description"))),
+        ("description", "text_similarity", similarity.text_similarity(F.col("a.description"), F.col("b.description"))),
         ("specifications", "structured", records.map_agreement(F.col("a.specifications"), F.col("b.specifications"))),
         ("image_urls", *sets("image_urls")), ("alternative_product_urls", *sets("alternative_product_urls")),
         ("sku", *ids("sku")), ("item_number", *ids("item_number")), ("product_code", *ids("product_code")),

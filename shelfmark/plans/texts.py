@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import commerce, records, text, url
+from ..functions import commerce, records, similarity, text, url
 from ..operators import extraction, locators
 from ..sources import exports
 from . import derive
@@ -62,7 +62,32 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of neighbouring documents, with their SequenceMatcher ratio."""
     a = derive.read(spark, sf_dir, "documents").select("doc_id", "text")
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
-    return a.join(b, "doc_id").select("doc_id", text.text_similarity("text", "next_text").alias("similarity"))
+    return a.join(b, "doc_id").select("doc_id", similarity.text_similarity("text", "next_text").alias("similarity"))
+
+
+_OPEN = "CASE WHEN a = b THEN 'equal' WHEN 2.0 * least(length(a), length(b)) / (length(a) + length(b)) < 0.9 THEN 'length' ELSE 'matching' END"
+
+
+@query(
+    derive.sql(
+        f"""SELECT product_url, {_OPEN} AS decided_by, CASE WHEN a = b THEN true WHEN {_OPEN} = 'length' THEN false ELSE 2.0 * length(a) / (length(a) + length(b)) >= 0.9 END AS agreed
+            FROM (SELECT product_url, coalesce(lower(p.description), '') AS a, coalesce(lower(s.description), '') AS b FROM products p JOIN shadow s USING (product_url))""",
+        "shadow",
+    )
+)
+def text_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both extractions' descriptions agree; most are decided without matching."""
+    second = derive.shadow_products(spark, sf_dir).select("product_url", F.col("description").alias("seen"))
+    pairs = derive.products(spark, sf_dir).select("product_url", "description").join(second, "product_url")
+    return similarity.decisions(pairs, "description", "seen").select("product_url", "decided_by", "agreed")
+
+
+@query()
+def text_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether neighbouring documents are alike, over whole texts, and what decided it."""
+    a = derive.read(spark, sf_dir, "documents").select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    return similarity.decisions(a.join(b, "doc_id"), "text", "next_text").select("doc_id", "decided_by", "agreed")
 
 
 _TOKENS = "list_distinct(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' '))"

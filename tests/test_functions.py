@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import difflib
+import html
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import commerce, finder, records, selectors, text, url
+from shelfmark.functions import commerce, finder, records, selectors, similarity, text, url
 from shelfmark.operators import robots
 
 
@@ -113,7 +116,7 @@ def test_utc_text(spark):
 
 def test_similarity_follows_sequence_matcher(spark):
     rows = spark.createDataFrame([("ab" * 150, "ba" * 150), (None, ""), ("Glove", "glove")], "a string, b string")
-    assert [r.s for r in rows.select(text.text_similarity("a", "b").alias("s")).collect()] == [0.0, 1.0, 1.0]
+    assert [r.s for r in rows.select(similarity.text_similarity("a", "b").alias("s")).collect()] == [0.0, 1.0, 1.0]
 
 
 def test_identity(spark):
@@ -200,3 +203,34 @@ def test_robots_decisions(spark):
     pages = spark.createDataFrame([(1, "https://s.test/a/x"), (2, "https://s.test/a/b"), (3, "https://s.test/z.pdf"), (4, "https://s.test/z.pdf?x"), (5, "https://s.test")], "id int, url string")
     found = {r.id: r.decision for r in robots.decide(pages, table, "id").collect()}
     assert found == {1: "DISALLOWED", 2: "ALLOWED", 3: "DISALLOWED", 4: "ALLOWED", 5: "ALLOWED"}
+
+
+def _like(rng, n):
+    base = "".join(rng.choice("aab bcd efé") for _ in range(n))
+    other = list(base)
+    for _ in range(rng.randint(0, n // 3 + 1)):
+        at = rng.randint(0, len(other))
+        other[at : at + rng.randint(0, 3)] = rng.choices("abcxyzq é", k=rng.randint(0, 3))
+    return base, "".join(other)
+
+
+def test_ratio_is_the_standard_library_s():
+    rng = random.Random(5)
+    cases = [_like(rng, rng.choice([0, 1, 3, 20, 150, 199, 200, 201, 400, 1500])) for _ in range(400)]
+    cases += [("ab" * 150, "ba" * 150), ("ab" * 150, "ab" * 150), ("x" * 500, "x" * 400), ("", "a"), ("q" + "ab" * 200, "ab" * 200 + "q")]
+    words = ["the", "quick", "brown", "fox", "jumps", "zebra", "over", "lazy", "dog"]
+    cases += [(" ".join(rng.choices(words, k=n)), " ".join(rng.choices(words, k=n))) for n in (10, 50, 300, 300)]
+    for a, b in cases:
+        assert similarity.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def test_decisions_are_those_of_the_ratio(spark):
+    rng = random.Random(6)
+    pairs = [_like(rng, rng.choice([0, 2, 30, 199, 300])) for _ in range(150)] + [("abc " * 90, "cab " * 90), ("x" * 100, "y" * 100), (None, ""), (None, "a"), ("A &amp; b", "a & B")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    plain = lambda t: " ".join(html.unescape(t or "").split()).casefold()
+    found = {r.i: r for r in similarity.decisions(rows, "a", "b").collect()}
+    for i, (a, b) in enumerate(pairs):
+        a, b = plain(a), plain(b)
+        assert found[i].agreed == ((difflib.SequenceMatcher(None, a, b).ratio() if a or b else 1.0) >= 0.90), (a, b)
+    assert {r.decided_by for r in found.values()} == {"equal", "length", "letters", "matching"}

@@ -20,7 +20,7 @@ def test_equals_statement(spark, name):
 
 def test_queries_without_a_statement():
     """Each of these is held to a plain computation below."""
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"text_similarity", "content_hash"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"text_similarity", "text_agreement", "content_hash"}
 
 
 def test_entry_and_keys(spark):
@@ -43,6 +43,14 @@ def test_similar_texts_equal_difflib(spark):
         assert r.similarity == pytest.approx(difflib.SequenceMatcher(None, texts[r.doc_id], texts[r.doc_id + 1]).ratio())
 
 
+def test_agreement_equals_difflib_and_is_mostly_decided_by_bounds(spark):
+    texts = {r.doc_id: " ".join(html.unescape(r.text).split()).casefold() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = registry.QUERIES["text_agreement"](spark, str(DATA)).collect()
+    for r in found[:60]:
+        assert r.agreed == (difflib.SequenceMatcher(None, texts[r.doc_id], texts[r.doc_id + 1]).ratio() >= 0.90)
+    assert sum(r.decided_by != "matching" for r in found) >= 0.8 * len(found)
+
+
 def test_content_hashes_differ_and_repeat(spark):
     found = {r.product_url: r.content_hash for r in registry.QUERIES["content_hash"](spark, str(DATA)).collect()}
     again = {r.product_url: r.content_hash for r in registry.QUERIES["content_hash"](spark, str(DATA)).collect()}
