@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordering, quality, state
-from ..sources import exports
+from ..sources import exports, shared
+from ..streaming import snapshots
 from . import derive
 from .registry import query
 
@@ -184,6 +185,15 @@ def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.accepted(new, derive.stored_products(spark, sf_dir), "product_url")
 
 
+@query(derive.sql("SELECT product_url, coalesce(n.name, s.name) AS name, coalesce(n.price_visibility, s.price_visibility) AS price_visibility FROM stored s FULL JOIN (SELECT * FROM products p WHERE seq % 4 <> 1 OR NOT EXISTS (SELECT 1 FROM stored s WHERE s.product_url = p.product_url)) n USING (product_url)", "stored"))
+def stored_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after the earlier snapshot and then a new one, some of whose products are incomplete."""
+    store = snapshots.SnapshotStore(spark, shared.folder(spark, "store"), "product_url string, name string, price_visibility string", "product_url", buckets=16)
+    store.apply(derive.stored_products(spark, sf_dir).select("product_url", "name", "price_visibility", F.lit(True).alias("variants_complete")))
+    store.apply(derive.products(spark, sf_dir).select("product_url", "name", "price_visibility", (F.col("seq") % 4 != 1).alias("variants_complete")))
+    return store.read()
+
+
 @query(derive.sql("SELECT product_url, variant_key FROM keyed k WHERE EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url) AND NOT EXISTS (SELECT 1 FROM shadow_variants s WHERE s.product_url = k.product_url AND s.variant_key = k.variant_key)", "shadow_variants"))
 def stale_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = derive.keyed_variants(spark, sf_dir)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import agreement, evidence, extraction, locators, quality, runs, state, validation
 from shelfmark.sources import discovery, exports, pages
-from shelfmark.streaming import crawl
 
 GLOVE = {
     "A-1": {"sku": "A-1", "manufacturer_part_number": "M1", "description": "Small 100/box", "product_price": "18.990000", "price": {"price": "<b>$99.00</b>"}, "stock_availability": "in_stock", "image": "/i/1.jpg", "main_image": "/i/1.jpg"},
@@ -114,13 +113,6 @@ def test_state_machine_matches_a_loop(spark):
         expected[u] = _loop(expected.get(u, ("pending", 0, None, -1)), s, e, i)
     found = state.fold(spark.createDataFrame(events, "url string, seq long, status string, error string"))
     assert {r.url: (r.status, r.attempt_count, r.last_error, r.updated_seq) for r in found.collect()} == expected
-    # Late and repeated events change nothing in the stream's state.
-    late = events + events[:50]
-    random.Random(8).shuffle(late)
-    kept: dict = {}
-    for u, i, s, e in late:
-        kept[u] = crawl._step(kept.get(u, crawl._NEW), s, e, i)
-    assert {u: crawl._shown(x) for u, x in kept.items()} == expected
 
 
 def test_states_keep_what_is_known(spark):
@@ -133,46 +125,6 @@ def test_states_keep_what_is_known(spark):
     assert got == {"a": ("failed", "product", "t1", "h1"), "b": ("completed", "unknown", "t2", None), "c": ("in_progress", "unknown", None, None)}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    kinds = ["pending", "in_progress", "failed", "in_progress", "completed", "in_progress", "skipped"]
-    schema = "url string, seq long, status string, error string"
-    for part in range(2):
-        rows = [(f"u{i % 3}", i, kinds[i % len(kinds)], f"e{i}") for i in range(part * 20, part * 20 + 20)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = crawl.states(source).writeStream.format("memory").queryName("changes").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in crawl.latest(spark.table("changes")).select("url", "status", "attempt_count", "updated_seq").collect()}
-    batch = state.fold(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")))
-    assert got == {tuple(r) for r in batch.select("url", "status", "attempt_count", "updated_seq").collect()}
-
-
-def test_snapshot_store(spark, tmp_path):
-    schema = "product_url string, name string, variants_complete boolean"
-    store = crawl.SnapshotStore(spark, str(tmp_path), schema)
-    store.apply(spark.createDataFrame([("a", "1", True), ("b", "1", False)], schema), "product_url")
-    store.apply(spark.createDataFrame([("a", "2", False), ("b", "2", True), ("c", "1", True)], schema), "product_url")
-    assert {tuple(r)[:2] for r in store.read().collect()} == {("a", "1"), ("b", "2"), ("c", "1")}
-    again = crawl.SnapshotStore(spark, str(tmp_path), schema)  # a restart
-    assert again.read().count() == 3
-    again.apply(spark.createDataFrame([("d", "1", True)], schema), "product_url")
-    assert store.read().count() == 4 and len(store.versions()) == 3
-
-
-def test_replayed_batches_are_stored_once(spark, tmp_path):
-    schema = "product_url string, name string, variants_complete boolean"
-    store = crawl.SnapshotStore(spark, str(tmp_path / "s"), schema)
-    spark.createDataFrame([("a", "1", True), ("b", "1", True)], schema).repartition(2).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        crawl.store_snapshots(stream, store, "product_url", str(tmp_path / "c")).awaitTermination(120)
-    assert store.read().count() == 2
-    done = len(store.versions())
-    tag = store.versions()[-1].split("-")[1]
-    assert not store.apply(store.read(), "product_url", tag, 0) and len(store.versions()) == done
-    assert store.apply(store.read(), "product_url", "another", 0) and len(store.versions()) == done + 1
-
-
 def test_enqueue_keeps_known(spark):
     known = spark.createDataFrame([("a", "failed", 2, "e", 1)], "url string, status string, attempt_count long, last_error string, updated_seq long")
     out = state.enqueue(known, spark.createDataFrame([("a",), ("b",), ("b",)], "url string")).collect()
