@@ -123,12 +123,26 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(product_url, v): each product's children by sku, the first of each, as entries of a map."""
-    child = F.struct("sku", F.col("item_number").alias("manufacturer_part_number"), F.col("price").cast("string").alias("product_price"), F.col("availability").alias("stock_availability"))
+    """(product_url, v): each product's children by sku, the first of each, as entries of a map.
+
+    Prices stand as a number or, for what is out of stock, in an attribute of rendered
+    markup; a pack has a field of its own or stands in the description.
+    """
+    shown = F.col("availability") == "OutOfStock"
+    rendered = F.struct(F.concat(F.lit("<span data-price-amount='"), F.col("price").cast("string"), F.lit("'>from $1</span>")).alias("price"))
+    child = F.struct(
+        "sku", F.col("item_number").alias("manufacturer_part_number"), F.when(~F.coalesce(shown, F.lit(False)), F.col("price").cast("string")).alias("product_price"), F.when(shown & F.col("price").isNotNull(), rendered).alias("price"),
+        F.col("unit_pack_size").alias("pack"), F.when(F.col("unit_pack_size").isNull(), F.lit("Sold with 12 per box &amp; more")).alias("description"), F.col("availability").alias("stock_availability"),
+    )
     first = derive.variants(spark, sf_dir).filter("sku IS NOT NULL").groupBy("product_url", "sku").agg(F.min_by(child, "place").alias("child"))
     return first.groupBy("product_url").agg(F.array_sort(F.collect_list(F.struct("sku", "child"))).alias("v"))
 
 
+#: A third of the pages has an offer, a third a list of one; every second page has breadcrumbs, out of order.
+_OFFERS = """CASE seq % 3 WHEN 0 THEN '{"@type":"Offer","price":"12.50","priceCurrency":"eur","availability":"https://schema.org/InStock"}' WHEN 1 THEN '[{"@type":"AggregateOffer","lowPrice":' || seq || '}]' END"""
+_CRUMBS = """CASE seq % 2 WHEN 0 THEN '<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"position":3,"name":"' || category || '"},{"position":1,"name":"Home"},{"position":2,"item":{"name":"All &amp; sundry","url":"https://shop.test/all"}},{"position":"x","name":"' || upper(name) || '"}]}</script><script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"position":1,"name":"Short"}]}</script>' ELSE '' END"""
+
+
 def _facts() -> Column:
     """A list of a product's facts, and a paragraph after it."""
     return F.expr("""'<ul class="facts list" data-kind="size-' || size || '"><li>' || category || '</li><li class="even">Size ' || size || '</li><li>End</li></ul><p id="after">After</p>'""")
@@ -144,39 +158,47 @@ def _product_pages(spark: SparkSession, sf_dir: str, flawed: bool = False) -> Da
         kind = p.schema["v"].dataType.elementType
         bad = F.from_json(F.lit('{"sku":"~","child":{"sku":"bad sku!"}}'), kind)
         p = p.withColumn("v", F.when((F.col("seq") % 5 == 0) & F.col("v").isNotNull(), F.concat("v", F.array(bad))).otherwise(F.col("v"))).withColumn("name", F.when(F.col("seq") % 6 == 0, F.concat("name", F.lit(" &lt;b"))).otherwise(F.col("name")))
-    node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("product_url").alias("url"), "name", F.struct(F.col("brand").alias("name")).alias("brand"), "description", F.col("image_urls").alias("image")))
+    node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("product_url").alias("url"), "name", F.struct(F.col("brand").alias("name")).alias("brand"), "description", F.col("image_urls").alias("image"), F.try_parse_json(F.expr(_OFFERS)).alias("offers")))
     outer = F.to_json(F.struct(F.to_json(F.map_from_entries("v")).alias("s")))
     literal = F.regexp_extract(outer, r'(?s)^\{"s":(.*)\}$', 1)
     state_ = F.when(F.col("v").isNull(), F.lit('"[]"')).otherwise(literal)
     grouped = F.when(F.col("v").isNull(), F.lit(' class="page-product-grouped"')).otherwise(F.lit(""))
     script = F.when(F.col("seq") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("<script>window.masterData = "), state_, F.lit(";</script>")))
-    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\" data-seq=\""), F.col("seq"), F.lit('">'), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), script, _facts(), F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><body"), grouped, F.lit("><h1 class=\"title\" data-seq=\""), F.col("seq"), F.lit('">'), F.col("name"), F.lit('</h1><script type="application/ld+json">'), node, F.lit("</script>"), F.expr(_CRUMBS), script, _facts(), F.when(F.col("seq") % 10 == 0, F.lit("<div>Please LOGIN to see price</div>")).otherwise(F.lit("")), F.lit("</body></html>"))
     return p.select(F.col("product_url").alias("url"), "seq", "name", html.alias("html"))
 
 
 #: What is on the generated pages: their children, and whether they have a state.
-_PAGES = """(SELECT p.*, coalesce(k, 0) AS k, coalesce(priced, 0) AS priced, total, seq % 9 <> 0 AS has_state FROM products p LEFT JOIN (
-    SELECT product_url, count(*) AS k, count(price) AS priced, sum(price) AS total FROM (SELECT product_url, sku, arg_min(struct_pack(x := price), place).x AS price FROM variants WHERE sku IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (product_url))"""
+_PAGES = """(SELECT p.*, coalesce(k, 0) AS k, coalesce(priced, 0) AS priced, total, coalesce(boxes, 0) AS boxes, coalesce(stocked, 0) AS stocked, seq % 9 <> 0 AS has_state FROM products p LEFT JOIN (
+    SELECT product_url, count(*) AS k, count(price) AS priced, sum(price) AS total, count(*) FILTER (WHERE pack IS NULL) AS boxes, count(*) FILTER (WHERE stock = 'InStock') AS stocked
+    FROM (SELECT product_url, sku, unnest(arg_min(struct_pack(price := price, pack := unit_pack_size, stock := availability), place)) FROM variants WHERE sku IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (product_url))"""
 _METHOD = "CASE WHEN NOT has_state THEN 'json_ld_fallback' WHEN k = 0 THEN 'embedded_state_empty_grouped' ELSE 'embedded_state' END"
 
 
 @query(
     derive.sql(
-        f"""SELECT product_url AS url, name, brand, description, CAST(len(image_urls) AS BIGINT) AS images, CASE WHEN has_state AND priced > 0 THEN 'public' ELSE 'not_present' END AS price_visibility, {_METHOD} AS method, has_state AS complete,
-                   CAST(CASE WHEN has_state THEN k ELSE 1 END AS BIGINT) AS variants, CAST(CASE WHEN has_state THEN priced ELSE 0 END AS BIGINT) AS priced, round(CASE WHEN has_state THEN coalesce(total, 0) ELSE 0 END, 2) AS total,
-                   concat_ws(',', CASE WHEN brand IS NULL THEN 'brand' END, CASE WHEN description IS NULL THEN 'description' END, 'category_path', CASE WHEN len(image_urls) = 0 THEN 'image_urls' END, CASE WHEN NOT has_state THEN 'variants_complete' END) AS missing
+        f"""SELECT product_url AS url, name, brand, description, CAST(len(image_urls) AS BIGINT) AS images, CASE WHEN (has_state AND priced > 0) OR seq % 3 < 2 THEN 'public' WHEN seq % 10 = 0 THEN 'login_required' ELSE 'not_present' END AS price_visibility, {_METHOD} AS method, has_state AS complete,
+                   CAST(CASE WHEN has_state THEN k ELSE 1 END AS BIGINT) AS variants, CAST(CASE WHEN has_state THEN priced ELSE 1 END AS BIGINT) AS priced, round(CASE WHEN has_state THEN coalesce(total, 0) ELSE 12.5 END, 2) AS total,
+                   concat_ws(',', CASE WHEN brand IS NULL THEN 'brand' END, CASE WHEN description IS NULL THEN 'description' END, CASE WHEN seq % 2 <> 0 THEN 'category_path' END, CASE WHEN len(image_urls) = 0 THEN 'image_urls' END, CASE WHEN NOT has_state THEN 'variants_complete' END) AS missing,
+                   CASE WHEN seq % 2 = 0 THEN 'All & sundry > ' || category ELSE '' END AS path, CASE WHEN has_state AND k = 0 THEN '' WHEN seq % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currencies,
+                   CAST(CASE WHEN has_state THEN boxes ELSE 0 END AS BIGINT) AS boxes, CAST(CASE WHEN has_state THEN boxes ELSE 0 END AS BIGINT) AS derived_packs, CAST(CASE WHEN has_state THEN stocked ELSE 1 END AS BIGINT) AS in_stock,
+                   CAST(CASE WHEN has_state AND seq % 10 = 0 THEN k - priced ELSE 0 END AS BIGINT) AS behind_login
             FROM {_PAGES}""",
         "products",
         "variants",
     )
 )
 def product_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products and variants read back from generated pages."""
+    """Products and variants read back from generated pages: breadcrumbs, offers, prices, packs, labels, currencies."""
     rows = extraction.extract(_product_pages(spark, sf_dir).select("url", "html"))
     prices = F.filter(F.transform("variants", lambda v: v["price"].cast("double")), lambda x: x.isNotNull())
+    count = lambda test: F.size(F.filter("variants", test)).cast("long")
     return rows.select(
         "url", "name", "brand", "description", F.size("image_urls").cast("long").alias("images"), "price_visibility", F.col("variants_method").alias("method"), F.col("variants_complete").alias("complete"),
         F.size("variants").cast("long").alias("variants"), F.size(prices).cast("long").alias("priced"), F.round(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x), 2).alias("total"), F.array_join("missing", ",").alias("missing"),
+        F.array_join("category_path", " > ").alias("path"), F.array_join(F.array_sort(F.array_distinct(F.transform("variants", lambda v: v["currency"]))), ",").alias("currencies"),
+        count(lambda v: v["unit_pack_size"] == "12/box").alias("boxes"), count(lambda v: v["provenance"]["unit_pack_size"] == "derived").alias("derived_packs"), count(lambda v: v["availability"] == "In Stock").alias("in_stock"),
+        count(lambda v: v["price_visibility"] == "login_required").alias("behind_login"),
     )
 
 
