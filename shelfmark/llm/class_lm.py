@@ -1,15 +1,17 @@
 """Scores of a Brown class bigram model.
 
-Exchange clustering assigns every word to a class so that the likelihood of the
-class bigrams rises.  With a word's class c,
-the class p before it and u the Good-Turing share of unseen words,
+Exchange clustering assigns every word to a class so that the likelihood of the class
+bigrams rises.  Unknown words are a class of their own.  What follows it, and how often
+it follows a class, is learnt from the words seen once in training, as unknown words are
+like them.  With a word's class c, the class p before it (or the unknown one) and u(p)
+the share of words seen once among what follows p, drawn towards the Good-Turing share,
 
-    P(word | p) = P(c | p) * (1 - u) * count(word) / count(c)    for a known word
-    P(word | p) = P(c | p) * u                                   for an unknown one,
+    P(word | p) = (1 - u(p)) * P(c | p) * count(word) / count(c)    for a known word
+    P(word | p) = u(p)                                              for an unknown one,
 
-which add up to 1 over all known words and one unknown word per class.  Class
-transitions are smoothed towards the class frequencies.  A text starts after an
-end; the end is a token of a class of its own.
+which add up to 1 over all known words and one unknown word.  Class transitions are
+smoothed towards the class frequencies.  A text starts after an end; the end is a token
+of a class of its own, and unknown if there is no training text.
 
 All counts cover every training text and every word.  Units of text send their
 distinct words, packed, to buckets by hash, and get each word's count back in
@@ -50,6 +52,7 @@ PRIOR = 20.0
 UNIT, PER_BUCKET = 8 << 20, 64 << 20
 
 _END = CLASSES  # class of the end
+_UNKNOWN = CLASSES + 1  # class of unknown words
 _UNIT = "unit string, doc_ids array<long>, held binary, bounds binary, words binary, counts binary, tokens binary"
 
 
@@ -311,6 +314,17 @@ class ClassModel:
     transitions: np.ndarray
     sizes: np.ndarray
 
+    def steps(self, seldom: np.ndarray, unseen: float) -> np.ndarray:
+        """log10 P(class | class before) with the unknown class: its row and column from words seen once, ``unseen`` their Good-Turing share."""
+        follows, followed = seldom
+        once = followed[:_UNKNOWN].sum()
+        own = np.append(self.sizes, once)
+        share = (follows + PRIOR * unseen) / (own + PRIOR)  # of what follows each class
+        usual = (self.sizes + 1) / (self.sizes.sum() + len(self.sizes))
+        after = (followed[:_UNKNOWN] + PRIOR * usual) / (once + PRIOR)
+        known = np.vstack([10**self.transitions, after]) * (1 - share)[:, None]
+        return np.log10(np.hstack([known, share[:, None]]))
+
 
 def cluster(rows: DataFrame, buckets: int | None = None) -> ClassModel:
     """Exchange clustering of all words of the units; the best assignment of all passes is kept."""
@@ -385,11 +399,10 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
 
     n, v = tokens + ends, kinds + (ends > 0)
     floor = float(np.log10(n + v + 1))
-    unseen = (singles + 1) / (n + 2)
-    known_log, unknown_log = float(np.log10(1 - unseen)), float(np.log10(unseen))
-    transitions, sizes = model.transitions, np.log10(np.maximum(model.sizes, 1.0))
-    end_base = float(np.log10(ends + 1))
     packed = counts.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("totals"))
+    joined = _with_classes(rows.drop("counts").join(packed.hint("merge"), "unit", "left"), model.kinds).select("doc_ids", "held", "bounds", "words", "tokens", "totals", "kinds")
+    steps = model.steps(_seldom(joined, buckets), (singles + 1) / (n + 2))
+    sizes, end_base = np.log10(np.maximum(model.sizes, 1.0)), float(np.log10(ends + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,18 +414,39 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 owner = np.repeat(np.arange(texts), np.diff(edges))
                 seen = total > 0
                 of = _classes(row)
-                emitted = np.where(seen, np.log10(np.maximum(total, 1.0)) - sizes[of[:-1]] + known_log, unknown_log)
+                emitted = np.where(seen, np.log10(np.maximum(total, 1.0)) - sizes[of[:-1]], 0.0)
+                of = np.where(np.append(seen, ends > 0), of, _UNKNOWN)
                 add = lambda per_word, at=at, owner=owner, texts=texts: np.bincount(owner, weights=per_word[at], minlength=texts)
                 lengths = np.diff(edges) + 1
                 base = add(np.log10(total + 1)) + end_base - lengths * floor
                 c = of[seq]
-                moved = np.add.reduceat(transitions[c[:-1], c[1:]], bounds[:-1])
-                value = moved + add(emitted) + (known_log if ends else unknown_log)
+                value = np.add.reduceat(steps[c[:-1], c[1:]], bounds[:-1]) + add(emitted)
                 n_known = add(seen.astype(float)).astype(np.int64) + (1 if ends else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(held_out), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(texts, n), pa.int64()), pa.array(base), pa.array(value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = _with_classes(rows.drop("counts").join(packed.hint("merge"), "unit", "left"), model.kinds)
-    return joined.select("doc_ids", "held", "bounds", "words", "tokens", "totals", "kinds").mapInArrow(run, _SCORED)
+    return joined.mapInArrow(run, _SCORED)
+
+
+def _seldom(joined: DataFrame, buckets: int) -> np.ndarray:
+    """From training texts: how often a word seen once follows each class, and how often each class follows one; the last of both is a word seen once."""
+    width = _UNKNOWN + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seq, bounds, held = _sequences(row)
+                once = np.append(_totals(row["totals"] or [], np.frombuffer(row["words"], np.uint64), buckets) == 1, False)
+                of, learned = _classes(row), np.repeat(~held, np.diff(bounds))
+                left, right = seq[:-1][learned], seq[1:][learned]
+                follows = np.bincount(of[left][once[right]], minlength=width)
+                followed = np.bincount(of[right][once[left]], minlength=width)
+                follows[_UNKNOWN] = followed[_UNKNOWN] = (once[left] & once[right]).sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * width), pa.int32()), pa.array(np.concatenate([follows, followed]), pa.int64())], names=["k", "n"])
+
+    out = np.zeros(2 * width)
+    for r in joined.mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
+    return out.reshape(2, width)
 
 
 def _totals(parts: list[dict], words: np.ndarray, buckets: int) -> np.ndarray:

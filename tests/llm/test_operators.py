@@ -659,15 +659,53 @@ def test_scores_equal_brute_force(docs, rows, monkeypatch):
     unseen = (sum(n == 1 for n in counts.values()) + 1) / (tokens + 2)
     share = lambda c: (sizes[c] + 1) / (total + width)
     move = lambda p, c: (pairs[p, c] + class_lm.PRIOR * share(c)) / (before[p] + class_lm.PRIOR)
+    once = {w for w, n in counts.items() if n == 1}
+    lines = [[None, *text, None] for text in learned]
+    steps = [(a, b) for line in lines for a, b in zip(line, line[1:], strict=False)]
+    kind = lambda w: end if w is None else of[w]
+    share_of, singles = Counter(kind(a) for a, b in steps if b in once), [b for a, b in steps if a in once]
+    followed = Counter(map(kind, singles))
+    prior = class_lm.PRIOR
+    u = lambda p: (share_of[p] + prior * unseen) / (before[p] + prior) if p != "new" else (sum(b in once for b in singles) + prior * unseen) / (len(singles) + prior)
+    to = lambda p, c: move(p, c) if p != "new" else (followed[c] + prior * share(c)) / (len(singles) + prior)
     by_id = {r[0]: r[1] for r in rows if r[0] is not None and r[0] != 189}
     for r in found:
         if r.doc_id not in by_id:
             continue
         expected, p = 0.0, end
-        for w in [number(x) for x in corpus.words(by_id[r.doc_id])]:
-            expected += math.log10(move(p, of[w])) + (math.log10((1 - unseen) * counts[w] / sizes[of[w]]) if counts[w] else math.log10(unseen))
-            p = of[w]
-        assert r.score == pytest.approx(expected + math.log10(move(p, end)) + math.log10(1 - unseen), rel=1e-6)
+        for w in [*[number(x) for x in corpus.words(by_id[r.doc_id])], None]:
+            known = w is None or counts[w]
+            c = kind(w) if known else "new"
+            expected += math.log10((1 - u(p)) * to(p, c) * (1 if w is None else counts[w] / sizes[c])) if known else math.log10(u(p))
+            p = c
+        assert r.score == pytest.approx(expected, rel=1e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_classes_are_better_than_words_alone(spark, sf):
+    """Held-out perplexity under that of single words with the same share for unknown ones."""
+    texts = {r.doc_id: corpus.words(r.text, lower=True) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(w for i, t in texts.items() if i not in held for w in [*t, None])
+    n = sum(counts.values())
+    unseen = (sum(c == 1 for c in counts.values()) + 1) / (n + 2)
+    single = sum(math.log10((1 - unseen) * counts[w] / n) if counts[w] else math.log10(unseen) for i in held for w in [*texts[i], None])
+    found = class_lm.score(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).filter("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+    tokens = found["sum(n_tokens)"]
+    assert tokens == sum(len(texts[i]) + 1 for i in held)
+    assert 10 ** (-found["sum(score)"] / tokens) < 10 ** (-single / tokens)
+
+
+def test_steps_add_up():
+    """Transitions with the unknown class are a distribution after every class."""
+    rng = np.random.default_rng(1)
+    width = class_lm._UNKNOWN
+    sizes, rows = rng.integers(0, 900, width).astype(float), rng.random((width, width))
+    model = class_lm.ClassModel(None, np.log10(rows / rows.sum(axis=1, keepdims=True)), sizes)
+    seldom = np.floor(rng.random((2, width + 1)) * 5)
+    seldom[0, width] = min(seldom[0, width], seldom[1, :width].sum())
+    steps = 10 ** model.steps(np.minimum(seldom, np.append(sizes, 99)), 0.1)
+    assert np.allclose(steps.sum(axis=1), 1)
 
 
 def test_transitions_add_up(docs):
