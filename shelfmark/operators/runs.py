@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -26,18 +26,35 @@ def counters(outcomes: DataFrame) -> DataFrame:
     cache), variants, attempts, shadow, fallback, repair, known (booleans), started and
     ended (timestamps, null where the url was not reached).
     """
+    return outcomes.agg(*_counts(F.count_distinct("category")))
+
+
+def counted_while_written(outcomes: DataFrame, path: str) -> DataFrame:
+    """Write the outcomes to a new Parquet folder and count them in the same pass; ``counters``' one row.
+
+    The categories are gathered as a set, as an observation takes no distinct count: they are few.
+    """
+    seen = Observation("counters")
+    outcomes.observe(seen, *_counts(F.size(F.collect_set("category")).cast("long"))).write.parquet(path)
+    found = seen.get
+    names = [c for c in found]
+    kinds = ", ".join(f"{c} {'double' if c == 'duration_seconds' else 'long'}" for c in names)
+    return outcomes.sparkSession.createDataFrame([tuple(found[c] for c in names)], kinds)
+
+
+def _counts(categories: Column) -> list[Column]:
     n = lambda c: F.count(F.when(c, 1))
     done = F.col("status") == "completed"
     time = lambda c: F.unix_micros(c.cast("timestamp"))
     seconds = (time(F.max("ended")) - time(F.min("started"))) / 1e6
-    return outcomes.agg(
-        F.count_distinct("category").alias("categories_processed"), F.count(F.lit(1)).alias("urls_discovered"), n(done).alias("products_extracted"),
+    return [
+        categories.alias("categories_processed"), F.count(F.lit(1)).alias("urls_discovered"), n(done).alias("products_extracted"),
         F.coalesce(F.sum(F.when(done, F.col("variants"))), F.lit(0)).alias("variants_extracted"),
         n(F.col("source") == "http").alias("http_fetches"), n(F.col("source") == "browser").alias("browser_fetches"), n(F.col("source") == "cache").alias("cache_hits"),
         F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).alias("retries"), n(F.col("status") == "failed").alias("failures"),
         n(F.col("shadow")).alias("llm_shadow_runs"), n(F.col("fallback")).alias("llm_fallback_runs"), n(F.col("repair")).alias("repair_suggestions"),
         n(done & F.col("known")).alias("duplicates_prevented"), F.round(F.coalesce(seconds, F.lit(0.0)), 3).alias("duration_seconds"),
-    )
+    ]
 
 
 def discovery(found: DataFrame, asked: DataFrame | None = None) -> DataFrame:

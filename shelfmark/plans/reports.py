@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agreement, evidence, locators, runs, state
-from ..sources import exports
+from ..operators import agreement, evidence, extraction, locators, replies, runs, state
+from ..sources import exports, shared
 from . import comparison, derive, texts
 from .registry import query
 
@@ -23,23 +23,46 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    derive.sql(
-        """SELECT count(DISTINCT category) AS categories_processed, count(*) AS urls_discovered, count(*) FILTER (WHERE st = 'completed') AS products_extracted, CAST(coalesce(sum(n) FILTER (WHERE st = 'completed'), 0) AS BIGINT) AS variants_extracted,
-                  count(*) FILTER (WHERE seq % 3 = 0) AS http_fetches, count(*) FILTER (WHERE seq % 3 = 2) AS browser_fetches, count(*) FILTER (WHERE seq % 3 = 1) AS cache_hits,
-                  CAST(sum(greatest(coalesce(attempt_count, 1) - 1, 0)) AS BIGINT) AS retries, count(*) FILTER (WHERE st = 'failed') AS failures, count(*) FILTER (WHERE size <= 5) AS llm_shadow_runs, 0::BIGINT AS llm_fallback_runs,
-                  count(*) FILTER (WHERE size <= 5 AND brand IS NULL) AS repair_suggestions, count(*) FILTER (WHERE st = 'completed' AND size <= 35) AS duplicates_prevented,
-                  round((SELECT epoch_us(max(e.ts)) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') FROM crawl_events e WHERE e.url IN (SELECT product_url FROM products)) / 1000000.0, 3)::DOUBLE AS duration_seconds
-           FROM (SELECT p.*, coalesce(s.status, 'completed') AS st, s.attempt_count, coalesce(v.n, 0) AS n FROM products p LEFT JOIN crawl_state s ON s.url = p.product_url LEFT JOIN (SELECT product_url, count(*) AS n FROM variants GROUP BY 1) v USING (product_url))""",
-        "products",
-        "variants",
-        "crawl_state",
-    )
+_COUNTERS = derive.sql(
+    """SELECT count(DISTINCT category) AS categories_processed, count(*) AS urls_discovered, count(*) FILTER (WHERE st = 'completed') AS products_extracted, CAST(coalesce(sum(n) FILTER (WHERE st = 'completed'), 0) AS BIGINT) AS variants_extracted,
+              count(*) FILTER (WHERE seq % 3 = 0) AS http_fetches, count(*) FILTER (WHERE seq % 3 = 2) AS browser_fetches, count(*) FILTER (WHERE seq % 3 = 1) AS cache_hits,
+              CAST(sum(greatest(coalesce(attempt_count, 1) - 1, 0)) AS BIGINT) AS retries, count(*) FILTER (WHERE st = 'failed') AS failures, count(*) FILTER (WHERE size <= 5) AS llm_shadow_runs, 0::BIGINT AS llm_fallback_runs,
+              count(*) FILTER (WHERE size <= 5 AND brand IS NULL) AS repair_suggestions, count(*) FILTER (WHERE st = 'completed' AND size <= 35) AS duplicates_prevented,
+              round((SELECT epoch_us(max(e.ts)) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') FROM crawl_events e WHERE e.url IN (SELECT product_url FROM products)) / 1000000.0, 3)::DOUBLE AS duration_seconds
+       FROM (SELECT p.*, coalesce(s.status, 'completed') AS st, s.attempt_count, coalesce(v.n, 0) AS n FROM products p LEFT JOIN crawl_state s ON s.url = p.product_url LEFT JOIN (SELECT product_url, count(*) AS n FROM variants GROUP BY 1) v USING (product_url))""",
+    "products",
+    "variants",
+    "crawl_state",
 )
+
+
+@query(_COUNTERS)
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.counters(_outcomes(spark, sf_dir))
 
 
+@query(_COUNTERS)
+def written_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's counters, counted while its outcomes are written."""
+    return runs.counted_while_written(_outcomes(spark, sf_dir), shared.folder(spark, "outcomes"))
+
+
+@query(derive.sql(f"SELECT g.product_url AS url, name, brand, CASE WHEN has_state THEN f.sku END AS sku, CASE WHEN has_state THEN f.item END AS item_number FROM {texts._PAGES} g LEFT JOIN (SELECT product_url, min(sku) AS sku, arg_min(i, sku) FILTER (WHERE i IS NOT NULL) AS item FROM (SELECT product_url, sku, arg_min(struct_pack(x := item_number), place).x AS i FROM variants WHERE sku IS NOT NULL GROUP BY 1, 2) GROUP BY 1) f ON f.product_url = g.product_url", "products", "variants"))
+def known_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-good values of repairable fields: the product's, or the first variant's that has one."""
+    rows = extraction.extract(texts._product_pages(spark, sf_dir).select("url", "html"))
+    return rows.select("url", *[evidence.known_value(f).alias(f) for f in ("name", "brand", "sku", "item_number")])
+
+
+@query(derive.sql(f"SELECT product_url AS url, has_state::INT + (k = 0)::INT + 4 AS lines, has_state AS assigned, '<h1 class=\"title\" data-seq=\"' || seq || '\"> ' || name AS title FROM {texts._PAGES}", "products", "variants"))
+def repair_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repair is shown of every page: window assignments, cut to their limit, and the elements a selector could name."""
+    shown = evidence.with_context(texts._product_pages(spark, sf_dir).select("url", "html"), "repair")
+    lines = F.split("context", "\n")
+    assigned = F.exists(lines, lambda x: F.startswith(x, F.lit("window.masterData = ")) & (F.length(x) <= evidence.ASSIGNMENT_CHARS))
+    return shown.select("url", F.size(lines).alias("lines"), assigned.alias("assigned"), F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("<h1"))), 0).alias("title"))
+
+
 @query(derive.sql("SELECT c.category, CAST(coalesce(n, 0) AS BIGINT) AS discovered, CAST(coalesce(d, 0) AS BIGINT) AS degraded, CASE WHEN c.category = 'PROMO' THEN 'skipped' WHEN coalesce(n, 0) = 0 THEN 'failed' WHEN d > 0 THEN 'degraded' ELSE 'completed' END AS status FROM (SELECT DISTINCT category FROM products) c LEFT JOIN (SELECT category, count(*) AS n, count(*) FILTER (WHERE seq % 2 = 0 AND category > 'M') AS d FROM products WHERE category NOT IN ('LARGE', 'PROMO') GROUP BY 1) x USING (category)", "products"))
 def discovery_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories with nothing found, skipped, found by the fallback, and found."""
@@ -57,6 +80,35 @@ def evidence_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.results(sampled, answers)
 
 
+_REPLY = """CASE seq % 7
+    WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```'
+    WHEN 1 THEN substr(body, 1, length(body) - 20)
+    WHEN 2 THEN replace(body, '"name":"', '"name":7,"note":"')
+    WHEN 3 THEN replace(body, '"price":12.5', '"price":[12.5],"weight":1')
+    WHEN 4 THEN 'I can not read this page.'
+    ELSE body END"""
+_BODY = """'{"product":{"name":"' || name || '","product_url":"' || product_url || '","brand":' || coalesce('"' || brand || '"', 'null') || ',"category_path":["a","b"],"image_urls":[],"price_visibility":"public"},"variants":[{"sku":"S' || seq || '","price":12.5,"option_values":{"Size":"L"}},{"sku":"","price":"3.10","currency":"EUR"}],"variants_complete":true}'"""
+
+
+@query(
+    derive.sql(
+        """SELECT product_url AS url, CASE WHEN seq % 7 IN (0, 5, 6) THEN 'completed' ELSE 'failed' END AS status,
+                  CASE seq % 7 WHEN 1 THEN 'no JSON' WHEN 2 THEN 'product.name is no text; product.note is not a field' WHEN 3 THEN 'variants[0].price is no amount; variants[0].weight is not a field' WHEN 4 THEN 'no JSON' END AS reason,
+                  CASE WHEN seq % 7 IN (0, 5, 6) THEN name END AS name, CASE WHEN seq % 7 IN (0, 5, 6) THEN CASE WHEN brand IS NULL THEN 'category_path,name,price_visibility,product_url' ELSE 'brand,category_path,name,price_visibility,product_url' END END AS stamped,
+                  CASE WHEN seq % 7 IN (0, 5, 6) THEN 'option_values,price,sku|currency,price' END AS variants_stamped, CASE WHEN seq % 7 IN (0, 5, 6) THEN '12.5,3.10' END AS prices
+           FROM shadow""",
+        "shadow",
+    )
+)
+def shadow_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a second extractor as records: fenced, cut, of wrong types, with fields that are none, and no JSON at all."""
+    rows = derive.shadow_products(spark, sf_dir).selectExpr("product_url AS url", "seq", f"{_BODY} AS body").selectExpr("url", f"{_REPLY} AS reply")
+    found = replies.records(rows)
+    names = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ",")
+    stamped = F.array_join(F.transform("variants", lambda v: names(v["field_provenance"])), "|")
+    return found.select("url", "status", "reason", "product.name", names("product.field_provenance").alias("stamped"), stamped.alias("variants_stamped"), F.array_join(F.transform("variants", lambda v: v["price"]), ",").alias("prices"))
+
+
 @query(derive.sql(f"SELECT product_url AS url, true AS has_data, has_state AND k > 0 AND items > 0 AS has_state, false AS truncated FROM (SELECT g.*, items FROM {texts._PAGES} g LEFT JOIN (SELECT product_url, count(x) AS items FROM (SELECT product_url, sku, arg_min(struct_pack(x := item_number), place).x AS x FROM variants WHERE sku IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (product_url))", "products", "variants"))
 def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second extractor is shown of every page."""

@@ -119,9 +119,14 @@ def discovery_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eligible urls, category by category in turn."""
+    return crawl_queue(spark, sf_dir, 2, True, None)
+
+
+def crawl_queue(spark: SparkSession, sf_dir: str, retries: int, resume: bool, limit: int | None) -> DataFrame:
+    """The urls of a run, in turn."""
     found = derive.products(spark, sf_dir).select("category", F.col("product_url").alias("url"), F.lit("search_index").alias("method"), F.col("seq").alias("position"))
     known = state.fold(derive.crawl_events(spark, sf_dir))
-    return discovery.plan(found, known, 2, True, None).select("category", "url", "turn")
+    return discovery.plan(found, known, retries, resume, limit).select("category", "url", "turn")
 
 
 @query("SELECT p_partkey, p_name || ' < 5' AS clean, 'a <' || p_size || '> b' AS plain, p_size % 2 = 0 AS marked FROM part")
