@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import commerce, records, text, url as urls
 from ..operators import ordering, state
-from ..sources import discovery, pages, shared
+from ..sources import cache_files, discovery, pages, shared
 from . import derive
 from .registry import query
 
@@ -37,6 +37,17 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("cache_key", "cache_state", "body")
 
 
+@query("SELECT url, 200 + page_id % 2 AS status_code, sha256(html) AS content_hash, length(html) AS characters FROM pages WHERE page_id % 7 <> 3")
+def cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a good status, stored as files and read back through the page cache format."""
+    path = shared.folder(spark, "pages")
+    rows = derive.read(spark, sf_dir, "pages").selectExpr("sha2(CAST(page_id AS STRING), 256) AS cache_key", "url", "CAST(CASE WHEN page_id % 7 = 3 THEN 500 ELSE 200 + page_id % 2 END AS INT) AS status_code", "'text/html' AS content_type", f"timestamp'{NOW}' AS fetched_at", "html AS body")
+    cache_files.register(spark)
+    cache_files.store(rows, path)
+    found = spark.read.format("page_cache").load(path).filter("error IS NULL")
+    return found.select("url", "status_code", "content_hash", F.length("body").alias("characters"))
+
+
 @query("SELECT page_id, sha256('{\"method\":\"' || CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END || '\",\"url\":\"' || url || '\",\"headers\":[{\"name\":\"accept\",\"value\":\"html\"},{\"name\":\"x-page\",\"value\":\"' || page_id || '\"}],\"body\":\"' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '{\\\"a\\\":1,\\\"b\\\":2}' END || '\"}') AS cache_key FROM pages")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of requests: header names in any case and order, JSON bodies in any order."""
