@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, class_lm, conversation_repair, exact_dedup, fingerprints, langid, mixing, near_dedup, sharding, substring_dedup, suffix_dedup, url_filter, whitening
+from . import bpe, class_lm, conversation_repair, exact_dedup, fingerprints, langid, mixing, near_dedup, repair_sql, sharding, substring_dedup, suffix_dedup, url_filter, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_fingerprints, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_url_filter, op8_mixing, op9_langid, op10_class_lm, op11_suffix_dedup, op12_conversation_repair, op13_whitening)}
 
 ORACLES = {
+    "op12_conversation_repair": repair_sql.STATEMENT,
     "op1_near_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
