@@ -226,7 +226,10 @@ class Encoder:
         for i, word in enumerate(text.split(" ")):
             known = stretches.get(word)
             if known is None or not i:
-                known = self._stretch(f" {word}" if i else word)
+                if i and word.isascii() and word.isalpha():  # letters after a space are one piece
+                    known = self.encode_piece(f" {word}".encode())
+                else:
+                    known = self._stretch(f" {word}" if i else word)
                 if i:
                     self._remember(stretches, word, known)
             out += known
