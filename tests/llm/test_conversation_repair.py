@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from shelfmark.llm import conversation_repair as cr
@@ -143,3 +144,13 @@ def test_small_cases(spark, roles):
     rows = [(1, i, r, f"{i}.") for i, r in enumerate(roles)]
     df = spark.createDataFrame([(*r, 0, "", "") for r in rows], SCHEMA)
     check(cr.repair(df).collect(), {1: [r[1:] for r in rows]})
+
+
+def test_statement_equals_search():
+    """The SQL form, over the same awkward rows."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", made())
+    want = plain_damage(made())
+    found = con.sql(queries.ORACLES["op12_conversation_repair"]).fetchall()
+    assert len(found) == len(want) and all(tuple(row[1:]) == plain_repair(want[row[0]]) for row in found)
