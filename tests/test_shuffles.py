@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from shelfmark.operators import agreement
+from shelfmark.operators import agreement, extraction
 from shelfmark.plans import registry
 
 from .compare import DATA
@@ -29,3 +29,14 @@ def test_paired_rows_are_a_full_outer_join(spark):
     joined = agreement.variant_pairs(*sides, ["u", "k"]).selectExpr("u", "k", "a.n AS a", "b.n AS b")
     paired = agreement.paired(rows, ["u", "k"], "side", "n").select("u", "k", "a", "b")
     assert sorted(map(repr, joined.collect())) == sorted(map(repr, paired.collect()))
+
+
+def test_children_of_pages_are_moved_once_and_narrow(spark):
+    found = exchanges(registry.QUERIES["embedded_state"](spark, str(DATA)))
+    assert len(found) == 1 and "REPARTITION_BY_COL" in found[0]
+
+
+def test_prices_packs_and_labels_of_a_variant_are_read_once(spark):
+    pages = spark.createDataFrame([("https://a.b/c", "")], "url string, html string")
+    plan = extraction.extract(pages)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(".prices, lambda") <= 1 and plan.count(".packs, lambda") <= 1
