@@ -234,3 +234,15 @@ def test_decisions_are_those_of_the_ratio(spark):
         a, b = plain(a), plain(b)
         assert found[i].agreed == ((difflib.SequenceMatcher(None, a, b).ratio() if a or b else 1.0) >= 0.90), (a, b)
     assert {r.decided_by for r in found.values()} == {"equal", "length", "letters", "matching"}
+
+
+def test_ratio_by_arrays_is_that_of_places():
+    rng = random.Random(9)
+    for _ in range(300):
+        letters = "abcdefghijé😀"[: rng.randint(1, 12)]
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 260))) for _ in "ab")
+        b = a[: rng.randint(0, len(a))] + b if rng.random() < 0.3 else b
+        assert similarity._total(a, b, similarity._runs(*similarity._pairs(a, b)[:3])) == similarity._Matcher(a, b).total()
+    a, b = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)) + "0123456789" * 30 for _ in "ab")
+    assert similarity._pairs(a, b)[3] >= similarity.ARRAYS[0]
+    assert similarity.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
