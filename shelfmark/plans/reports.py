@@ -163,7 +163,7 @@ def repair_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(derive.sql(f"SELECT 'completed' AS status, count(*) AS sample_size, round(avg(o), 9) AS overall_agreement, round(avg(a), 9) AS advisory_agreement FROM {comparison._PER_PRODUCT}", "shadow", "shadow_last"))
 def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run without a sample reports: the populated report of the run before."""
-    row = agreement.batch(agreement.per_product(comparison._product_scores(spark, sf_dir), "product_url")).first()
+    row = agreement.batch(agreement.tier_means(*comparison._product_scores(spark, sf_dir))).first()
     full = exports.agreement_report("completed", row.sample_size, row.overall_agreement, row.advisory_agreement, {})
     kept = exports.agreement_report("skipped", 0, None, None, {}, full)
     status = full["status"] if kept["status"] == "preserved" else kept["status"]

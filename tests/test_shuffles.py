@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfmark.operators import agreement, extraction
-from shelfmark.plans import registry
+from shelfmark.plans import derive, registry
 
 from .compare import DATA
 
@@ -22,6 +24,27 @@ def test_variants_of_both_extractions_are_moved_once(spark, name):
     assert "last-variants" not in df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["variant_agreement", "agreement_summary", "recovery_records", "field_means", "field_agreement"])
+def test_tasks_that_sort_variants_are_bounded_in_lines(spark, name, monkeypatch):
+    monkeypatch.setattr(derive, "LINES_A_TASK", 500)
+    n = -(-derive.read(spark, str(DATA), "lineitem").count() // 500)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = exchanges(registry.QUERIES[name](spark, str(DATA)))
+    lines = [x for x in found if f", {n}), REPARTITION_BY_NUM" in x]
+    # Lines, and the products of each side: joined where they are, though there are fewer shuffle partitions.
+    assert len(lines) == (1 if name == "variant_agreement" else 4 if name == "recovery_records" else 3)
+    assert not any("product_url#" in x and "field#" in x for x in found)  # one row a product, not one a comparison
+
+
+def test_means_from_columns_are_those_of_long_scores(spark):
+    rows = spark.createDataFrame([("p", 1.0, 0.5, None, 0.25), ("q", 0.0, None, 1.0, 1.0), ("r", None, None, None, None)], "k string, n double, b double, s double, x double")
+    scores = [("name", "exact", F.col("n")), ("brand", "exact", F.lit(0.0)), ("brand", "exact", F.col("b")), ("specifications", "s", F.col("s")), ("sku", "set", F.col("x"))]
+    long = agreement.long_scores(rows, "k", scores)
+    assert sorted(agreement.tier_means(rows, "k", scores).collect()) == sorted(agreement.per_product(long, "k").collect())
+    assert sorted(agreement.field_means(rows, "k", scores).collect()) == sorted(agreement.per_field(long, "k").collect())
+    assert agreement.tier_means(rows.limit(0), "k", scores).count() == 0
+
+
 def test_paired_rows_are_a_full_outer_join(spark):
     given = [("p", "1", "a", 1), ("p", "1", "b", 2), ("p", "2", "a", 3), ("p", "3", "b", 4), ("p", None, "a", 5), ("p", None, "b", 6), ("q", "1", "b", 7)]
     rows = spark.createDataFrame(given, "u string, k string, side string, n int")
