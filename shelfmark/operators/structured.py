@@ -57,9 +57,11 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def types_of(value: Column) -> Column:
     """The texts of an object's ``@type``, which may be one or a list."""
-    given = F.try_variant_get(value, "$['@type']", "variant")
-    each = F.when(F.startswith(F.schema_of_variant(given), F.lit("ARRAY")), F.try_variant_get(given, "$", "array<variant>")).otherwise(F.array(given))
-    return F.coalesce(F.filter(F.transform(each, string_of), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    def texts(given: Column) -> Column:
+        each = F.when(F.startswith(F.schema_of_variant(given), F.lit("ARRAY")), F.try_variant_get(given, "$", "array<variant>")).otherwise(F.array(given))
+        return F.filter(F.transform(each, string_of), lambda x: x.isNotNull())
+
+    return F.coalesce(text.let(F.try_variant_get(value, "$['@type']", "variant"), texts), F.array().cast("array<string>"))
 
 
 def string_of(value: Column) -> Column:
@@ -90,7 +92,10 @@ def _best(pages: DataFrame) -> DataFrame:
     """(url, product, items): each page's best Product, and the entries of its longest breadcrumb list; one walk for both."""
     value = F.try_parse_json("json")
     is_product, is_list = F.array_contains("types", "Product"), F.array_contains("types", "BreadcrumbList")
-    found = nodes(pages).filter(is_product | is_list).withColumns({"_url": member(F.col("json"), "$.url"), "_id": member(F.col("json"), "$['@id']"), "_items": F.when(is_list, F.coalesce(F.try_variant_get(value, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>")))})
+    # A type's name is in its node's text, unless letters are escaped; most nodes need no look at their types.
+    named = [F.contains("json", F.lit(x)) for x in ("Product", "BreadcrumbList", "\\u")]
+    typed = nodes(pages).filter(named[0] | named[1] | named[2]).filter(F.arrays_overlap("types", F.array(F.lit("Product"), F.lit("BreadcrumbList"))))
+    found = typed.withColumns({"_url": member(F.col("json"), "$.url"), "_id": member(F.col("json"), "$['@id']"), "_items": F.when(is_list, F.coalesce(F.try_variant_get(value, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>")))})
     matches = sum(F.coalesce((urls.normalize_url(c) == urls.normalize_url("url")).cast("int"), F.lit(0)) for c in ("_url", "_id"))
     whole = sum(_truthy(F.try_variant_get(value, f"$.{k}", "variant")) for k in ("name", "sku", "offers", "brand"))
     ranked = found.withColumns({"_rank": F.when(is_product, F.struct((-matches).alias("m"), (-whole).alias("w"), F.col("at").alias("at"))), "_order": F.when(is_list, F.struct((-F.size("_items")).alias("n"), F.col("at").alias("at")))})
@@ -112,11 +117,13 @@ def breadcrumbs(pages: DataFrame) -> DataFrame:
     named = best.select("url", "items", text.casefold(text.clean_text(member(product, "$.name"))).alias("_name"), urls.normalize_url(F.coalesce(member(product, "$.url"), F.col("url"))).alias("_own"))
     part = lambda path: F.try_variant_get("entry", path, "variant")
     number = F.rlike(F.schema_of_variant(part("$.position")), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
-    entries = named.select("url", "_name", "_own", F.posexplode_outer("items").alias("place", "entry")).select(
+    raw = named.select("url", "_name", "_own", F.posexplode_outer("items").alias("place", "entry")).select(
         "url", "_name", "_own", "place", F.when(number, F.try_variant_get(part("$.position"), "$", "double")).otherwise(1e9).alias("position"),
-        text.clean_text(F.coalesce(F.nullif(string_of(part("$.name")), F.lit("")), string_of(part("$.item.name")))).alias("label"),
-        urls.normalize_url(F.coalesce(string_of(part("$.item")), string_of(part("$.item.url")))).alias("link"),
+        F.coalesce(F.nullif(string_of(part("$.name")), F.lit("")), string_of(part("$.item.name"))).alias("label"),
+        F.coalesce(string_of(part("$.item")), string_of(part("$.item.url"))).alias("link"),
     )
+    # Step by step: what an expression uses several times is worked out once.
+    entries = raw.withColumn("label", text.normalize_text(F.col("label"))).withColumns({"label": text.without_tags(F.col("label")), "link": urls.normalize_url("link")})
     low = text.casefold(F.col("label"))
     kept = F.col("label").isNotNull() & ~F.coalesce((low == "home") | (low == F.col("_name")) | (F.col("link") == F.col("_own")), F.lit(False))
     ordered = F.array_sort(F.collect_list(F.when(kept, F.struct("position", "place", "label"))))

@@ -22,13 +22,18 @@ _BLOCKS = {
 }
 
 
+#: A page is several KB where its parts are few bytes: all of them can be in one file of parts.
+PAGES_A_TASK = 25_000
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each product: a graph, a list of nodes, or several blocks of which one is broken."""
     script = lambda body: f"""'<script type="application/ld+json">' || {body} || '</script>'"""
     broken = script("""'{"@type":"Product",'""")
     comment = script(f"'<!-- ' || {_CRUMBS} || ' -->'")
     html = f"CASE seq % 3 WHEN 0 THEN {script(_BLOCKS[0][0])} WHEN 1 THEN {script(_BLOCKS[1][0])} ELSE {script(_PRODUCT)} || {broken} || {comment} END"
-    return derive.products(spark, sf_dir).selectExpr("product_url AS url", "seq", f"'<html><head>' || {html} || '</head></html>' AS html")
+    count = derive.tasks(spark, derive.read(spark, sf_dir, "part"), PAGES_A_TASK)
+    return derive.products_by_url(spark, sf_dir, count).selectExpr("product_url AS url", "seq", f"'<html><head>' || {html} || '</head></html>' AS html")
 
 
 _NODES = f"""(SELECT url, b, x.id AS id, x.value AS value, json_extract(x.value, '$."@type"') AS t

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import random
 
+from shelfmark.functions import url as urls
 from shelfmark.operators import extraction, structured
+from shelfmark.plans import structured as plans
 
+from .compare import DATA
 from .test_operators import GLOVE, URL, page
 
 
@@ -75,3 +78,24 @@ def test_products_and_breadcrumbs_equal_the_page_pass(spark):
     for r in extraction.extract(pages).collect():
         assert paths.get(r.url, []) == r.category_path, r.url
         assert extraction._text(names[r.url]) == r.name
+
+
+def test_pages_are_dealt_out_however_few_files_their_parts_are_in(spark, monkeypatch):
+    data = str(DATA)
+    assert spark.read.parquet(f"{data}/part.parquet").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(plans, "PAGES_A_TASK", 20)
+    n = -(-spark.read.parquet(f"{data}/part.parquet").count() // 20)
+    assert n > 4 and plans._pages(spark, data).rdd.getNumPartitions() == n
+
+
+def test_escaped_and_listed_types_are_found(spark):
+    body = r'[{"@type":"\u0050roduct","name":"p &amp; q"},{"@type":["x","Breadcrumb\u004cist"],"itemListElement":[{"position":1,"name":"a &lt;b&gt;c&lt;/b&gt;"},{"position":2,"name":"P & Q"},{"position":3,"name":"u < v"}]},{"@type":"Thing","note":"Product"}]'
+    pages = spark.createDataFrame([("https://a.b/c", f'<script type="application/ld+json">{body}</script>')], "url string, html string")
+    assert [list(r.path) for r in structured.breadcrumbs(pages).collect()] == [["a c", "u < v"]]
+
+
+def test_urls_are_taken_apart_in_one_match(spark):
+    given = ["HTTP://A.b:80//x//?b=2&a=1&utm_z=3#f", "https://a.b", "https://a.b:8443?q=", "https://a.b/c\n", "https://xn--a.b/", "https://a.b/c d", "", None, "https://a.b/?", "https://a.b/x?&"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i int, u string").repartition(1).select("i", urls.normalize_url("u").alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == [urls.canonical_url(u) for u in given]
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract") == 0
