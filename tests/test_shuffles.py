@@ -24,6 +24,26 @@ def test_variants_of_both_extractions_are_moved_once(spark, name):
     assert "last-variants" not in df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize(("name", "n"), [("variant_full_outer", 2), ("variant_agreement", 2), ("agreement_summary", 5), ("recovery_records", 7), ("field_means", 4), ("field_agreement", 4)])
+def test_lines_are_moved_once_where_products_are_not_broadcast(spark, name, n, monkeypatch):
+    monkeypatch.setattr(derive, "LINES_A_TASK", 500)  # more tasks than shuffle partitions: else the second repartition is left out
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [x for x in exchanges(registry.QUERIES[name](spark, str(DATA))) if "product_url#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Lines, the products that they are kept for, the products of each side, and for means a product one narrow row of each
+    # (recovery_records: moved again to its products, which are moved once more).
+    assert len(found) == n
+
+
+def test_products_given_twice_keep_one_line_a_variant(spark):
+    products = derive.shadow_products(spark, str(DATA))
+    once, twice = (derive.last_lines_of_both(spark, str(DATA), x) for x in (products, products.union(products)))
+    assert once.count() > 0 and once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["variant_agreement", "agreement_summary", "recovery_records", "field_means", "field_agreement"])
 def test_tasks_that_sort_variants_are_bounded_in_lines(spark, name, monkeypatch):
     monkeypatch.setattr(derive, "LINES_A_TASK", 500)
