@@ -3,6 +3,7 @@ from __future__ import annotations
 import difflib
 import html
 import random
+import tracemalloc
 from decimal import Decimal
 
 import pytest
@@ -246,3 +247,28 @@ def test_ratio_by_arrays_is_that_of_places():
     a, b = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)) + "0123456789" * 30 for _ in "ab")
     assert similarity._pairs(a, b)[3] >= similarity.ARRAYS[0]
     assert similarity.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_ranges_that_wait_hold_their_own_runs_only():
+    """Runs grow shorter along both texts, so that each step leaves nearly all of them to the next."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices([*map(chr, range(0x4E00, 0x4F90))], k=n)) for n in range(160, 20, -1)]
+    a, b = ("".join(w + rng.choice(mark) for w in words) for mark in ("!?", ";:"))
+    pairs = similarity._pairs(a, b)
+    assert similarity.ARRAYS[0] <= pairs[3] <= similarity.ARRAYS[1]
+    runs = similarity._runs(*pairs[:3])
+    held = sum(x.nbytes for x in runs)
+    tracemalloc.start()
+    found = similarity._total(a, b, runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(map(len, words)) and peak < 6 * held
+
+
+def test_similarity_of_batches_keeps_nulls_and_order(spark):
+    texts = [None, "", "abc", "a &amp; b", "é" * 300, "x" * 250]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)], "i int, a string, b string").coalesce(1)
+    plain = lambda t: html.unescape(t or "")
+    for r in rows.withColumn("s", similarity.text_similarity("a", "b")).collect():
+        a, b = plain(r.a), plain(r.b)
+        assert r.s == (difflib.SequenceMatcher(None, a, b).ratio() if a or b else 1.0), r
